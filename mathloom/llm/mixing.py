@@ -11,12 +11,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import sort_key
+from .shared import checkpoint, sort_key
 
 #: Beyond this mean the quantile is summed from whole copies: floor(rate) plus a Poisson part for the rest.
 MOST_RATE = 8.0
 #: Terms of the Poisson sum; at a mean of 8 the chance of more is below 1e-15.
 TERMS = 48
+#: Up to so many sources, each a name and a number, are broadcast.
+MOST_BROADCAST_SOURCES = 100_000
+SALTS = 64
 
 
 def poisson_quantile(uniform: Column, rate: Column) -> Column:
@@ -51,6 +54,15 @@ def repetition_rates(docs: DataFrame, weights: DataFrame | None = None, budget_r
     return weighed.crossJoin(F.broadcast(total)).select("source", "rows", rate.alias("rate"))  # the total is one row
 
 
+def _with_rates(rows: DataFrame, rates: DataFrame, doc_id: str) -> DataFrame:
+    """rows and the rate of their source: few sources are broadcast, after they are counted; many are joined with salt, as one may hold most rows."""
+    rates = checkpoint(rates)
+    if rates.count() <= MOST_BROADCAST_SOURCES:
+        return rows.join(F.broadcast(rates), "__source")
+    salted = rates.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("__salt", F.pmod(F.xxhash64(doc_id), F.lit(SALTS)).cast("int")).join(salted, ["__source", "__salt"])
+
+
 def mix(docs: DataFrame, weights: DataFrame | None = None, budget_rows: float | None = None, seed: str = "mix", source: str = "source", doc_id: str = "doc_id") -> DataFrame:
     """The copies of docs' rows: columns of docs, copy_no (from 1), n_copies and shuffle_key, in the global order of shuffle_key.
 
@@ -64,8 +76,7 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, budget_rows: float |
     uniform = sort_key(doc_id, seed) / F.lit(float(2**52))
     whole = F.when(F.col("__rate") > MOST_RATE, F.floor("__rate")).otherwise(F.lit(0)).cast("int")
     counted = (
-        docs.withColumn("__source", F.coalesce(F.col(source), F.lit("")))
-        .join(rates, "__source")
+        _with_rates(docs.withColumn("__source", F.coalesce(F.col(source), F.lit(""))), rates, doc_id)
         .withColumn("n_copies", (whole + poisson_quantile(uniform, F.col("__rate") - whole)).cast("int"))
         .where("n_copies > 0")
     )
