@@ -28,7 +28,8 @@ _RNG = np.random.Generator(np.random.PCG64(20240607))
 #: Odd multipliers of the two rolling hashes, and their inverses modulo 2^64.
 MULTIPLIERS = [int(m) | 1 for m in _RNG.integers(1 << 62, 1 << 63, 2)]
 INVERSES = [pow(m, -1, 1 << 64) for m in MULTIPLIERS]
-PAIR = np.dtype([("a", "<u8"), ("b", "<u8")])
+#: A window of full length is known by 96 bits.
+PAIR = np.dtype([("a", "<u8"), ("b", "<u4")])
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -156,7 +157,7 @@ def _near_anchor(words: Words, keys: np.ndarray, block: int, length: int, bits:
 
 def _window_pairs(words: Words, starts: np.ndarray, length: int) -> np.ndarray:
     pairs = np.empty(len(starts), PAIR)
-    pairs["a"], pairs["b"] = words.rolling(length, 0)[starts], words.rolling(length, 1)[starts]
+    pairs["a"], pairs["b"] = words.rolling(length, 0)[starts], words.rolling(length, 1)[starts] >> np.uint64(32)
     return pairs
 
 
@@ -219,7 +220,7 @@ def repeats(docs: DataFrame, length: int = 35, text: str = "text", doc_id: str =
         return pa.table({"slice": pa.array([r[0] for r in rows], pa.int64()), "grp": pa.array([key[0].as_py()] * len(rows), pa.int64()), "pairs": pa.array([r[1] for r in rows], pa.binary())})
 
     grouped = by_group.groupBy("grp").cogroup(hits.groupBy("grp"))
-    packed = stage_table(grouped.applyInArrow(candidates, "slice bigint, grp bigint, pairs binary"), "windows")
+    packed = grouped.applyInArrow(candidates, "slice bigint, grp bigint, pairs binary")
 
     def confirm(slices: pa.Table) -> pa.Table:
         owners, blobs = slices["grp"].to_pylist(), [np.frombuffer(b, PAIR) for b in slices["pairs"].to_pylist()]
@@ -233,25 +234,20 @@ def repeats(docs: DataFrame, length: int = 35, text: str = "text", doc_id: str =
         order = np.argsort(owner, kind="stable")
         pairs, owner = pairs[order], owner[order]
         edges = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1], [True]))) if len(owner) else np.zeros(1, int)
-        found = [(int(owner[a]), pairs[a:b][~_same_as_last(pairs[a:b])].tobytes()) for a, b in zip(edges[:-1], edges[1:])]
-        return pa.table({"grp": pa.array([f[0] for f in found], pa.int64()), "pairs": pa.array([f[1] for f in found], pa.binary())})
+        # inside one group of documents the first 64 bits tell its windows apart
+        found = [(int(owner[a]), np.unique(pairs["a"][a:b]).tobytes()) for a, b in zip(edges[:-1], edges[1:])]
+        return pa.table({"grp": pa.array([f[0] for f in found], pa.int64()), "hashes": pa.array([f[1] for f in found], pa.binary())})
 
-    confirmed = stage_table(packed.groupBy("slice").applyInArrow(confirm, "grp bigint, pairs binary"), "repeats")
+    confirmed = stage_table(packed.groupBy("slice").applyInArrow(confirm, "grp bigint, hashes binary"), "repeats")
     span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def cut(key, texts: pa.Table, found: pa.Table) -> pa.Table:
         words = Words([v.as_py() for v in texts["text"].cast(pa.binary())])
         covered = np.zeros(len(words.hashes) + 1, np.int64)
         if len(found):
-            known = _sorted_pairs(np.concatenate([np.frombuffer(b, PAIR) for b in found["pairs"].to_pylist()]))
+            known = np.concatenate([np.frombuffer(b, np.uint64) for b in found["hashes"].to_pylist()])
             starts = words.starts(length)
-            # all windows of the group: those with a known first hash are compared whole
-            first = words.rolling(length, 0)
-            starts = starts[np.isin(first[starts], known["a"])]
-            pairs = _window_pairs(words, starts, length)
-            bits_of = known["a"] + known["b"] * np.uint64(0x9E3779B97F4A7C15)
-            sum_of = pairs["a"] + pairs["b"] * np.uint64(0x9E3779B97F4A7C15)
-            starts = starts[np.isin(sum_of, bits_of)]
+            starts = starts[np.isin(words.rolling(length, 0)[starts], known)]
             np.add.at(covered, starts, 1)
             np.add.at(covered, starts + length, -1)
         gone = np.cumsum(covered[:-1]) > 0
