@@ -42,6 +42,10 @@ SPACES = re.compile(r"\s+")
 WORD = re.compile(r"[a-z]+")
 
 
+#: Shares into which the pages of each host are dealt.
+SALTS = 64
+
+
 class Element:
     __slots__ = ("boiler", "end", "inside", "name", "main", "start", "tag", "within")
 
@@ -120,7 +124,12 @@ def subtree_hash(page: str, element: Element) -> int:
 
 
 def template_hashes(page: str, elements: list[Element]) -> set[int]:
-    return {subtree_hash(page, e) for e in elements if e.tag not in ("html", "body") and not e.main}
+    return {subtree_hash(page, e) for e in elements if _can_be_template(e)}
+
+
+def _can_be_template(element: Element) -> bool:
+    """Whole pages, the article and words within a line are no template."""
+    return element.tag not in INLINE and element.tag not in ("html", "body") and not element.main
 
 
 def main_text(page: str, template: frozenset | set = frozenset()) -> str:
@@ -130,7 +139,7 @@ def main_text(page: str, template: frozenset | set = frozenset()) -> str:
     any_main = any(e.main and not _under(e, lambda x: x.boiler) for e in elements)
     for e in elements:
         gone = e.boiler or e.inside is not None and id(e.inside) in dropped
-        if not gone and template and not e.main and e.tag not in ("html", "body"):
+        if not gone and template and _can_be_template(e):
             gone = subtree_hash(page, e) in template
         if gone:
             dropped.add(id(e))
@@ -189,10 +198,11 @@ def extract(pages: DataFrame, share: float = 0.5, least_pages: int = 5, url: str
     repeated rows count as pages of their own; an empty table gives an empty one. A
     column of pages named main_text is replaced.
     """
-    templates = site_templates(pages, share, least_pages, url, html).withColumnRenamed("host", "__host")
+    templates = site_templates(pages, share, least_pages, url, html).select(F.col("host").alias("__host"), "hashes", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__salt"))
     kept = [c for c in pages.columns if c not in (html, "main_text")]
     fields = ", ".join(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in kept)
-    joined = pages.withColumn("__host", host_of(F.col(url))).join(templates, "__host", "left").select(*[F.col(f"`{c}`") for c in kept], "hashes", F.col(html).alias("__html"))
+    salted = pages.withColumn("__host", host_of(F.col(url))).withColumn("__salt", F.pmod(F.xxhash64(html), F.lit(SALTS)).cast("int"))
+    joined = salted.join(templates, ["__host", "__salt"], "left").select(*[F.col(f"`{c}`") for c in kept], "hashes", F.col(html).alias("__html"))
 
     def texts(batches):
         for batch in batches:
