@@ -8,11 +8,16 @@ from pyspark.sql import functions as F
 from .shared import checkpoint
 
 
+#: Shares into which the links of each node are dealt.
+SALTS = 16
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     """Each larger neighbour of u is tied to the smallest of u and its neighbours."""
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    salted = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))  # the centre of a star may have most links
+    return both.where("v > u").withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")).join(salted, ["u", "salt"]).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
