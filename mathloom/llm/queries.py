@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, factorization, language, licenses, mixing, pages, secrets, simhash, substrings, winnow
+from .oracles import ORACLES
 from .shared import held_out_bucket, table
 
 
@@ -79,4 +80,5 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_license_scan, op3_winnowing, op4_template_removal, op5_substring_dedup, op6_language_id, op7_simhash, op8_decontamination, op9_poisson_mix, op10_secret_scan)}
-ORACLES: dict[str, str] = {}
+
+__all__ = ["ORACLES", "QUERIES"]

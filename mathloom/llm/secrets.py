@@ -54,7 +54,7 @@ MORE = (
     Rule("hosted_token", r"gh[pousr]_[A-Za-z0-9]{36}"),
     Rule("chat_token", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("web_token", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
-    Rule("url_password", r"[a-z][a-z0-9+.-]*://[^\s/:@]+:[^\s/:@]+@"),
+    Rule("url_password", r"[a-z][a-z0-9+.-]*://[^\x09-\x0D\x20/:@]+:[^\x09-\x0D\x20/:@]+@"),
 )
 RULES = BASE + MORE
 
