@@ -27,18 +27,35 @@ LONG = 40
 LEXICON = 400
 
 
+class _Slots(dict):
+    """Slots of strings of one kind, remembered; emptied when there are too many of them."""
+
+    def __init__(self, kind: str, most: int = 200_000):
+        super().__init__()
+        self.kind, self.most = kind, most
+
+    def __missing__(self, key: str) -> int:
+        if len(self) >= self.most:
+            self.clear()
+        slot = self[key] = zlib.crc32((self.kind + key).encode("utf-8", "surrogatepass")) & (SLOTS - 1)
+        return slot
+
+
+_GRAM, _START, _END, _LETTER = _Slots("g"), _Slots("p"), _Slots("s"), _Slots("u")
+
+
 def word_features(word: str) -> list[int]:
-    """Slots of a lower-case word: the word, affixes of 1 to 3 letters, n-grams of 1 to 3 letters, its letters' block."""
-    crc = zlib.crc32
+    """Slots of a lower-case word: the word, affixes of 1 to 3 letters, n-grams of 2 and 3 letters, its letters beyond ASCII."""
     if len(word) > LONG:
         word = word[: LONG // 2] + word[-LONG // 2 :]
     b = f"^{word}$"
-    names = {"w" + word, "p" + b[:2], "p" + b[:3], "p" + b[:4], "s" + b[-2:], "s" + b[-3:], "s" + b[-4:]}
-    names.update("u" + c for c in word)
-    names.update("g" + b[i : i + 2] for i in range(len(b) - 1))
-    names.update("g" + b[i : i + 3] for i in range(len(b) - 2))
-    names.add(f"b{ord(max(word)) >> 7}")
-    return [crc(x.encode("utf-8", "surrogatepass")) & (SLOTS - 1) for x in names]
+    slots = {_GRAM[b[i : i + 2]] for i in range(len(b) - 1)}
+    slots.update([_GRAM[b[i : i + 3]] for i in range(len(b) - 2)])
+    slots.update((_START[b[:2]], _START[b[:3]], _START[b[:4]], _END[b[-2:]], _END[b[-3:]], _END[b[-4:]]))
+    if not word.isascii():
+        slots.update([_LETTER[c] for c in word if c > "\x7f"])
+    slots.add(zlib.crc32(b.encode("utf-8", "surrogatepass")) & (SLOTS - 1))
+    return list(slots)
 
 
 @dataclass
@@ -122,7 +139,7 @@ def words_of(text: str | None) -> list[str]:
 class Labeller:
     """Applies a model to texts; scores of frequent words are kept, up to a bounded number of them."""
 
-    def __init__(self, model: ChainModel, most_known: int = 150_000):
+    def __init__(self, model: ChainModel, most_known: int = 300_000):
         self.model, self.most_known = model, most_known
         self.known: dict[str, int] = {}
         self.table = np.zeros((1024, len(model.languages)))
