@@ -119,13 +119,24 @@ def _encode(d):
     return f"""SELECT ch, n, coalesce(concat('&', name, ';'), concat('&#', CAST(cp0 AS STRING), ';')) AS encoded FROM (SELECT ch, {d.cp('ch')} AS cp0, count(*) AS n FROM (SELECT ch FROM (SELECT substr(text, 1, 400) AS opening FROM documents) o {d.explode(chars, 'ch')}) c GROUP BY ch) c LEFT JOIN {last} ON cp0 = cp"""
 
 
+def _characters(d) -> str:
+    """(cp, n): characters beyond ASCII of the documents."""
+    return f"(SELECT {d.cp('ch')} AS cp, count(*) AS n FROM (SELECT ch FROM documents {d.explode(d.extract_all('text', r'[^\\x00-\\x7F]', 0), 'ch')}) c GROUP BY {d.cp('ch')}) u"
+
+
+def _named_references(d) -> str:
+    """(name, n): named references of the pages."""
+    return f"(SELECT name, count(*) AS n FROM (SELECT name FROM pages {d.explode(d.extract_all('html', '&([A-Za-z][A-Za-z0-9]*);', 1), 'name')}) x GROUP BY name) r"
+
+
 def _reference(d):
-    return f"SELECT code_point, min(name) AS first_name, {d.max_by('name', 'seq')} AS last_name, count(*) AS n FROM {entities(d)} GROUP BY code_point"
+    return f"SELECT code_point, max(n) AS n, min(name) AS first_name, {d.max_by('name', 'seq')} AS last_name, count(*) AS n_names FROM {_characters(d)} JOIN {entities(d)} ON cp = code_point GROUP BY code_point"
 
 
 def _consistency(d):
+    """Names that differ in case alone and stand for different characters, one of which the documents use."""
     e = entities(d)
-    return f"SELECT a.name AS name_a, b.name AS name_b, a.code_point AS code_a, b.code_point AS code_b FROM {e[:-2]} a JOIN {e[:-2]} b ON lower(a.name) = lower(b.name) AND a.name < b.name WHERE a.code_point <> b.code_point"
+    return f"SELECT a.name AS name_a, b.name AS name_b, a.code_point AS code_a, b.code_point AS code_b, u.n FROM {_characters(d)} JOIN {e[:-2]} a ON u.cp = a.code_point JOIN {e[:-2]} b ON lower(a.name) = lower(b.name) WHERE a.code_point <> b.code_point"
 
 
 def _symbol_lookup(d):
@@ -135,7 +146,23 @@ def _symbol_lookup(d):
 def _categories(d):
     groups = (("greek", "alpha|beta|gamma|delta|epsilon|theta|lambda|mu|pi|sigma|omega"), ("arrow", "arr"), ("accent", "acute|grave|circ|tilde|uml|cedil"), ("relation", "^(lt|gt|le|ge|ne|equiv|asymp|cong|sim)$"), ("set", "^(cap|cup|sub|sup|sube|supe|isin|notin|empty)$"), ("quote", "quo"), ("space", "sp$"), ("fraction", "frac"))
     found = d.compact(d.array(*[f"CASE WHEN {d.match('lower(name)', p)} THEN '{c}' END" for c, p in groups]))
-    return f"SELECT category, count(*) AS n FROM (SELECT category FROM (SELECT name FROM {entities(d)}) q {d.explode(found, 'category')}) c GROUP BY category"
+    known = f"SELECT r.name, r.n FROM {_named_references(d)} JOIN {entities(d)} ON r.name = e.name"
+    return f"SELECT category, sum(n) AS n, count(*) AS n_names FROM (SELECT category, n FROM (SELECT name, n FROM ({known}) k) q {d.explode(found, 'category')}) c GROUP BY category"
+
+
+def _recover_tokens(d):
+    """Tokens of an expression strung together again, letter runs as commands, with a confidence."""
+    names = ", ".join(d.lit(c) for c in COMMANDS)
+    words = f"""SELECT expr_id, run, min(pos) AS pos, max(kind) AS kind, {d.join(d.ordered('token', 'pos'), '')} AS word, count(*) AS n FROM {runs(d)} r GROUP BY expr_id, run"""
+    piece = f"CASE WHEN kind = 'mi' AND n >= 3 AND lower(word) IN ({names}) THEN concat({d.lit(chr(92))}, lower(word)) ELSE word END"
+    return f"""SELECT expr_id, latex, CASE WHEN n_commands > 0 THEN 0.9 WHEN n_tokens > 1 THEN 0.5 ELSE 0.25 END AS confidence
+        FROM (SELECT expr_id, {d.join(d.ordered(piece, 'pos'), ' ')} AS latex, sum(CASE WHEN kind = 'mi' AND n >= 3 AND lower(word) IN ({names}) THEN 1 ELSE 0 END) AS n_commands, count(*) AS n_tokens FROM ({words}) w GROUP BY expr_id) g"""
+
+
+def _repair_tokens(d):
+    """Glyph swaps on tokens: > alone is an equals sign, U between tokens a union, \\P the letter P."""
+    swap = " ".join(f"WHEN token = {d.lit(a)} THEN {d.lit(b)}" for a, b in ((">", "="), ("U", "∪"), (chr(92) + "P", "P"), ("—", "-"), ("–", "-"), ("‘", "'"), ("’", "'"), ("∙", "·"), ("€", "∈")))
+    return f"SELECT expr_id, pos, kind, token, CASE {swap} ELSE token END AS repaired FROM {tokens(d)} t"
 
 
 def _region_page(d):
@@ -167,5 +194,7 @@ TEMPLATES = {
     "template_power": _template(0, "power"), "template_fixer": _template(1, "error_probability"), "template_channel": _template(2, "channel"), "template_cue_join": (("fragments",), _cue_join),
     "template_trigger": (("fragments",), lambda d: f"SELECT expr_id, {has(d, 'payload', chr(92) + 'l_{', chr(92) + 'r_{', chr(92) + 'f_{', chr(92) + 's_{', chr(92) + 'm_{', 'l_{e}', 'r_{i}g')} OR {d.match('payload', r'\\[a-z]\s[a-z]\s[a-z]')} AS triggered FROM {EXPRESSIONS}"),
     "entity_decode": ((), _decode), "entity_encode": ((), _encode), "entity_reference": ((), _reference), "entity_consistency": ((), _consistency), "agg_entity_categories": ((), _categories), "symbol_lookup": (("fragments",), _symbol_lookup),
+    "recover_tokens": (("fragments",), _recover_tokens), "repair_tokens": (("fragments",), _repair_tokens),
+    "sink_entity_json": ((), lambda d: f"SELECT r.name, concat('{{\"name\":\"', r.name, '\",\"decimal\":', CAST(code_point AS STRING), ',\"uses\":', CAST(n AS STRING), '}}') AS json FROM {_named_references(d)} JOIN {entities(d)} ON r.name = e.name"),
     "proj_entity_normalize": ((), lambda d: f"SELECT page_id, {classify.xml_escape(d, classify.strip_tags(d, 'html'))} AS text FROM pages"),
 }

@@ -101,3 +101,18 @@ def test_xml_round_trip(spark, tmp_path):
     sinks.write_equations_xml(spark.createDataFrame(rows, "id INT, latex STRING, mathml STRING, x INT, y INT, w INT, h INT"), str(tmp_path / "x"))
     got = {r["_id"]: r for r in sinks.read_equations_xml(spark, str(tmp_path / "x")).collect()}
     assert got[1]["latex"] == r"\frac{a}{b} < c" and got[2]["mathml"] == "<math/>" and got[2]["bounding_box"]["_h"] == 8
+
+
+def test_catalogue(spark):
+    from mathloom.functions import catalogue
+
+    df = spark.createDataFrame([(1, r"\s_{u}m"), (2, "x")], "i INT, payload STRING")
+    got = df.select("i", catalogue.column("repair_letter_commands", "payload").alias("r"), catalogue.rewrite("payload", [("x", "y")]).alias("w"), catalogue.labels("payload", [("x", "has x")]).alias("l")).orderBy("i").collect()
+    assert got[0]["r"] == r"\sum" and got[1]["w"] == "y" and got[1]["l"] == ["has x"]
+    assert set(catalogue.OPERATORS) >= set(repair.CHAINS)
+
+    def make():
+        return lambda text: "<math/>" if text == "x" else 1 / 0
+
+    done = {r["i"]: (r["mathml"], r["error_code"]) for r in catalogue.convert_batch(df, make).collect()}
+    assert done == {1: ("", "conversion-failed"), 2: ("<math/>", None)}
