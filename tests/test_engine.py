@@ -116,3 +116,14 @@ def test_catalogue(spark):
 
     done = {r["i"]: (r["mathml"], r["error_code"]) for r in catalogue.convert_batch(df, make).collect()}
     assert done == {1: ("", "conversion-failed"), 2: ("<math/>", None)}
+
+
+def test_entity_page(spark):
+    from mathloom.sources.entity_page import parse_entities
+
+    def row(*cells):
+        return "<tr>" + "".join(f"<td>{c}</td>" for c in cells) + "</tr>"
+
+    page = "<table>" + row("head") + row('<font size="7">α</font>', '<font size="7">??</font>', "x") + row("alpha", "beta") + row("x3B1", "x3B2", "x0") + row("#945;", "#946;") + row("tail") + "</table>"
+    got = parse_entities(spark.createDataFrame([(1, page), (2, None), (3, "")], "page_id INT, html STRING")).orderBy("seq").collect()
+    assert [(r["seq"], r["name"], r["ch"]) for r in got] == [(0, "alpha", "α"), (1, "beta", "β")]
