@@ -106,7 +106,7 @@ class _Plan:
         self.bits = min(32, max(6, math.ceil(math.log2(max(1, total / 6 / slice_words)))))
 
 
-def repeated_anchors(docs: DataFrame, block: int, bits: int, text: str = "text", group_bytes: int = 8_000_000) -> DataFrame:
+def repeated_anchors(docs: DataFrame, block: int, bits: int, text: str = "text", group_bytes: int = 3_000_000) -> DataFrame:
     """(key): 64-bit hashes of the blocks of the index that some window of another place has as well."""
 
     def probe(batches):
@@ -171,7 +171,7 @@ def _same_as_last(pairs: np.ndarray) -> np.ndarray:
     return same
 
 
-def repeats(docs: DataFrame, length: int = 35, text: str = "text", doc_id: str = "doc_id", group_bytes: int = 8_000_000, slice_words: int = 4_000_000) -> DataFrame:
+def repeats(docs: DataFrame, length: int = 35, text: str = "text", doc_id: str = "doc_id", group_bytes: int = 3_000_000, slice_words: int = 4_000_000) -> DataFrame:
     """(doc_id, n_words, spans, kept): for each row the word spans that recur, and its other words joined by one space.
 
     Words are runs of bytes other than ASCII white space, unchanged. spans is an
@@ -192,16 +192,25 @@ def repeats(docs: DataFrame, length: int = 35, text: str = "text", doc_id: str =
     by_group = _group(docs, text, doc_id, groups)
 
     def own_blocks(batches):
+        def found_in(texts, owners):
+            words = Words(texts)
+            rolling, starts = words.rolling(block), words.starts(block)
+            own = starts[words.at[starts] % block == 0]
+            pairs = np.stack((np.repeat(np.array(owners, np.int64), words.sizes)[own], _anchor_keys(rolling[own], bits)), axis=1)
+            pairs = np.unique(pairs, axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["grp", "key"])
+
         for batch in batches:
-            groups_of = batch.column(0).to_numpy()
-            texts = [v.as_py() for v in batch.column(2).cast(pa.binary())]
-            for at in range(0, len(texts), 500):
-                words = Words(texts[at : at + 500])
-                rolling, starts = words.rolling(block), words.starts(block)
-                own = starts[words.at[starts] % block == 0]
-                owner = np.repeat(groups_of[at : at + 500], words.sizes)[own]
-                found = np.unique(np.stack((owner, _anchor_keys(rolling[own], bits)), axis=1), axis=0) if len(own) else np.zeros((0, 2), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["grp", "key"])
+            texts, owners, size = [], [], 0
+            for owner, value in zip(batch.column(0).to_pylist(), batch.column(2).cast(pa.binary())):
+                texts.append(value.as_py())
+                owners.append(owner)
+                size += len(texts[-1] or b"")
+                if size >= group_bytes:
+                    yield found_in(texts, owners)
+                    texts, owners, size = [], [], 0
+            if texts:
+                yield found_in(texts, owners)
 
     held = by_group.mapInArrow(own_blocks, "grp bigint, key bigint").distinct()
     hits = held.join(anchors, "key").select("grp", "key")
