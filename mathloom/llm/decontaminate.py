@@ -8,7 +8,6 @@ Test items are taken in blocks of a bounded number of words, one automaton each.
 
 from __future__ import annotations
 
-import hashlib
 import math
 from functools import lru_cache
 
@@ -216,6 +215,3 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, span_
     stay = (longest <= span_limit) & (hit_words() <= F.col("n_words") * F.lit(float(coverage_limit)))
     return found.where(stay).select(*[F.col(f"`{own.get(c, c)}`").alias(c) for c in docs.columns])
 
-
-def items_digest(items: list[str]) -> str:
-    return hashlib.sha256(",".join(items).encode()).hexdigest()

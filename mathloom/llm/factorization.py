@@ -95,7 +95,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: i
     rng = np.random.default_rng(seed)
     linear, factors, bias = np.zeros(SIZE), rng.normal(0, 0.02, (SIZE, RANK)), 0.0
     if not rows:
-        return Machine(bias, linear, factors)
+        return Machine(bias, linear, np.zeros_like(factors))
     share = float(np.clip(labels.mean(), 0.01, 0.99))
     bias = math.log(share / (1 - share))
     moments = [np.zeros_like(linear), np.zeros_like(linear), np.zeros_like(factors), np.zeros_like(factors)]

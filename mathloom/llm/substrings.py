@@ -13,7 +13,6 @@ third of the documents adds one entry for each group of documents and no pairs.
 
 from __future__ import annotations
 
-import hashlib
 import math
 
 import numpy as np
@@ -275,6 +274,3 @@ def repeats(docs: DataFrame, length: int = 35, text: str = "text", doc_id: str =
 
     return by_group.groupBy("grp").cogroup(confirmed.groupBy("grp")).applyInArrow(cut, f"doc_id {kind}, n_words bigint, spans array<struct<start: bigint, end: bigint>>, kept string")
 
-
-def kept_digest(kept: str) -> str:
-    return hashlib.sha256(kept.encode()).hexdigest()
