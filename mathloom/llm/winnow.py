@@ -65,8 +65,8 @@ def add_likeness(df: DataFrame, a: str, b: str, name: str) -> DataFrame:
     return df.withColumn(name, F.when(either == 0, F.lit(1.0)).otherwise(F.col(common) / either)).drop(left, right, common)
 
 
-def with_next(rows: DataFrame, per_bucket: int = 2000, most_buckets: int = 65536) -> DataFrame:
-    """rows(doc_id, text, fp) and next_text, next_fp of the next row in descending doc_id; after the last comes the first.
+def with_next(rows: DataFrame, gram: int = GRAM, window: int = WINDOW, per_bucket: int = 2000, most_buckets: int = 65536) -> DataFrame:
+    """rows(doc_id, text), their fingerprint fp, and next_text, next_fp of the next row in descending doc_id; after the last comes the first.
 
     Null ids come last; rows of the same id follow each other by a hash of their text.
     Ids are dealt to buckets of equal width; the first row of each bucket is also
@@ -82,8 +82,8 @@ def with_next(rows: DataFrame, per_bucket: int = 2000, most_buckets: int = 65536
     linked = first_ids.withColumn("home", F.coalesce(F.lead("bucket").over(before), F.first_value("bucket").over(before)))
     heads = F.broadcast(linked.select(F.col("bucket").alias("hb"), F.col("doc_id").alias("hd"), F.col("tie").alias("ht"), "home"))  # at most most_buckets rows of numbers
     first_rows = placed.join(heads, (F.col("bucket") == F.col("hb")) & F.col("doc_id").eqNullSafe(F.col("hd")) & (F.col("tie") == F.col("ht"))).dropDuplicates(["hb"])
-    guests = first_rows.select("doc_id", "text", "fp", F.col("home").alias("bucket"), "tie", F.lit(1).alias("guest"))
-    every = placed.withColumn("guest", F.lit(0)).unionByName(guests)
+    guests = first_rows.select("doc_id", "text", F.col("home").alias("bucket"), "tie", F.lit(1).alias("guest"))
+    every = add_fingerprint(placed.withColumn("guest", F.lit(0)).unionByName(guests), "text", "fp", gram, window)
     order = Window.partitionBy("bucket").orderBy("guest", F.col("doc_id").desc_nulls_last(), F.col("tie").desc())
     return every.withColumn("next_text", F.lead("text").over(order)).withColumn("next_fp", F.lead("fp").over(order)).where("guest = 0").select("doc_id", "text", "fp", "next_text", "next_fp")
 
@@ -96,8 +96,7 @@ def fingerprint_edits(docs: DataFrame, text: str = "text", doc_id: str = "doc_id
     as empty; an only row follows itself; an empty table gives an empty one; other
     columns are not read. doc_id must be a number.
     """
-    rows = add_fingerprint(docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")), "text", "fp", gram, window)
-    paired = with_next(rows)
+    paired = with_next(docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")), gram, window)
     cut = F.floor(F.char_length("text") / 3).cast("int")
     edited = paired.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.char_length("text") - cut), F.substring("next_text", F.lit(1), cut)))
     edited = add_fingerprint(edited, "edited", "edited_fp", gram, window)
