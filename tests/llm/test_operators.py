@@ -485,3 +485,9 @@ def test_licenses(spark, odd, empty):
     some = {r["doc_id"]: r for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id bigint, text string"), model).collect()}
     assert some[1]["families"] == "" and some[3]["families"] == ""
     assert licenses.scan_licenses(odd, model).count() == len(ODD) and licenses.scan_licenses(empty, model).count() == 0
+
+
+def test_licenses_train_on_texts_of_cues_alone(spark):
+    rows = [(1, "Released under the MIT License."), (2, ""), (3, "plain words only"), (4, None)]
+    model = licenses.train_licenses(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert model.threshold >= 0.5
