@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mathloom.llm import decontaminate, language, mixing, secrets, simhash
+from mathloom.llm import decontaminate, language, mixing, secrets, shingles
 from mathloom.llm.shared import checkpoint_dir, table
 
 #: A document whose mean share of its likeliest language is below this has no language.
@@ -24,14 +24,13 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id stays, once.
+    """Of each group of near-duplicates the row with the smallest id stays, once.
 
-    Rows without an id can't be told apart by it: of these, one of each text stays.
+    Near are texts whose five-word shingles have a Jaccard similarity of 0.8 or more, found without
+    exception. Rows are told apart by id and text; those without an id are in the same search and
+    stay only where no row of their group has one.
     """
-    grouped = simhash.near_duplicates(docs.where("doc_id IS NOT NULL"))
-    first = grouped.where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where("doc_id IS NOT NULL").join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id IS NULL").dropDuplicates(["text"])).select(*docs.columns)
+    return shingles.kept_rows(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
