@@ -2,8 +2,8 @@
 
 A source that holds n of N rows and shall make up the share w of the mix gets the
 mean repetition rate w * budget / n. The number of copies of a row is the Poisson
-quantile, at that rate, of a uniform number taken from a hash of its id; copies are
-spread over the whole output by a second hash.
+quantile, at that rate, of a uniform number taken from a hash of its id (a sum of
+such quantiles at high rates); copies are spread over the whole output by a second hash.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .shared import checkpoint, sort_key
 
-#: Beyond this mean the quantile is summed from whole copies: floor(rate) plus a Poisson part for the rest.
+#: Beyond this mean the copies are the sum of floor(rate / 8) Poisson numbers of mean 8 and one of the rest, each with a hash of its own.
 MOST_RATE = 8.0
 #: Terms of the Poisson sum; at a mean of 8 the chance of more is below 1e-15.
 TERMS = 48
@@ -34,6 +34,19 @@ def poisson_quantile(uniform: Column, rate: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(TERMS)), start, add, lambda s: s["copies"])
 
 
+def poisson_copies(rate: Column, doc_id: str, seed: str) -> Column:
+    """A Poisson number of any mean, from hashes of the id; up to MOST_RATE it is the quantile of a single one."""
+    whole = F.when(rate > MOST_RATE, F.floor(rate / MOST_RATE)).otherwise(F.lit(0)).cast("int")
+    id_text = F.coalesce(F.col(doc_id).cast("string"), F.lit(""))
+
+    def add(copies, k):
+        bits = F.conv(F.substring(F.md5(F.concat(F.lit(seed + "/"), k.cast("string"), F.lit(":"), id_text)), 1, 13), 16, 10).cast("bigint")
+        return copies + poisson_quantile(bits / F.lit(float(2**52)), F.lit(MOST_RATE))
+
+    rest = poisson_quantile(sort_key(doc_id, seed) / F.lit(float(2**52)), rate - whole * F.lit(MOST_RATE))
+    return F.when(whole == 0, rest).otherwise(F.aggregate(F.sequence(F.lit(1), F.greatest(whole, F.lit(1))), rest, add))
+
+
 def repetition_rates(docs: DataFrame, weights: DataFrame | None = None, budget_rows: float | None = None, source: str = "source") -> DataFrame:
     """(source, rows, rate): the mean number of copies of a row of each source.
 
@@ -73,11 +86,9 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, budget_rows: float |
     rates = repetition_rates(docs, weights, budget_rows, source).select(F.col("source").alias("__source"), F.col("rate").alias("__rate"))
     new = ("copy_no", "n_copies", "shuffle_key")
     own = [F.col(f"`{c}`") for c in docs.columns if c not in new and not c.startswith("__")]
-    uniform = sort_key(doc_id, seed) / F.lit(float(2**52))
-    whole = F.when(F.col("__rate") > MOST_RATE, F.floor("__rate")).otherwise(F.lit(0)).cast("int")
     counted = (
         _with_rates(docs.withColumn("__source", F.coalesce(F.col(source), F.lit(""))), rates, doc_id)
-        .withColumn("n_copies", (whole + poisson_quantile(uniform, F.col("__rate") - whole)).cast("int"))
+        .withColumn("n_copies", poisson_copies(F.col("__rate"), doc_id, seed).cast("int"))
         .where("n_copies > 0")
     )
     copies = counted.select(*own, "n_copies", F.explode(F.sequence(F.lit(1), F.col("n_copies"))).alias("copy_no"))
