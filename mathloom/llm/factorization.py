@@ -44,7 +44,7 @@ def statistics(text: bytes, words: list[bytes], counts: dict[bytes, int], n_char
         min(solid / n / 20, 1.0), min(max(map(len, words), default=0) / 60, 1.0),
         len(counts) / n, 1 - len(set(lines)) / max(len(lines), 1), min((text.count(b"!") + text.count(b"?")) / n, 1.0),
         max(counts.values(), default=0) / n, min(n / max(len(lines), 1) / 200, 1.0),
-        sum(w[-1:] in b".,;:!?" for w in words[:: max(1, n // 256)]) / max(len(words[:: max(1, n // 256)]), 1),
+        sum(w[-1:] in b".,;:!?" for w in words) / n,
         math.log2(n + 1) / 24, math.log2(len(text) + 1) / 28, math.log2(len(lines) + 1) / 20,
         0.0 if n_chars is None or n_chars < 0 else math.log2(n_chars + 1) / 28,
     ]
