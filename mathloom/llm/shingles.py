@@ -1,44 +1,113 @@
-"""Near-duplicates by shared word shingles: every pair of texts of a Jaccard similarity of at least 0.8, none left out.
-
-Two sets of sizes a and b with that similarity differ in at most (a + b) / 9
-elements. Sets of like size are cut by hash value into more parts than can differ,
-so that two near sets agree in at least one part; parts that agree make candidates,
-whose sets are then compared in full. A set with so many empty parts that nothing but
-these may agree is also known by its lowest hashes, of which near sets share one.
-
-Before texts are compared, their sizes and the parities of their hashes in 512 slots
-bound how much they differ; no near pair is lost by that. Of a part's texts all are first compared with one; only texts that are not yet in one
-component by that are compared with each other.
+"""Near-duplicates by shared word shingles: all pairs of texts of a Jaccard similarity of at least 0.8, SimHash links first.
+
+Two texts are near if the sets of their five-word shingles are. SimHash fingerprints
+of those sets, linked by the generalised pigeonhole index of simhash.py, propose most
+pairs cheaply; but texts at 0.8 often differ in more bits than an index can bear, so
+a second search finds every other pair. It puts all shingles in one order, rare ones
+first: two near sets of sizes a and b share one of their first a // 5 + 1 and b // 5 + 1
+shingles in that order. Rare means a low count of the shingle's slot in a table of
+fixed size over all shingles of all texts; any order is right, a good one is fast.
+
+Proposed pairs are compared by their sizes and by the parities of their shingles in
+512 slots, which bound how much they differ, and what remains by the whole sets.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import connected_components
+from .components import FREQUENT, connected_components, join_frequent, pairs_across
 from .shared import stage_table
+from .simhash import near_links
+from .substrings import Words
 
 SHINGLE = 5
-_M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
-
-
-def shingle_set(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the word runs of a text (ASCII letters in lower case); a shorter text is one run, a blank one has none."""
-    words = text.lower().split()
-    if not words:
-        return np.empty(0, np.uint64)
-    joined = b" ".join(words)
-    if len(words) <= shingle:
-        return np.array([xxhash.xxh64_intdigest(joined, 42)], np.uint64)
-    gaps = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32).tolist()
-    stops = [*gaps[shingle - 1 :], len(joined)]
-    starts = [0, *(g + 1 for g in gaps[: len(stops) - 1])]
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.array([digest(joined[a:b], 42) for a, b in zip(starts, stops)], np.uint64))
+#: Slots of the table of counts, as a power of two.
+COUNT_BITS = 20
+def hashed_shingles(texts: list[bytes | None], shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """(text number, hash) of all word runs of some texts (ASCII letters in lower case), in text order; a shorter text is one run, a blank one has none."""
+    words = Words([(t or b"").lower() for t in texts])
+    number = np.repeat(np.arange(len(texts)), words.sizes)
+    owners, hashes = [], []
+    first = words.ends - words.sizes
+    for width in range(1, shingle + 1):
+        if width < shingle:
+            starts = first[words.sizes == width]
+        else:
+            starts = words.starts(shingle)
+        if len(starts):
+            owners.append(number[starts])
+            hashes.append(words.rolling(width)[starts])
+    if not owners:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    return np.concatenate(owners), np.concatenate(hashes)
+
+
+def _slots(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - COUNT_BITS)).astype(np.int64)
+
+
+class ShingleSets:
+    """The distinct shingles of some texts, each text's in one order: by the count of their slots, then by value."""
+
+    def __init__(self, texts: list[bytes | None], counts: np.ndarray | None = None, shingle: int = SHINGLE):
+        owner, hashes = hashed_shingles(texts, shingle)
+        if counts is None:
+            order = np.lexsort((hashes, owner))
+        else:
+            order = np.lexsort((hashes, counts[_slots(hashes)], owner))
+        owner, hashes = owner[order], hashes[order]
+        new = np.ones(len(owner), bool)
+        new[1:] = (owner[1:] != owner[:-1]) | (hashes[1:] != hashes[:-1])
+        self.owner, self.hashes = owner[new], hashes[new]
+        self.sizes = np.bincount(self.owner, minlength=len(texts)).astype(np.int64)
+        self.firsts = np.cumsum(self.sizes) - self.sizes
+
+    def prefixes(self) -> tuple[np.ndarray, np.ndarray]:
+        """How many keys each text has, and the keys: its first size // 5 + 1 shingles; a blank text has the key 0."""
+        lengths = self.sizes // 5 + 1
+        rank = np.arange(len(self.owner)) - self.firsts[self.owner]
+        keys = np.zeros(int(lengths.sum()), np.uint64)
+        blank = np.repeat(self.sizes == 0, lengths)
+        keys[~blank] = self.hashes[rank < lengths[self.owner]]
+        return lengths, keys
+
+    def sketches(self) -> list[bytes]:
+        """The parities of how many shingles of a text fall into each of some slots, as bits: 512, or the power of two from the set's size on."""
+        width = np.maximum(512, 1 << np.ceil(np.log2(np.maximum(self.sizes, 1))).astype(np.int64))
+        ends = np.cumsum(width)
+        cells = (ends - width)[self.owner] + (self.hashes & (width[self.owner] - 1).astype(np.uint64)).astype(np.int64)
+        odd = (np.bincount(cells, minlength=int(width.sum())) & 1).astype(np.uint8)
+        data = np.packbits(odd, bitorder="little").tobytes()
+        return [data[(b - w) // 8 : b // 8] for b, w in zip(ends.tolist(), width.tolist())]
+
+    def fingerprints(self) -> np.ndarray:
+        """SimHash of each set as a signed long: a bit is set where over half the shingles have it."""
+        out = np.zeros(len(self.sizes), np.int64)
+        full = np.flatnonzero(self.sizes)
+        if len(full):
+            bits = np.unpackbits(self.hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+            votes = np.add.reduceat(bits, self.firsts[full], axis=0, dtype=np.int32)
+            packed = np.packbits(votes * 2 > self.sizes[full][:, None], axis=1)
+            out[full] = packed.view(">u8").ravel().astype(np.uint64).view(np.int64)
+        return out
+
+
+def may_be_near(a_size: int, b_size: int, a: bytes, b: bytes) -> bool:
+    """Whether two sets may be near by their sizes and sketches: they differ in at least as many elements as the sketches do in bits."""
+    if 5 * min(a_size, b_size) < 4 * max(a_size, b_size):
+        return False
+    x, y = int.from_bytes(a, "little"), int.from_bytes(b, "little")
+    wide, narrow = max(len(a), len(b)) * 8, min(len(a), len(b)) * 8
+    if len(a) < len(b):
+        x, y = y, x
+    while wide > narrow:  # the halves of a sketch make that of half the width
+        wide //= 2
+        x = (x >> wide) ^ (x & ((1 << wide) - 1))
+    return 9 * (x ^ y).bit_count() <= a_size + b_size
 
 
 def near(a: np.ndarray, b: np.ndarray) -> bool:
@@ -48,130 +117,155 @@ def near(a: np.ndarray, b: np.ndarray) -> bool:
     return 9 * len(np.intersect1d(a, b, assume_unique=True)) >= 4 * (len(a) + len(b))
 
 
-def _classes(size: int) -> list[tuple[int, int]]:
-    """(number, largest size) of the class of a size and of the next one: near sets are in one class or in adjacent ones."""
-    k, low = 0, 1
-    while low * 5 // 4 < size:
-        k, low = k + 1, low * 5 // 4 + 1
-    return [(k, low * 5 // 4), (k + 1, (low * 5 // 4 + 1) * 5 // 4)]
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * _M2
-    x = (x ^ (x >> np.uint64(27))) * _M3
-    return x ^ (x >> np.uint64(31))
-
-
-def signatures(hashes: np.ndarray) -> np.ndarray:
-    """Keys, one of which at least any two near sets share."""
-    size = len(hashes)
-    if not size:
-        return np.zeros(1, np.uint64)
-    found, rank = [], hashes >> np.uint64(32)
-    for number, most_size in _classes(size):
-        parts = 2 * most_size // 9 + 2 + most_size // 64
-        part = (rank * np.uint64(parts)) >> np.uint64(32)  # rises with the hash, so parts are runs
-        starts = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
-        keys = np.add.reduceat(_mixed(hashes), starts) + part[starts] * _M1
-        found.append(_mixed(keys ^ np.uint64((number + 1) << 40)))
-        can_differ = (size + min(size * 5 // 4, most_size)) // 9
-        if len(starts) <= can_differ:  # all parts that agree may be empty ones
-            found.append(_mixed(_mixed(hashes[: size // 5 + 1]) ^ _M2))
-    return np.unique(np.concatenate(found))
-
-
-def sketch(hashes: np.ndarray) -> np.ndarray:
-    """512 parities of how many hashes fall into each slot; two sets differ in at least as many elements as these do in bits."""
-    odd = np.bincount((hashes & np.uint64(511)).astype(np.int64), minlength=512) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64)
-
-
-def _sketches(batches):
-    for batch in batches:
-        sizes, bits = [], []
-        for text in batch.column(1).cast(pa.binary()):
-            own = shingle_set(text.as_py() or b"")
-            sizes.append(len(own))
-            bits.append(sketch(own))
-        flat = np.concatenate(bits) if bits else np.empty(0, np.int64)
-        lists = pa.ListArray.from_arrays(pa.array(range(0, 8 * len(bits) + 1, 8), pa.int32()), pa.array(flat))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), lists], ["node", "size", "bits"])
-
-
-#: Of two sets with sizes a, b and sketches x, y: whether they may be near.
-MAY_BE_NEAR = "5 * least(a, b) >= 4 * greatest(a, b) AND 9 * aggregate(zip_with(x, y, (p, q) -> bit_count(p ^ q)), 0, (n, k) -> n + k) <= a + b"
-
-
-def _keys(batches):
+def _by_bytes(batch: pa.RecordBatch, most: int = 3_000_000):
+    """(first row, texts) of pieces of a batch whose last column holds texts, of about `most` bytes each."""
+    texts, size, at = [], 0, 0
+    for k, value in enumerate(batch.column(batch.num_columns - 1).cast(pa.binary())):
+        texts.append(value.as_py())
+        size += len(texts[-1] or b"")
+        if size >= most:
+            yield at, texts
+            texts, size, at = [], 0, k + 1
+    if texts:
+        yield at, texts
+
+
+def shingle_counts(texts: DataFrame, shingle: int = SHINGLE) -> np.ndarray:
+    """How many shingles of all texts (their only column) fall into each slot: 2 ** COUNT_BITS numbers at any size."""
+
+    def count(batches):
+        table = np.zeros(1 << COUNT_BITS, np.int64)
+        for batch in batches:
+            for _, piece in _by_bytes(batch):
+                table += np.bincount(_slots(hashed_shingles(piece, shingle)[1]), minlength=len(table))
+        used = np.flatnonzero(table)
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(table[used])], ["slot", "n"])
+
+    got = texts.mapInArrow(count, "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    table = np.zeros(1 << COUNT_BITS, np.int64)
+    table[got["slot"].to_numpy()] = got["n"].to_numpy()
+    return table
+
+
+def shingle_rows(texts: DataFrame, counts: np.ndarray, shingle: int = SHINGLE) -> DataFrame:
+    """texts(..., node, text) -> its columns but text, and size, sketch, fp and keys of each text's set."""
+    kept = texts.columns[:-1]
+    fields = ", ".join(f"`{c}` {texts.schema[c].dataType.simpleString()}" for c in kept)
+    shared = texts.sparkSession.sparkContext.broadcast(np.minimum(counts, 2**31 - 1).astype(np.int32))  # of fixed size
+
+    def known(batches):
+        for batch in batches:
+            for at, piece in _by_bytes(batch):
+                sets = ShingleSets(piece, shared.value, shingle)
+                lengths, keys = sets.prefixes()
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)), pa.array(keys.view(np.int64)))
+                own = batch.slice(at, len(piece)).columns[: len(kept)]
+                marks = [pa.array(sets.sizes), pa.array(sets.sketches(), pa.binary()), pa.array(sets.fingerprints())]
+                yield pa.RecordBatch.from_arrays([*own, *marks, lists], [*kept, "size", "sketch", "fp", "keys"])
+
+    return texts.mapInArrow(known, f"{fields}, size bigint, sketch binary, fp bigint, keys array<bigint>")
+
+
+def _admitted(batches):
     for batch in batches:
-        ids, keys = [], []
-        for key, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary())):
-            found = signatures(shingle_set(text.as_py() or b""))
-            ids.append(np.full(len(found), key, np.int64))
-            keys.append(found.view(np.int64))
-            if sum(map(len, keys)) > 500_000:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(keys))], ["node", "key"])
-                ids, keys = [], []
-        if ids:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(keys))], ["node", "key"])
-
-
-def _compared(batches):
-    for batch in batches:
-        us, vs, last, own = [], [], None, None
-        for u, v, a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()), batch.column(3).cast(pa.binary())):
-            if u != last:
-                last, own = u, shingle_set(a.as_py())
-            if near(own, shingle_set(b.as_py())):
-                us.append(u)
-                vs.append(v)
-        yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
-
-
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (u, v) whose texts are near."""
-    left = texts.select(F.col("node").alias("u"), F.col("text").alias("a"))
-    right = texts.select(F.col("node").alias("v"), F.col("text").alias("b"))
-    return pairs.join(right, "v").join(left, "u").select("u", "v", "a", "b").mapInArrow(_compared, "u bigint, v bigint")
-
-
-def near_components(texts: DataFrame) -> DataFrame:
-    """texts(node, text), nodes distinct -> (node, root) for every node that is linked to another, root the smallest it reaches."""
-    keys = texts.select("node", "text").mapInArrow(_keys, "node bigint, key bigint").repartition("key")
-    ends = keys.groupBy("key").agg(F.min("node").alias("u"), F.max("node").alias("last")).where("u <> last").select("key", "u")
-    shared = stage_table(keys.join(ends, "key"), "shared-keys")  # (key, node, u): the parts that several texts have
-    stars = stage_table(shared.where("node <> u").select("u", F.col("node").alias("v")).distinct(), "stars")
-    nodes = stars.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    found = stage_table(texts.select("node", "text").join(nodes, "node", "left_semi"), "candidates")
-    known = stage_table(found.select("node", "text").mapInArrow(_sketches, "node bigint, size bigint, bits array<bigint>"), "sketches")
-    first, second = known.toDF("u", "a", "x"), known.toDF("v", "b", "y")
-    likely = stars.join(first, "u").join(second, "v").where(MAY_BE_NEAR).select("u", "v")
-    links = stage_table(_verified(likely, found), "star-links")
+        keep = [may_be_near(*row) for row in zip(*(batch.column(k).to_pylist() for k in range(2, 6)))]
+        yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+
+def _compared(shingle: int):
+    def compare(batches):
+        last, own = None, None
+        for batch in batches:
+            us, vs = [], []
+            for u, v, a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()), batch.column(3).cast(pa.binary())):
+                if u != last:
+                    last, own = u, ShingleSets([a.as_py()], None, shingle).hashes
+                if near(own, ShingleSets([b.as_py()], None, shingle).hashes):
+                    us.append(u)
+                    vs.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
+
+    return compare
+
+
+def near_pairs(pairs: DataFrame, sets: DataFrame, texts: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """The pairs (u, v) of nodes whose texts are near: those that size and sketch admit are compared by their whole sets."""
+    marks = sets.select("node", "size", "sketch")
+    ordered = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u <> v").distinct()
+    sized = ordered.join(marks.toDF("u", "a", "x"), "u").join(marks.toDF("v", "b", "y"), "v").where("5 * least(a, b) >= 4 * greatest(a, b)")
+    likely = stage_table(sized.select("u", "v", "a", "b", "x", "y").mapInArrow(_admitted, "u bigint, v bigint"), "likely")
+    wanted = likely.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    found = stage_table(texts.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "compared-texts")
+    left, right = found.toDF("u", "a"), found.toDF("v", "b")
+    return stage_table(likely.join(right, "v").join(left, "u").select("u", "v", "a", "b").mapInArrow(_compared(shingle), "u bigint, v bigint"), "near-pairs")
+
+
+def simhash_pairs(sets: DataFrame, most: int) -> DataFrame:
+    """(u, v): nodes of equal fingerprints with the least of them, and the least nodes of fingerprints within `most` bits."""
+    prints = stage_table(sets.groupBy("fp").agg(F.min("node").alias("u")), "prints")
+    alike = sets.select("fp", F.col("node").alias("v")).join(prints, "fp").where("u <> v").select("u", "v")
+    links = near_links(prints.select("fp"), most)
+    across = links.join(prints.select(F.col("fp").alias("u"), F.col("u").alias("a")), "u").join(prints.select(F.col("fp").alias("v"), F.col("u").alias("b")), "v")
+    return alike.unionByName(across.select(F.col("a").alias("u"), F.col("b").alias("v")))
+
+
+def shared_keys(keys: DataFrame, counts: np.ndarray) -> DataFrame:
+    """keys(node, key) -> those rows whose key several nodes have, and the number p of these.
+
+    Keys in the slots that hold over one in FREQUENT of all shingles, fewer than
+    FREQUENT slots, may be those of very many nodes and meet their counts by broadcast;
+    all others are dealt by key once, for their counts and the join with these.
+    """
+    heavy = F.shiftrightunsigned("key", 64 - COUNT_BITS).isin(np.flatnonzero(counts * FREQUENT > counts.sum()).tolist())
+    light = keys.where(~heavy).repartition("key")
+    found = light.join(light.groupBy("key").agg(F.count("*").alias("p")).where("p > 1"), "key").select("node", "key", "p")
+    hot = keys.where(heavy)
+    often = hot.groupBy("key").agg(F.count("*").alias("p")).where("p > 1").withColumn("weight", F.col("p"))
+    return found.unionByName(join_frequent(hot, often, "key", "weight", int(counts.sum())).select("node", "key", "p"))
+
+
+def near_components(sets: DataFrame, texts: DataFrame, counts: np.ndarray, most: int = 4, shingle: int = SHINGLE) -> DataFrame:
+    """sets(node, size, sketch, fp, keys), texts(node, text) -> (node, root) for every node that is linked to another, root the smallest it reaches."""
+    shared = stage_table(shared_keys(sets.select("node", F.explode("keys").alias("key")), counts), "shared-keys")
+    least = shared.groupBy("key").agg(F.min("node").alias("u"), F.count("*").alias("n"))
+    stars = join_frequent(shared.select("key", F.col("node").alias("v")), least, "key", "n", shared.count()).select("u", "v")
+    links = near_pairs(simhash_pairs(sets, most).unionByName(stars), sets, texts, shingle)
     roots = connected_components(links)
-    placed = shared.select("key", "node").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    mixed = placed.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("key")
-    left = stage_table(placed.join(mixed, "key", "left_semi"), "mixed-keys")
-    u = left.select("key", F.col("node").alias("u"), F.col("root").alias("ru")).join(first, "u")
-    v = left.select("key", F.col("node").alias("v"), F.col("root").alias("rv")).join(second, "v")
-    rest = u.join(v, "key").where(f"u < v AND ru <> rv AND {MAY_BE_NEAR}").select("u", "v").distinct().join(stars, ["u", "v"], "left_anti")
-    more = stage_table(_verified(rest, found), "more-links")
+    several = shared.where("p > 2")  # of two nodes the pair has been compared
+    placed = stage_table(several.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"), F.lit(True).alias("own"), "p"), "placed-keys")
+    mixed = placed.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("n")).where("a <> b").select("key", "n")
+    left = stage_table(join_frequent(placed, mixed, "key", "n", placed.count()), "mixed-keys")
+    more = near_pairs(pairs_across(left, "TRUE", left.count()), sets, texts, shingle)
     return connected_components(links.unionByName(more))
 
 
-def kept_rows(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def kept_rows(docs: DataFrame, most: int = 4, text: str = "text", doc_id: str = "doc_id", shingle: int = SHINGLE) -> DataFrame:
     """One row of docs of each group of near-duplicates: that with the smallest id (null ids come last, then the text decides).
 
     Rows are told apart by id and text together, so an id with several texts is
-    several rows. Null and blank texts are alike; columns of docs are kept as they are.
+    several rows; equal rows count as one. Null and blank texts are alike; an empty
+    table gives an empty one; columns of docs are kept as they are. Docs is read
+    several times, so it should be a table.
     """
-    words, digest = F.coalesce(F.col(text), F.lit("")), F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))
-    row = F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), digest.alias("digest"))
-    alike = stage_table(docs.select(F.xxhash64(words).alias("node"), words.alias("text"), row.alias("row")).groupBy("node").agg(F.min("row").alias("row"), F.first("text").alias("text")), "texts")
-    roots = near_components(alike.select("node", "text"))
-    best = alike.select("node", "row").join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("row").alias("row"))
-    def named(key, own):
-        return F.concat(own, F.coalesce(F.concat(F.lit("+"), key.cast("string")), F.lit("-")))
-
-    best = best.select(named(F.col("row.id"), F.col("row.digest")).alias("__row"))
-    kept = docs.withColumn("__row", named(F.col(doc_id), digest)).join(best, "__row", "left_semi")
-    return kept.dropDuplicates(["__row"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    words = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    node, own_id = F.xxhash64(words), F.col(f"`{doc_id}`")
+    texts = docs.select(node.alias("node"), words.alias("text"))
+    counts = shingle_counts(texts.select("text"), shingle)
+    rows = stage_table(shingle_rows(docs.select(own_id.alias("id"), node.alias("node"), words.alias("text")), counts, shingle), "shingle-rows")
+    each = stage_table(rows.groupBy("id", "node").agg(F.count("*").alias("n")), "each-row")
+    copied = stage_table(each.groupBy("node").agg(F.sum("n").alias("n")).where("n > 1").select("node"), "copied")
+    copies = rows.join(copied, "node", "left_semi").groupBy("node").agg(F.first(F.struct("size", "sketch", "fp", "keys")).alias("set"))
+    sets = rows.join(copied, "node", "left_anti").select("node", "size", "sketch", "fp", "keys").unionByName(stage_table(copies.select("node", "set.*"), "copies"))
+    roots = near_components(sets, texts, counts, most, shingle)
+    placed = each.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    best = placed.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node")).alias("row")).select("row.id", "row.node")
+    mark = F.concat(F.coalesce(F.concat(F.col("id").cast("string"), F.lit("+")), F.lit("-")), F.col("node").cast("string")).alias("__row")
+    gone = each.select(mark).join(best.select(mark), "__row", "left_anti")
+    again = stage_table(each.where("n > 1").select(mark).join(gone, "__row", "left_anti"), "repeated-rows")
+    named = docs.withColumn("__row", F.concat(F.coalesce(F.concat(own_id.cast("string"), F.lit("+")), F.lit("-")), node.cast("string")))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    gone = stage_table(gone, "dropped-rows")
+    kept = named.join(gone.unionByName(again), "__row", "left_anti").select(*columns)
+    if again.isEmpty():
+        return kept
+    return kept.unionByName(named.join(again, "__row", "left_semi").dropDuplicates(["__row"]).select(*columns))

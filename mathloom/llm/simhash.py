@@ -19,8 +19,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .components import connected_components
-from .shared import checkpoint
+from .components import connected_components, join_frequent, pairs_across
+from .shared import checkpoint, stage_table
 
 BITS = 64
 
@@ -134,13 +134,13 @@ def allocate(n: int, both: np.ndarray, groups: list[list[int]], most: int, probe
 
 
 def plan_parts(n: int, both: np.ndarray, most: int) -> list[tuple[list[int], int]]:
-    """The cheapest split: bits of each part in use, and its threshold."""
+    """The cheapest split: bits of each part in use, and its threshold; the one with the fewest probes among equals."""
     options = []
     for parts in range(1, most + 2):
         groups = group_bits(n, both, parts)
         cost, thresholds = allocate(n, both, groups, most)
-        options.append((cost, parts, list(zip(groups, thresholds))))
-    return [(g, t) for g, t in min(options)[2] if t >= 0]
+        options.append((cost, sum(_variants(len(g), t) for g, t in zip(groups, thresholds)), parts, list(zip(groups, thresholds))))
+    return [(g, t) for g, t in min(options)[3] if t >= 0]
 
 
 def _signed(x: int) -> int:
@@ -148,30 +148,44 @@ def _signed(x: int) -> int:
 
 
 def _flipped(k: int, part: Column):
-    return lambda f: F.struct(F.lit(k).alias("part"), part.bitwiseXOR(f).alias("value"))
+    return lambda f: F.struct(F.xxhash64(F.lit(k), part.bitwiseXOR(f)).alias("key"), (f == 0).alias("own"))
 
 
-def near_links(prints: DataFrame, most: int = 4) -> DataFrame:
-    """prints(fp), distinct -> links (u, v), u < v: all pairs of different fingerprints within `most` bits.
+def near_links(prints: DataFrame, most: int = 4, crowd: int = 256) -> DataFrame:
+    """prints(fp), distinct -> links (u, v), u < v, that join all fingerprints which links of at most `most` bits join.
 
-    A pair that meets in several parts comes back once for each. Every fingerprint
-    is indexed by its own value of each part and probes all values within the
-    part's threshold; the join verifies the whole fingerprints.
+    Every fingerprint is indexed by its own value of each part and probes all values
+    within the part's threshold. Where fewer than `crowd` meet at a value, each pair
+    within `most` bits is a link (once for each part in which it meets). In a crowd all are first
+    compared with its least fingerprint; only pairs that are not yet joined by that
+    are compared with each other, so that a dense group gives no more links than it has members.
     """
     n, both = bit_statistics(prints)
-    probes, index = [], []
+    if n < 2:
+        return prints.select(F.col("fp").alias("u"), F.col("fp").alias("v")).where(F.lit(False))
+    probes, n_rows = [], 0
     for k, (group, threshold) in enumerate(plan_parts(n, both, most)):
         weights = [1 << (BITS - 1 - b) for b in group]
         part = F.col("fp").bitwiseAND(F.lit(_signed(sum(weights))))
         flips = [_signed(sum(c)) for d in range(threshold + 1) for c in itertools.combinations(weights, d)]
-        index.append(F.struct(F.lit(k).alias("part"), part.alias("value")))
         probes.append(F.transform(F.array(*map(F.lit, flips)), _flipped(k, part)))
-
-    def spread(keys: Column, fp: str) -> DataFrame:
-        return prints.select(F.col("fp").alias(fp), F.explode(keys).alias("key")).select(fp, "key.part", "key.value")
-
-    left, right = spread(F.flatten(F.array(*probes)), "u"), spread(F.array(*index), "v")
-    return left.join(right, ["part", "value"]).where(f"u < v AND bit_count(u ^ v) <= {int(most)}").select("u", "v")
+        n_rows += n * len(flips)
+    near = f"bit_count(u ^ v) <= {int(most)}"
+    spread = prints.select("fp", F.explode(F.flatten(F.array(*probes))).alias("at")).select(F.col("fp").alias("node"), "at.key", "at.own")
+    met = spread.groupBy("key").agg(F.count("*").alias("p"), F.min(F.when(F.col("own"), F.col("node"))).alias("first"))
+    met = met.where("p > 1 AND first IS NOT NULL").withColumn("weight", F.col("p"))
+    meetings = stage_table(join_frequent(spread, met, "key", "weight", n_rows), "meetings")
+    few = meetings.where(F.col("p") < crowd)
+    index = few.where("own").select("key", F.col("node").alias("v"))
+    links = few.select("key", F.col("node").alias("u")).join(index, "key").where(f"u < v AND {near}").select("u", "v")
+    crowds = meetings.where(F.col("p") >= crowd)
+    n_crowded = crowds.count()
+    if not n_crowded:
+        return links
+    stars = stage_table(crowds.select(F.col("first").alias("u"), F.col("node").alias("v")).where(f"u <> v AND {near}").distinct(), "stars")
+    roots = connected_components(stars)
+    members = stage_table(crowds.select("key", "node", "own", "p").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "crowds")
+    return links.unionByName(stars).unionByName(pairs_across(members, near, n_crowded)).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
 
 
 def near_duplicates(docs: DataFrame, most: int = 4, shingle: int = 4, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -184,12 +198,13 @@ def near_duplicates(docs: DataFrame, most: int = 4, shingle: int = 4, text: str
     An empty table gives an empty one. Other columns are not read.
     """
     prints = checkpoint(fingerprints(docs, shingle, text, doc_id))
-    classes = checkpoint(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = connected_components(near_links(classes.select("fp"), most)).withColumnRenamed("node", "fp")
-    labelled = classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    names = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = labelled.join(names, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    classes = checkpoint(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
+    roots = checkpoint(connected_components(near_links(classes.select("fp"), most)).withColumnRenamed("node", "fp"))
+    linked = classes.join(roots, "fp")
+    names = linked.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("weight"))
+    named = join_frequent(linked.select("fp", "root", "n"), names, "root", "weight", roots.count()).select("fp", "component_id", "n")
+    alone = classes.join(roots, "fp", "left_anti").select("fp", F.col("least").alias("component_id"), "n")
+    return join_frequent(prints, checkpoint(named.unionByName(alone)), "fp", "n", prints.count()).select("doc_id", "fp", "component_id")
 
 
 def fingerprint_hex(fp: str = "fp") -> Column:
