@@ -26,11 +26,12 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the row with the smallest id stays, once.
 
-    Near are texts whose five-word shingles have a Jaccard similarity of 0.8 or more, found without
-    exception. Rows are told apart by id and text; those without an id are in the same search and
-    stay only where no row of their group has one.
+    Near are texts whose five-word shingles have a Jaccard similarity of 0.8 or more:
+    SimHash links are compared first, and an exact search finds the pairs whose
+    fingerprints lie too far apart. Rows are told apart by id and text; those without
+    an id are in the same search and stay only where no row of their group has one.
     """
-    return shingles.kept_rows(docs)
+    return shingles.kept_rows(docs, most=4)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
