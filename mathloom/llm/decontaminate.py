@@ -8,18 +8,25 @@ Test items are taken in blocks of a bounded number of words, one automaton each.
 
 from __future__ import annotations
 
+import functools
 import math
-from functools import lru_cache
+import re
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import private, stage_table
+
 #: Bytes to word bytes: A-Z to lower case, every other ASCII byte but 0-9 and a-z to a blank.
 NORMAL = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 
 
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+NORMAL_WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")  # of a text in lower case
+
+
 def normal_words(text: bytes | None) -> list[bytes]:
     return (text or b"").translate(NORMAL).split()
 
@@ -140,62 +147,90 @@ class ItemAutomaton:
         return np.fromiter((get(w, -1) for w in words), np.int64, len(words))
 
 
-@lru_cache(maxsize=2)
-def _automaton(items: tuple, window: int) -> ItemAutomaton:
-    return ItemAutomaton(list(items), window)
+SPANS = "array<struct<start: bigint, end: bigint>>"
+_SPAN_TYPE = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
-def item_blocks(benchmark: DataFrame, item_id: str, text: str, block_chars: int) -> list[tuple]:
-    """The items, in blocks of about block_chars characters: the test set, a stated query set, is taken block by block."""
-    items = benchmark.select(F.col(item_id).cast("string").alias("item"), F.col(text).alias("words")).where("item IS NOT NULL AND words IS NOT NULL").distinct()
+def item_blocks(benchmark: DataFrame, item_id: str, text: str, block_chars: int) -> tuple[DataFrame, int]:
+    """The items, numbered by block, and the number of blocks of about block_chars characters."""
+    items = benchmark.select(F.col(item_id).cast("string").alias("item"), F.col(text).alias("words")).where("words IS NOT NULL").distinct()
     total = items.agg(F.coalesce(F.sum(F.length("words")), F.lit(0))).first()[0]
     blocks = max(1, math.ceil(total / block_chars))
-    numbered = items.withColumn("block", F.expr(f"pmod(xxhash64(item), {blocks})"))
-    out = []
-    for b in range(blocks):
-        rows = numbered.where(F.col("block") == b).orderBy("item", "words").collect()
-        out.append(tuple((r["item"], r["words"].encode()) for r in rows))
-    return [b for b in out if b] or [()]
+    return items.withColumn("block", F.pmod(F.xxhash64("item", "words"), F.lit(blocks))), blocks
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, text: str = "text", item_id: str = "item_id", item_text: str = "text", block_chars: int = 4_000_000) -> DataFrame:
-    """docs and the columns n_words, spans (array of {start, end}, in words) and items (sorted ids as strings) of its hits.
+def _one_block(numbered: DataFrame, block: int) -> list[tuple]:
+    """The items of a block, of bounded size: the test set, a stated query set, is taken block by block."""
+    rows = numbered.where(F.col("block") == block).orderBy("item", "words").collect()
+    return [(r["item"], r["words"].encode()) for r in rows]
 
-    Null texts have no words; null items and items without words have no windows;
-    repeated items count once an id. An item id with several texts counts as one item.
-    Columns of docs with these names are replaced. Empty tables give no hits.
-    """
-    blocks = item_blocks(benchmark, item_id, item_text, block_chars)
-    spark = docs.sparkSession
-    kept = [c for c in docs.columns if c not in ("n_words", "spans", "items", "__text")]
-    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept)
-    span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-    shared = [spark.sparkContext.broadcast(b) for b in blocks]  # each of bounded size
+
+def _scanner(shared, window: int, every: bool):
+    """A function over batches whose last column holds texts: the other columns, n_words, spans and items; without `every` only rows with hits."""
 
     def scan(batches):
+        machine = ItemAutomaton(shared.value, window)  # built once a partition
         for batch in batches:
             n_words, spans, found = [], [], []
-            for value in batch.column(len(kept)).cast(pa.binary()):
+            for value in batch.column(batch.num_columns - 1).cast(pa.binary()):
                 words = normal_words(value.as_py())
-                hits, items = [], set()
-                for block in shared:
-                    machine = _automaton(block.value, window)
-                    some, named = machine.windows(machine.number(words))
-                    hits += some
-                    items |= named
-                merged: list[list[int]] = []
-                for a, b in sorted(hits):
-                    if merged and a <= merged[-1][1]:
-                        merged[-1][1] = max(merged[-1][1], b)
-                    else:
-                        merged.append([a, b])
+                hits, items = machine.windows(machine.number(words))
                 n_words.append(len(words))
-                spans.append([{"start": a, "end": b} for a, b in merged])
-                found.append(sorted(items))
-            more = [pa.array(n_words, pa.int64()), pa.array(spans, span_type), pa.array(found, pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *more], [*kept, "n_words", "spans", "items"])
+                spans.append([{"start": a, "end": b} for a, b in hits])
+                found.append(sorted(k for k in items if k is not None))
+            more = [pa.array(n_words, pa.int64()), pa.array(spans, _SPAN_TYPE), pa.array(found, pa.list_(pa.string()))]
+            out = pa.RecordBatch.from_arrays([*batch.columns[:-1], *more], [*batch.schema.names[:-1], "n_words", "spans", "items"])
+            yield out if every else out.filter(pa.array([bool(s) for s in spans], pa.bool_()))
+
+    return scan
+
 
-    return docs.select(*[F.col(f"`{c}`") for c in kept], F.col(text).alias("__text")).mapInArrow(scan, f"{fields}, n_words bigint, spans array<struct<start: bigint, end: bigint>>, items array<string>")
+def _merged(spans: str):
+    """Column: an array of spans, sorted, with those that touch joined."""
+    empty = F.array().cast(SPANS)
+
+    def add(done, s):
+        last = F.element_at(done, -1)
+        grown = F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"))))
+        return F.when((F.size(done) > 0) & (F.get(done, F.size(done) - 1)["end"] >= s["start"]), grown).otherwise(F.concat(done, F.array(s)))
+
+    return F.aggregate(F.array_sort(spans), empty, add)
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, text: str = "text", item_id: str = "item_id", item_text: str = "text", block_chars: int = 4_000_000) -> DataFrame:
+    """docs and the columns n_words, spans (array of {start, end}, in words) and items (sorted ids as strings) of its hits.
+
+    Null texts have no words; items without words have no windows; items without an
+    id hit words, but are not listed; repeated items count once an id. An item id with
+    several texts counts as one item. Columns of docs with these names are replaced.
+    Empty tables give no hits. A benchmark of several blocks takes one pass over the
+    texts for each: one block at a time is brought to the driver, broadcast and made
+    into one automaton a partition; the hits of a text are then put together by its digest.
+    """
+    numbered, blocks = item_blocks(benchmark, item_id, item_text, block_chars)
+    spark = docs.sparkSession
+    kept = [c for c in docs.columns if c not in ("n_words", "spans", "items")]
+    own, of = private(docs, "__text"), [F.col(f"`{c}`") for c in kept]
+    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept)
+    found = f"n_words bigint, spans {SPANS}, items array<string>"
+    first = spark.sparkContext.broadcast(_one_block(numbered, 0))
+    scanned = docs.select(*of, F.col(text).alias(own)).mapInArrow(_scanner(first, window, True), f"{fields}, {found}" if kept else found)
+    if blocks == 1:
+        return scanned
+    digest = F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))
+    parts = []
+    for b in range(blocks):
+        shared = first if b == 0 else spark.sparkContext.broadcast(_one_block(numbered, b))
+        hits = docs.select(digest.alias("digest"), F.col(text).alias("text")).mapInArrow(_scanner(shared, window, False), f"digest string, {found}")
+        parts.append(stage_table(hits.groupBy("digest").agg(F.first("spans").alias("spans"), F.first("items").alias("items")), f"block-{b}"))
+        if b:
+            shared.destroy()
+    every = functools.reduce(DataFrame.unionByName, parts).groupBy("digest").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    mark = private(docs, "__digest")
+    joined = every.select(F.col("digest").alias(mark), _merged("spans").alias("__spans"), F.col("items").alias("__items"))
+    counted = docs.withColumn(mark, digest).select(*of, mark, F.size(F.filter(F.split(F.translate(F.coalesce(F.col(text), F.lit("")), UPPER, LOWER), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), lambda w: w != "")).cast("bigint").alias("n_words"))
+    out = counted.join(joined, mark, "left")
+    return out.select(*of, "n_words", F.coalesce("__spans", F.array().cast(SPANS)).alias("spans"), F.coalesce("__items", F.array().cast("array<string>")).alias("items"))
 
 
 def hit_words():
@@ -215,3 +250,43 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, span_
     stay = (longest <= span_limit) & (hit_words() <= F.col("n_words") * F.lit(float(coverage_limit)))
     return found.where(stay).select(*[F.col(f"`{own.get(c, c)}`").alias(c) for c in docs.columns])
 
+
+
+def _without(text: bytes, spans: list[dict]) -> bytes:
+    """A text without the words of some spans, and what stands between these."""
+    places = [m.span() for m in NORMAL_WORD.finditer(text.lower())]
+    out, at = [], 0
+    for span in spans:
+        out.append(text[at : places[span["start"]][0]])
+        at = places[span["end"] - 1][1]
+    return b"".join([*out, text[at:]])
+
+
+def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = 10, span_limit: int = 0, coverage_limit: float = 1.0, text: str = "text", **columns) -> DataFrame:
+    """docs with every hit span of more than span_limit words cut out of its text, but for the rows of which a larger
+    share of the words than coverage_limit is hit: these go.
+
+    Other rows stay as they are. n_chars, if docs has it, follows where the text changes.
+    """
+    own = {c: private(docs, f"__own_{c}") for c in ("n_words", "spans", "items") if c in docs.columns}
+    renamed = docs.withColumnsRenamed(own)
+    found = contamination(renamed, benchmark, window, text=own.get(text, text), **columns).where(hit_words() <= F.col("n_words") * F.lit(float(coverage_limit)))
+    cut = private(renamed, "__cut")
+    found = found.withColumn(cut, F.filter("spans", lambda s: s["end"] - s["start"] > span_limit))
+    kept = found.columns
+    fields = ", ".join(f"`{c}` {found.schema[c].dataType.simpleString()}" for c in kept)
+    where, what = kept.index(own.get(text, text)), kept.index(cut)
+
+    def trim(batches):
+        for batch in batches:
+            texts = batch.column(where)
+            if any(len(s) for s in batch.column(what)):
+                texts = pa.array([_without(t.as_py().encode(), s.as_py()).decode() if len(s) else t.as_py() for t, s in zip(texts, batch.column(what))], pa.string())
+            columns = list(batch.columns)
+            columns[where] = texts
+            yield pa.RecordBatch.from_arrays(columns, kept)
+
+    trimmed = found.mapInArrow(trim, fields)
+    if "n_chars" in docs.columns:
+        trimmed = trimmed.withColumn("n_chars", F.when(F.size(cut) > 0, F.char_length(F.col(own.get(text, text))).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return trimmed.select(*[F.col(f"`{own.get(c, c)}`").alias(c) for c in docs.columns])

@@ -61,7 +61,7 @@ def features(text: bytes | None, n_chars: int | None) -> tuple[np.ndarray, np.nd
     counts: dict[bytes, int] = {}
     for w in words:
         counts[w] = counts.get(w, 0) + 1
-    stats = np.array(statistics(text, text.split(), counts, n_chars))
+    stats = np.array(statistics(text, words, counts, n_chars))
     bins = np.minimum((np.sqrt(np.clip(stats, 0, 1)) * BINS).astype(np.int64), BINS - 1)
     structure = WORDS + np.arange(len(stats)) * BINS + bins
     if not counts:

@@ -8,6 +8,7 @@ mean over its words.
 
 from __future__ import annotations
 
+import re
 import zlib
 from dataclasses import dataclass, field
 
@@ -17,14 +18,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import bounded_sample, held_out_bucket
+from .shared import bounded_sample, held_out_bucket, private
 
 SLOTS = 1 << 16
 UNDETERMINED = "und"
 WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
-#: Words longer than this are known by their first and last letters; the lexicon holds this many words a language.
-LONG = 40
-LEXICON = 400
+ASCII_WORD = re.compile("[a-z]+")
 
 
 class _Slots(dict):
@@ -46,8 +45,6 @@ _GRAM, _START, _END, _LETTER = _Slots("g"), _Slots("p"), _Slots("s"), _Slots("u"
 
 def word_features(word: str) -> list[int]:
     """Slots of a lower-case word: the word, affixes of 1 to 3 letters, n-grams of 2 and 3 letters, its letters beyond ASCII."""
-    if len(word) > LONG:
-        word = word[: LONG // 2] + word[-LONG // 2 :]
     b = f"^{word}$"
     slots = {_GRAM[b[i : i + 2]] for i in range(len(b) - 1)}
     slots.update([_GRAM[b[i : i + 3]] for i in range(len(b) - 2)])
@@ -133,20 +130,25 @@ class ChainModel:
 
 
 def words_of(text: str | None) -> list[str]:
-    return WORD.findall(text.lower()) if text else []
+    """Runs of letters (with their marks) of a whole text in lower case; unspaced scripts give a word a sentence."""
+    if not text:
+        return []
+    return (ASCII_WORD if text.isascii() else WORD).findall(text.lower())
 
 
 class Labeller:
     """Applies a model to texts; scores of frequent words are kept, up to a bounded number of them."""
 
-    def __init__(self, model: ChainModel, most_known: int = 300_000):
-        self.model, self.most_known = model, most_known
+    def __init__(self, model: ChainModel, most_known: int = 300_000, most_letters: int = 6_000_000):
+        self.model, self.most_known, self.most_letters = model, most_known, most_letters
+        self.letters = 0
         self.known: dict[str, int] = {}
         self.table = np.zeros((1024, len(model.languages)))
 
     def scores(self, words: list[str]) -> np.ndarray:
-        if len(self.known) > self.most_known:
+        if len(self.known) > self.most_known or self.letters > self.most_letters:
             self.known.clear()
+            self.letters = 0
         get = self.known.get
         at = [get(w, -1) for w in words]
         if -1 in at:
@@ -166,6 +168,7 @@ class Labeller:
                     rows[i] += lexicon[w]
             self.table[size : size + len(new)] = rows
             self.known.update(zip(new, range(size, size + len(new))))
+            self.letters += sum(map(len, new))
             at = [self.known[w] for w in words]
         return self.table[at]
 
@@ -179,24 +182,23 @@ class Labeller:
         ends = np.cumsum(sizes)
         first = np.zeros(len(flat), bool)
         first[(ends - sizes)[sizes > 0]] = True
-        shares = np.concatenate((np.zeros((1, len(self.model.languages))), np.cumsum(self.model.posteriors(self.scores(flat), first), axis=0)))
-        out = []
-        for end, size in zip(ends.tolist(), sizes.tolist()):
-            if not size:
-                out.append((UNDETERMINED, 0.0))
-                continue
-            mean = (shares[end] - shares[end - size]) / size
+        worded = np.flatnonzero(sizes)
+        means = np.add.reduceat(self.model.posteriors(self.scores(flat), first), (ends - sizes)[worded], axis=0) / sizes[worded, None]
+        means = np.round(np.clip(means, 0.0, 1.0), 9)  # so that equal texts have equal scores, whatever stands beside them
+        out = [(UNDETERMINED, 0.0)] * len(texts)
+        for i, mean in zip(worded.tolist(), means):
             best = int(mean.argmax())
-            out.append((self.model.languages[best], float(min(1.0, max(0.0, mean[best])))))
+            out[i] = (self.model.languages[best], float(mean[best]))
         return out
 
 
-def fit_chain(texts: list[tuple[str, str]], epochs: int = 4, length: int = 32, batch: int = 32, rate: float = 0.05, seed: int = 11) -> ChainModel:
+def fit_chain(texts: list[tuple[str, str]], epochs: int = 3, lexicon: int = 400, length: int = 32, batch: int = 32, rate: float = 0.05, seed: int = 11) -> ChainModel:
     """A chain fitted by Adam on the conditional likelihood of word labels, from a bounded list of (text, language).
 
     A word's label is the language of its text. Texts are cut into stretches, and
     stretches of different texts are strung together at random, so that the
-    transitions are learned from code-switched sequences.
+    transitions are learned from code-switched sequences. The lexicon holds the
+    `lexicon` most frequent words of each language; all other words are known by their parts.
     """
     rng = np.random.default_rng(seed)
     languages = sorted({lang for _, lang in texts})
@@ -219,7 +221,7 @@ def fit_chain(texts: list[tuple[str, str]], epochs: int = 4, length: int = 32, b
     if not stretches:
         return model
     totals = np.maximum(sum(counts.values()), 1)
-    chosen = {w for j in range(k) for w in sorted(counts, key=lambda w: (-counts[w][j], w))[:LEXICON] if counts[w][j] > 1}
+    chosen = {w for j in range(k) for w in sorted(counts, key=lambda w: (-counts[w][j], w))[:lexicon] if counts[w][j] > 1}
     for w in chosen:
         rates = np.log((counts[w] + 0.5) / (totals + 1))
         model.lexicon[w] = np.clip(rates - rates.mean(), -2, 2)
@@ -274,17 +276,15 @@ def _marginals(scores: np.ndarray, transition: np.ndarray) -> tuple[np.ndarray,
     return node, edge
 
 
-def train_languages(docs: DataFrame, most_rows: int = 1200, most_words: int = 200, folds: int = 3, held_out: int = 1, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> ChainModel:
+def train_languages(docs: DataFrame, most_rows: int = 600, folds: int = 3, held_out: int = 1, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> ChainModel:
     """A chain fitted on texts with a non-null language outside the held-out fold.
 
-    The fit sees at most about `most_rows` rows, chosen by a hash of the id, and of
-    each the `most_words` words from the middle on (both bounds of the fit alone).
+    The fit sees the whole texts of at most about `most_rows` rows, chosen by a hash of
+    the id (a bound of the fit alone).
     """
     known = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")).where("lang IS NOT NULL AND text IS NOT NULL").where(held_out_bucket("doc_id", folds) != held_out)
     sample = bounded_sample(known, "doc_id", most_rows, "language")
-    words = F.split("text", r"\s+")
-    middle = F.array_join(F.slice(words, F.greatest(F.lit(1), F.floor((F.size(words) - most_words) / 2).cast("int") + 1), most_words), " ")
-    rows = sample.select(middle.alias("text"), "lang", F.xxhash64("doc_id", "text").alias("at")).orderBy("at", "lang").collect()
+    rows = sample.select("text", "lang", F.xxhash64("doc_id", "text").alias("at")).orderBy("at", "lang").collect()
     return fit_chain([(r["text"], r["lang"]) for r in rows])
 
 
@@ -296,7 +296,7 @@ def identify(docs: DataFrame, model: ChainModel, text: str = "text", batch_chars
     names are replaced; repeated rows come back as often; an empty table gives an empty one.
     """
     new = ("lang_pred", "lang_score")
-    kept = [c for c in docs.columns if c not in (*new, "__text")]
+    kept = [c for c in docs.columns if c not in new]
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # SLOTS rows and the lexicon
 
@@ -315,4 +315,4 @@ def identify(docs: DataFrame, model: ChainModel, text: str = "text", batch_chars
             found += labeller.documents(held)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], [*kept, *new])
 
-    return docs.select(*[F.col(f"`{c}`") for c in kept], F.col(text).alias("__text")).mapInArrow(label, f"{fields}, lang_pred string, lang_score double")
+    return docs.select(*[F.col(f"`{c}`") for c in kept], F.col(text).alias(private(docs, "__text"))).mapInArrow(label, f"{fields}, lang_pred string, lang_score double")

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import checkpoint, sort_key
+from .shared import checkpoint, private, sort_key
 
 #: Beyond this mean the copies are the sum of floor(rate / 8) Poisson numbers of mean 8 and one of the rest, each with a hash of its own.
 MOST_RATE = 8.0
@@ -67,30 +67,35 @@ def repetition_rates(docs: DataFrame, weights: DataFrame | None = None, budget_r
     return weighed.crossJoin(F.broadcast(total)).select("source", "rows", rate.alias("rate"))  # the total is one row
 
 
-def _with_rates(rows: DataFrame, rates: DataFrame, doc_id: str) -> DataFrame:
-    """rows and the rate of their source: few sources are broadcast, after they are counted; many are joined with salt, as one may hold most rows."""
+def _with_rates(rows: DataFrame, rates: DataFrame, name: str, doc_id: str, most_broadcast: int) -> DataFrame:
+    """rows and the rate of their source `name`: few sources are broadcast, after they are counted; many are joined with salt, as one may hold most rows."""
     rates = checkpoint(rates)
-    if rates.count() <= MOST_BROADCAST_SOURCES:
-        return rows.join(F.broadcast(rates), "__source")
-    salted = rates.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return rows.withColumn("__salt", F.pmod(F.xxhash64(doc_id), F.lit(SALTS)).cast("int")).join(salted, ["__source", "__salt"])
+    if rates.count() <= most_broadcast:
+        return rows.join(F.broadcast(rates), name)
+    salt = private(rows, "__salt")
+    salted = rates.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn(salt, F.pmod(F.xxhash64(doc_id), F.lit(SALTS)).cast("int")).join(salted, [name, salt])
 
 
-def mix(docs: DataFrame, weights: DataFrame | None = None, budget_rows: float | None = None, seed: str = "mix", source: str = "source", doc_id: str = "doc_id") -> DataFrame:
+def mix(docs: DataFrame, weights: DataFrame | None = None, budget_rows: float | None = None, seed: str = "mix", source: str = "source", doc_id: str = "doc_id", most_broadcast: int = MOST_BROADCAST_SOURCES) -> DataFrame:
     """The copies of docs' rows: columns of docs, copy_no (from 1), n_copies and shuffle_key, in the global order of shuffle_key.
 
     The same ids get the same copies at every run. Rows that repeat an id repeat its
     number of copies; null ids count as an empty id, null texts are carried along.
     An empty table gives an empty one; columns of docs named like the new ones are replaced.
+    The order is that of partitions, each a range of the (uniform) key, and of the rows in each: no sample is needed for it.
     """
-    rates = repetition_rates(docs, weights, budget_rows, source).select(F.col("source").alias("__source"), F.col("rate").alias("__rate"))
+    name, rate, copy = (private(docs, c) for c in ("__source", "__rate", "__copy"))
+    rates = repetition_rates(docs, weights, budget_rows, source).select(F.col("source").alias(name), F.col("rate").alias(rate))
     new = ("copy_no", "n_copies", "shuffle_key")
-    own = [F.col(f"`{c}`") for c in docs.columns if c not in new and not c.startswith("__")]
+    own = [F.col(f"`{c}`") for c in docs.columns if c not in new]
     counted = (
-        _with_rates(docs.withColumn("__source", F.coalesce(F.col(source), F.lit(""))), rates, doc_id)
-        .withColumn("n_copies", poisson_copies(F.col("__rate"), doc_id, seed).cast("int"))
+        _with_rates(docs.withColumn(name, F.coalesce(F.col(source), F.lit(""))), rates, name, doc_id, most_broadcast)
+        .withColumn("n_copies", poisson_copies(F.col(rate), doc_id, seed).cast("int"))
         .where("n_copies > 0")
     )
     copies = counted.select(*own, "n_copies", F.explode(F.sequence(F.lit(1), F.col("n_copies"))).alias("copy_no"))
-    spread = copies.withColumn("__copy", F.concat_ws("/", F.col(doc_id).cast("string"), F.col("copy_no").cast("string")))
-    return spread.withColumn("shuffle_key", sort_key("__copy", seed + "/order")).drop("__copy").orderBy("shuffle_key")
+    spread = copies.withColumn(copy, F.concat_ws("/", F.col(doc_id).cast("string"), F.col("copy_no").cast("string")))
+    keyed = spread.withColumn("shuffle_key", sort_key(copy, seed + "/order")).drop(copy)
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return keyed.repartitionById(parts, F.floor(F.col("shuffle_key") / F.lit(2.0**52) * parts).cast("int")).sortWithinPartitions("shuffle_key")

@@ -33,10 +33,11 @@ _BITS = "CAST(('0x' || substr(md5({}), 1, 13)) AS BIGINT)"
 OP9 = f"""
 WITH sizes AS (SELECT coalesce(source, '') AS s, count(*) AS n FROM documents GROUP BY 1),
 rates AS (SELECT s, CAST(1 AS DOUBLE) / (SELECT count(*) FROM sizes) * (SELECT sum(n) FROM sizes) / n AS rate FROM sizes),
-parts AS (SELECT s, rate, CASE WHEN rate > 8 THEN floor(rate) ELSE 0 END AS whole FROM rates),
-terms AS (SELECT s, k, exp(-(rate - whole) + CASE WHEN k = 0 THEN 0 ELSE k * ln(greatest(rate - whole, 1e-300)) END - CASE WHEN k = 0 THEN 0 ELSE lgamma(k + 1) END) AS term FROM parts, (SELECT unnest(range(0, 48)) AS k) t),
-below AS (SELECT s, k, sum(term) OVER (PARTITION BY s ORDER BY k ROWS UNBOUNDED PRECEDING) AS below FROM terms),
-counted AS (SELECT d.doc_id, p.whole + count(b.k) AS n FROM documents d JOIN parts p ON p.s = coalesce(d.source, '') LEFT JOIN below b ON b.s = p.s AND {_BITS.format("'mix:' || coalesce(CAST(d.doc_id AS VARCHAR), '')")} / CAST(4503599627370496 AS DOUBLE) >= b.below GROUP BY d.doc_id, p.whole),
+parts AS (SELECT s, rate, CAST(CASE WHEN rate > 8 THEN floor(rate / 8) ELSE 0 END AS INT) AS whole FROM rates),
+draws AS (SELECT s, n, CASE WHEN n = 0 THEN rate - 8 * whole ELSE 8 END AS mean FROM (SELECT s, rate, whole, unnest(range(0, whole + 1)) AS n FROM parts) q),
+terms AS (SELECT s, n, k, exp(-mean + CASE WHEN k = 0 THEN 0 ELSE k * ln(greatest(mean, 1e-300)) END - CASE WHEN k = 0 THEN 0 ELSE lgamma(k + 1) END) AS term FROM draws, (SELECT unnest(range(0, 48)) AS k) t),
+below AS (SELECT s, n, k, sum(term) OVER (PARTITION BY s, n ORDER BY k ROWS UNBOUNDED PRECEDING) AS below FROM terms),
+counted AS (SELECT d.doc_id, count(*) AS n FROM documents d JOIN below b ON b.s = coalesce(d.source, '') AND {_BITS.format("'mix' || CASE WHEN b.n = 0 THEN '' ELSE '/' || b.n END || ':' || coalesce(CAST(d.doc_id AS VARCHAR), '')")} / CAST(4503599627370496 AS DOUBLE) >= b.below GROUP BY d.doc_id),
 copies AS (SELECT doc_id, CAST(n AS INT) AS n_copies, CAST(unnest(range(1, CAST(n AS BIGINT) + 1)) AS INT) AS copy_no FROM counted)
 SELECT d.*, c.n_copies, c.copy_no, {_BITS.format("'mix/order:' || d.doc_id || '/' || c.copy_no")} AS shuffle_key FROM copies c JOIN documents d USING (doc_id)"""
 

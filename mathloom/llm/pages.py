@@ -1,10 +1,11 @@
 """Main-text extraction with site template removal.
 
 Every element of a page is a subtree, known by a hash of its source. Spark counts,
-for each host, the pages that hold a subtree; subtrees that recur on at least a
-given share of the host's pages are template and are deleted. What remains of the
-article, without elements whose tag, role or class says menu, notice, advert and the
-like, is the text.
+for each host, the different pages that hold a subtree; subtrees that recur on many of
+the host's pages are template and are deleted. Inside an article only different
+articles count, and most of the host's must have the subtree. What remains of
+the article, without elements whose tag, role or class says menu, notice, advert and
+the like, is the text; on pages that mark no article, all that is no template.
 """
 
 from __future__ import annotations
@@ -17,11 +18,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import private, stage_table
+
 #: Elements by what they do to the text.
-RAW = frozenset("script style noscript template iframe object svg math canvas textarea title select option".split())
+RAW = frozenset("script style iframe textarea title".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
-BOILER_TAGS = frozenset("nav footer aside form menu dialog button fieldset head".split())
+BOILER_TAGS = frozenset("nav footer aside form menu dialog button fieldset head select option noscript template".split())
 MAIN_TAGS = frozenset("article main".split())
 BOILER_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
 BOILER_NAMES = frozenset(
@@ -31,12 +34,15 @@ BOILER_NAMES = frozenset(
     commentlist respond reply replies disqus popup modal overlay widget pagination pager tags toolbar search paywall
     outbrain taboola""".split()
 )
+#: Names that inside an article belong to it as often as not: its own heading, labels and remarks.
+OWN_NAMES = frozenset("header masthead topbar banner alert notice notices tags widget overlay modal search".split())
 #: Start tags that end an open paragraph, and items that end their like.
 ENDS_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 ENDS_LIKE = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
 WALLS = frozenset("ul ol dl table article section div body".split())
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?][^>]*>""", re.S)
+# quotes count after = alone; no part is tried again, and none runs past the next <, so that a page takes time in proportion to its length
+TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/<>]*+)((?:[^<>=]++|=\s*+(?:"[^"]*+"|'[^']*+'|[^\s<>]*+))*+)>|<[!?][^<>]*+>""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/>"']+)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""")
 SPACES = re.compile(r"\s+")
 WORD = re.compile(r"[a-z]+")
@@ -54,7 +60,8 @@ class Element:
         named = {k.lower(): v.strip("\"'").lower() for k, v in ATTRIBUTE.findall(attributes)} if attributes.strip() else {}
         self.main = tag in MAIN_TAGS or named.get("role") == "main"
         self.within = (parent.within or parent.main) if parent else False
-        named_boiler = any(w in BOILER_NAMES for w in WORD.findall(f"{named.get('class', '')} {named.get('id', '')}")) and not (self.main or tag in ("html", "body"))
+        names = BOILER_NAMES - OWN_NAMES if self.within else BOILER_NAMES
+        named_boiler = any(w in names for w in WORD.findall(f"{named.get('class', '')} {named.get('id', '')}")) and not (self.main or tag in ("html", "body"))
         hidden = "hidden" in attributes and ("hidden" in named or re.search(r"\shidden(\s|$)", attributes) is not None)
         self.boiler = tag in BOILER_TAGS or tag == "header" and not self.within or named.get("role") in BOILER_ROLES or named_boiler or hidden
 
@@ -123,8 +130,12 @@ def subtree_hash(page: str, element: Element) -> int:
     return xxhash.xxh64_intdigest(source.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-def template_hashes(page: str, elements: list[Element]) -> set[int]:
-    return {subtree_hash(page, e) for e in elements if _can_be_template(e)}
+def template_hashes(page: str, elements: list[Element]) -> tuple[set[int], set[int], int]:
+    """Hashes of the subtrees outside and inside the article, and of the article."""
+    outside = {subtree_hash(page, e) for e in elements if _can_be_template(e) and not e.within}
+    inside = {subtree_hash(page, e) for e in elements if _can_be_template(e) and e.within}
+    article = next((subtree_hash(page, e) for e in elements if e.main), 0) if inside else 0
+    return outside, inside, article
 
 
 def _can_be_template(element: Element) -> bool:
@@ -132,15 +143,16 @@ def _can_be_template(element: Element) -> bool:
     return element.tag not in INLINE and element.tag not in ("html", "body") and not element.main
 
 
-def main_text(page: str, template: frozenset | set = frozenset()) -> str:
-    """The text of the article; `template` has the hashes of subtrees to delete."""
+def main_text(page: str, template: frozenset | set = frozenset(), inside: frozenset | set = frozenset()) -> str:
+    """The text of the article; `template` and `inside` have the hashes of subtrees to delete outside and inside it."""
     elements, pieces = parse(page)
     dropped: set[int] = set()
     any_main = any(e.main and not _under(e, lambda x: x.boiler) for e in elements)
     for e in elements:
         gone = e.boiler or e.inside is not None and id(e.inside) in dropped
-        if not gone and template and _can_be_template(e):
-            gone = subtree_hash(page, e) in template
+        known = inside if e.within else template
+        if not gone and known and _can_be_template(e):
+            gone = subtree_hash(page, e) in known
         if gone:
             dropped.add(id(e))
     blocks: list[list[str]] = []
@@ -167,49 +179,55 @@ def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)", 1))
 
 
-def site_templates(pages: DataFrame, share: float = 0.5, least_pages: int = 5, url: str = "url", html: str = "html") -> DataFrame:
-    """(host, hashes): the subtrees found on at least `least_pages` pages and the share `share` of the pages of a host.
+def site_templates(pages: DataFrame, share: float = 0.02, least_pages: int = 5, inside_share: float = 0.5, url: str = "url", html: str = "html") -> DataFrame:
+    """(host, hashes, inside): the subtrees found on at least `least_pages` different pages of a host and on the share `share` of
+    these; inside articles, in so many different articles and in the share `inside_share` of them.
 
-    As each has to be on that share of the pages, a host has at most 1 / share times
-    the subtrees of a mean page, so the lists stay short.
+    Pages that are equal count once. As a subtree has to be on that share of the
+    pages, a host has at most 1 / share times the subtrees of a mean page.
     """
-    placed = pages.select(host_of(F.col(url)).alias("host"), F.col(html).alias("html")).where("host <> ''")
+    placed = pages.select(host_of(F.col(url)).alias("host"), F.xxhash64(html).alias("page"), F.col(html).alias("html")).where("host <> ''")
 
     def subtrees(batches):
         for batch in batches:
-            hosts, hashes = [], []
-            for host, page in zip(batch.column(0).to_pylist(), batch.column(1)):
+            hosts, marks, hashes, within = [], [], [], []
+            for host, mark, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 text = page.as_py() or ""
-                found = template_hashes(text, parse(text)[0])
-                hosts += [host] * len(found)
-                hashes += found
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(hashes, pa.int64())], ["host", "hash"])
-
-    sizes = placed.groupBy("host").agg(F.count("*").alias("pages"))
-    counts = placed.mapInArrow(subtrees, "host string, hash bigint").groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("n") >= least_pages)
-    recurring = counts.join(sizes, "host").where(F.col("n") >= share * F.col("pages"))
-    return recurring.groupBy("host").agg(F.collect_list("hash").alias("hashes"))
-
-
-def extract(pages: DataFrame, share: float = 0.5, least_pages: int = 5, url: str = "url", html: str = "html") -> DataFrame:
+                outside, inside, article = template_hashes(text, parse(text)[0])
+                hosts += [host] * (len(outside) + len(inside))
+                marks += [mark] * len(outside) + [article] * len(inside)
+                hashes += [*outside, *inside]
+                within += [False] * len(outside) + [True] * len(inside)
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(marks, pa.int64()), pa.array(hashes, pa.int64()), pa.array(within, pa.bool_())], ["host", "page", "hash", "within"])
+
+    held = placed.mapInArrow(subtrees, "host string, page bigint, hash bigint, within boolean").groupBy("host", "within", "hash", "page").agg(F.lit(1).alias("one"))
+    counts = held.groupBy("host", "within", "hash").agg(F.count("*").alias("n"))
+    sizes = placed.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("pages"))
+    most = F.when(F.col("within"), F.lit(inside_share)).otherwise(F.lit(share)) * F.col("pages")
+    recurring = counts.where(F.col("n") >= least_pages).join(sizes, "host").where(F.col("n") >= most)
+    return recurring.groupBy("host").agg(F.collect_list(F.when(~F.col("within"), F.col("hash"))).alias("hashes"), F.collect_list(F.when(F.col("within"), F.col("hash"))).alias("inside"))
+
+
+def extract(pages: DataFrame, share: float = 0.02, least_pages: int = 5, inside_share: float = 0.5, url: str = "url", html: str = "html") -> DataFrame:
     """pages, without `html`, and the column main_text: the article's text of every row.
 
     Null and empty html give an empty text; pages without a host have no template;
-    repeated rows count as pages of their own; an empty table gives an empty one. A
-    column of pages named main_text is replaced.
+    repeated rows count once for the template and come back as often as given; an
+    empty table gives an empty one. A column of pages named main_text is replaced.
     """
-    templates = site_templates(pages, share, least_pages, url, html).select(F.col("host").alias("__host"), "hashes", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__salt"))
+    host, salt, hashes, inside, page = (private(pages, c) for c in ("__host", "__salt", "__hashes", "__inside", "__html"))
+    templates = stage_table(site_templates(pages, share, least_pages, inside_share, url, html), "templates")
+    spread = templates.select(F.col("host").alias(host), F.col("hashes").alias(hashes), F.col("inside").alias(inside), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias(salt))
     kept = [c for c in pages.columns if c not in (html, "main_text")]
-    fields = ", ".join(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in kept)
-    salted = pages.withColumn("__host", host_of(F.col(url))).withColumn("__salt", F.pmod(F.xxhash64(html), F.lit(SALTS)).cast("int"))
-    joined = salted.join(templates, ["__host", "__salt"], "left").select(*[F.col(f"`{c}`") for c in kept], "hashes", F.col(html).alias("__html"))
+    fields = "".join(f"`{c}` {pages.schema[c].dataType.simpleString()}, " for c in kept)
+    salted = pages.withColumn(host, host_of(F.col(url))).withColumn(salt, F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+    joined = salted.join(spread, [host, salt], "left").select(*[F.col(f"`{c}`") for c in kept], F.col(hashes), F.col(inside), F.col(html).alias(page))
 
     def texts(batches):
         for batch in batches:
-            template, page = batch.column(len(kept)), batch.column(len(kept) + 1)
             out = []
-            for hashes, text in zip(template, page):
-                out.append(main_text(text.as_py() or "", frozenset(hashes.as_py() or ())))
+            for hashes, within, text in zip(*(batch.column(len(kept) + k) for k in range(3))):
+                out.append(main_text(text.as_py() or "", frozenset(hashes.as_py() or ()), frozenset(within.as_py() or ())))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(out, pa.string())], [*kept, "main_text"])
 
-    return joined.mapInArrow(texts, f"{fields}, main_text string")
+    return joined.mapInArrow(texts, f"{fields}main_text string")

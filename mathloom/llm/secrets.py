@@ -10,21 +10,20 @@ documents of the segment. Segments are independent, so nothing is shuffled.
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Callable
 from dataclasses import dataclass
+from re import _constants as _c
+from re import _parser
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-try:
-    from re import _constants as _c
-    from re import _parser
-except ImportError:  # Python before 3.11
-    import sre_constants as _c
-    import sre_parse as _parser
+from .shared import private
+
 
 #: Strings a query may stand for are enumerated up to this many; beyond, the query is only made weaker.
 MOST_STRINGS = 64
@@ -62,14 +61,18 @@ Query = frozenset  # of alternatives, each a frozenset of trigrams that must all
 ALWAYS: Query = frozenset({frozenset()})
 
 
+def _least(a: Query) -> Query:
+    """a without alternatives that hold another one: these add nothing."""
+    return frozenset(x for x in a if not any(y < x for y in a))
+
+
 def _and(a: Query, b: Query) -> Query:
-    both = frozenset(x | y for x in a for y in b)
+    both = _least(frozenset(x | y for x in a for y in b))
     return both if len(both) <= MOST_STRINGS else a
 
 
 def _or(a: Query, b: Query) -> Query:
-    either = a | b
-    return ALWAYS if frozenset() in either else either
+    return _least(a | b)
 
 
 def _grams(text: str) -> frozenset:
@@ -98,7 +101,7 @@ def _walk(parsed) -> tuple[frozenset | None, Query]:
             strings = frozenset({chr(value).lower()})
         elif op is _c.IN:
             chars = {chr(v).lower() for o, v in value if o is _c.LITERAL}
-            if all(o is _c.LITERAL for o, _ in value) and len(chars) <= 4:
+            if all(o is _c.LITERAL for o, _ in value) and len(chars) <= 8:
                 strings = frozenset(chars)
         elif op is _c.SUBPATTERN:
             strings, inner = _walk(value[3])
@@ -106,9 +109,9 @@ def _walk(parsed) -> tuple[frozenset | None, Query]:
             parts = [_walk(p) for p in value[1]]
             if all(s is not None for s, _ in parts):
                 strings = frozenset().union(*(s for s, _ in parts))
-            for k, (s, q) in enumerate(parts):
-                own = _and(q, _strings_query(s)) if s is not None else q
-                inner = own if not k else _or(inner, own)
+            else:
+                owns = [_and(q, _strings_query(s)) if s is not None else q for s, q in parts]
+                inner = functools.reduce(_or, owns)
         elif op in (_c.MAX_REPEAT, _c.MIN_REPEAT):
             low, high, body = value
             s, q = _walk(body)
@@ -205,7 +208,7 @@ def find_secrets(docs: DataFrame, rules=RULES, text: str = "text", segment_bytes
     different rules may. A column of docs named secrets is replaced. Every row,
     repeated ones too, comes back once; an empty table gives an empty one.
     """
-    kept = [c for c in docs.columns if c not in ("secrets", "__text")]
+    kept = [c for c in docs.columns if c != "secrets"]
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept)
     span_type = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
@@ -225,7 +228,7 @@ def find_secrets(docs: DataFrame, rules=RULES, text: str = "text", segment_bytes
             spans = [[{"kind": rules[k].kind, "start": a, "end": b} for a, k, b in row] for row in found]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(spans, span_type)], [*kept, "secrets"])
 
-    return docs.select(*[F.col(f"`{c}`") for c in kept], F.col(text).alias("__text")).mapInArrow(scan, f"{fields}, secrets array<struct<kind: string, start: bigint, end: bigint>>")
+    return docs.select(*[F.col(f"`{c}`") for c in kept], F.col(text).alias(private(docs, "__text"))).mapInArrow(scan, f"{fields}, secrets array<struct<kind: string, start: bigint, end: bigint>>")
 
 
 def _with_spans(docs: DataFrame, rules, text: str) -> tuple[DataFrame, list]:

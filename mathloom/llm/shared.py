@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,10 +13,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder that the cluster names; a temporary one only where none is set (tests)."""
+    """The shared checkpoint folder that the cluster names; one in the warehouse, which is shared as well, only where none is set (tests)."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not shared:
-        shared = tempfile.mkdtemp(prefix="mathloom-ckpt-")
+        shared = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoints"
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(shared)
     return shared
@@ -37,6 +36,13 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def private(df: DataFrame, name: str) -> str:
+    """A name for a column of an operator's own that df does not have."""
+    while name in df.columns:
+        name = f"_{name}"
+    return name
+
+
 def sort_key(column: str, seed: str = "") -> Column:
     """52 uniform bits of the MD5 of a value and a seed; DuckDB can compute the same."""
     return F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(column).cast("string"), F.lit("")))), 1, 13), 16, 10).cast("bigint")

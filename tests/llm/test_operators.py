@@ -1,8 +1,10 @@
 """The operators against brute-force versions, and on awkward tables."""
 
+import functools
 import hashlib
 import math
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -289,16 +291,15 @@ def brute_winnow(text, k=5, w=8):
     if not words:
         return []
 
+    prime, base = 2**31 - 1, 5**13
+
     def signed(x):
         return x - 2**64 if x >= 2**63 else x
 
-    hashes = [signed(xxhash.xxh64_intdigest(x.encode(), 42)) for x in words]
+    hashes = [signed(xxhash.xxh64_intdigest(x.encode(), 42)) % prime for x in words]
 
-    def combine(row):  # a hash of several longs chains the hash of each with the last as its seed
-        seed = 42
-        for x in row:
-            seed = xxhash.xxh64_intdigest((x & (2**64 - 1)).to_bytes(8, "little"), seed)
-        return seed >> 32
+    def combine(row):
+        return functools.reduce(lambda h, x: (h * base + x) % prime, row)
 
     grams = [combine(hashes[i : i + k]) for i in range(max(1, len(hashes) - k + 1))]
     chosen = []
@@ -381,6 +382,45 @@ def test_extract_real_pages(spark):
         assert r["main_text"] == " ".join(want.split())
 
 
+def soup(i, words, extra=""):
+    """A page that marks nothing by tags or names."""
+    return f'<html><body><div class="x1">Welcome to our site <b>all</b></div>{extra}<div class="x2"><p>{words} {i}</p></div><div>Call 555 now</div></body></html>'
+
+
+def test_templates_alone_decide(spark):
+    rows = [(i, f"http://soup.example/{i}", soup(i, "article words")) for i in range(8)]
+    rows += [(100 + i, f"http://few.example/{i}", soup(i, "article words")) for i in range(4)]
+    got = {r["page_id"]: r["main_text"] for r in pages.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert [got[i] for i in range(8)] == [f"article words {i}" for i in range(8)]
+    assert [got[100 + i] for i in range(4)] == [f"Welcome to our site all article words {i} Call 555 now" for i in range(4)]
+
+
+def test_equal_pages_are_no_template(spark):
+    rows = [(i, "http://copy.example/a", PAGE.format(3)) for i in range(8)] + [(20 + i, "http://plain.example/a", soup(3, "article words")) for i in range(8)]
+    got = {r["page_id"]: r["main_text"] for r in pages.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string").withColumn("hashes", F.lit(1)).withColumn("__host", F.lit("h"))).collect()}
+    assert got[0] == "Head 3 One boldword<3 two three Para two here 3 Read us daily item 3 other" and got[20] == "Welcome to our site all article words 3 Call 555 now"
+    assert len(set(got.values())) == 2
+
+
+@pytest.mark.parametrize(
+    "inside, want",
+    [
+        ('<h1 class="entry-header">Head</h1><p>a</p>', "Head a"), ("<p>a <math><mi>x</mi></math> b</p><p>c</p>", "a x b c"), ("<p>a</p><object data=x><p>b</p>", "a b"),
+        ("<p>a</p><svg/><p>b</p>", "a b"), ("<p>a</p><option>o<p>b</p>", "a"), ("<p title=it's>a</p><p data-x='>'>b</p>", "a b"), ("<p>1 < 2 and <b>3</b></p>", "1 < 2 and 3"), ("<p>a</p><canvas>c</canvas>", "a c"),
+        ('<p>a</p><div class="comments">no</div><div class="advert">no</div><p>b</p>', "a b"),
+    ],
+)
+def test_inside_the_article(inside, want):
+    assert pages.main_text(f"<html><body><nav>n</nav><article>{inside}</article><footer>f</footer></body></html>") == want
+
+
+@pytest.mark.parametrize("junk", ["<a ", "<!", "<a =\"", "<a ='", "<a x=' <b y=\" ", "<!--", "</", "<a href", "<div>"])
+def test_long_pages_take_linear_time(junk):
+    start = time.monotonic()
+    pages.main_text("<p>a</p>" + junk * (1_000_000 // len(junk)))
+    assert time.monotonic() - start < 30
+
+
 # mixing
 
 
