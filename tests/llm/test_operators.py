@@ -4,6 +4,7 @@ import functools
 import hashlib
 import math
 import re
+import textwrap
 import time
 from collections import Counter, defaultdict
 
@@ -531,3 +532,30 @@ def test_licenses_train_on_texts_of_cues_alone(spark):
     rows = [(1, "Released under the MIT License."), (2, ""), (3, "plain words only"), (4, None)]
     model = licenses.train_licenses(spark.createDataFrame(rows, "doc_id bigint, text string"))
     assert model.threshold >= 0.5
+
+
+def test_wrapped_and_other_notices(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = licenses.train_licenses(docs)
+    grant = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction."
+    isc = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice appears in all copies."
+    prose = "The morning was cold and the harbour lay still.\nNobody had come to see the boats."
+    rows = [(1, prose + "\n\n" + "\n".join(textwrap.wrap(grant, 75)) + "\n\n" + prose), (2, "\n".join(textwrap.wrap(isc, 75))), (3, prose), (4, "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0."), (5, isc)]
+    got = {r["doc_id"]: (r["families"], r["n_licenses"] > 0, r["n_unknown"] > 0) for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id bigint, text string"), model).collect()}
+    assert got == {1: ("mit", True, False), 2: ("", False, True), 3: ("", False, False), 4: ("mpl-2.0", True, False), 5: ("", False, True)}
+
+
+def test_scores_match_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = licenses.train_licenses(docs)
+    weights, bias = model.regression.coefficientMatrix.toArray(), model.regression.interceptVector.toArray()
+    rows = spark.createDataFrame([("Released under the MIT license.",), ("Some words, about -nothing- at 3.5 all...",), ("",)], "text string")
+    from pyspark.ml.feature import HashingTF
+
+    slot = HashingTF(numFeatures=licenses.BUCKETS).indexOf
+    for r in licenses.score_paragraphs(rows, model).collect():
+        words = [w.strip(".+-") for w in re.split(r"[^a-z0-9.+-]+", r["text"].lower()) if w.strip(".+-")]
+        runs = {" ".join(words[i : i + n]) for n in (1, 2, 3) for i in range(len(words) - n + 1)}
+        logits = bias + sum((weights[:, s] for s in {slot(x) for x in runs}), 0 * bias)
+        shares = np.exp(logits - logits.max()) / np.exp(logits - logits.max()).sum()
+        assert r["family"] == model.classes[int(shares.argmax())] and r["probability"] == pytest.approx(shares.max())
