@@ -550,12 +550,20 @@ def test_scores_match_brute_force(spark):
     model = licenses.train_licenses(docs)
     weights, bias = model.regression.coefficientMatrix.toArray(), model.regression.interceptVector.toArray()
     rows = spark.createDataFrame([("Released under the MIT license.",), ("Some words, about -nothing- at 3.5 all...",), ("",)], "text string")
-    from pyspark.ml.feature import HashingTF
-
-    slot = HashingTF(numFeatures=licenses.BUCKETS).indexOf
+    slot = {g: k for k, g in enumerate(model.vocabulary)}
     for r in licenses.score_paragraphs(rows, model).collect():
         words = [w.strip(".+-") for w in re.split(r"[^a-z0-9.+-]+", r["text"].lower()) if w.strip(".+-")]
         runs = {" ".join(words[i : i + n]) for n in (1, 2, 3) for i in range(len(words) - n + 1)}
-        logits = bias + sum((weights[:, s] for s in {slot(x) for x in runs}), 0 * bias)
+        logits = bias + sum((weights[:, s] for s in {slot[x] for x in runs if x in slot}), 0 * bias)
         shares = np.exp(logits - logits.max()) / np.exp(logits - logits.max()).sum()
         assert r["family"] == model.classes[int(shares.argmax())] and r["probability"] == pytest.approx(shares.max())
+
+
+def test_bound_loses_no_paragraph(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = licenses.train_licenses(docs)
+    rows = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(-1 - i, x) for i, x in enumerate([*licenses.OTHERS, *licenses.OTHER_LICENSES, "public software under terms, this license.", "a\n\ngnu\ngeneral"])], "doc_id bigint, text string"))
+    every = licenses.score_paragraphs(licenses.paragraphs_of(rows, "text"), model, "paragraph").where(F.col("family") != licenses.NONE)
+    some = licenses.score_paragraphs(licenses.paragraphs_of(rows, "text", model), model, "paragraph").where(F.col("family") != licenses.NONE)
+    assert sorted(map(tuple, every.collect())) == sorted(map(tuple, some.collect())) and some.count() > 0
+    assert licenses.paragraphs_of(rows, "text", model).count() < licenses.paragraphs_of(rows, "text").count() / 2
