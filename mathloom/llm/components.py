@@ -16,12 +16,18 @@ SHARE_ROWS = 4096
 def join_frequent(rows: DataFrame, keyed: DataFrame, key: str, weight: str, n_rows: int) -> DataFrame:
     """Inner join of rows with keyed (one row a key), without its column `weight`, the number of rows that a key has.
 
-    Frequent keys, fewer than FREQUENT, are broadcast, so that their rows stay where they are; the others meet by shuffle.
+    Frequent keys, fewer than FREQUENT at any size, are broadcast, so that their rows
+    stay where they are; the others meet by shuffle.
     """
+    keyed = checkpoint(keyed)
     often = F.col(weight) * F.lit(FREQUENT) > F.lit(n_rows)
-    hot, rest = keyed.where(often).drop(weight), keyed.where(~often).drop(weight)
-    cool = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
-    return rows.join(F.broadcast(hot), key).unionByName(cool.join(rest, key))
+    hot = keyed.where(often).drop(weight)
+    hot_keys = [r[0] for r in hot.select(key).collect()]  # fewer than FREQUENT
+    if not hot_keys:
+        return rows.join(keyed.drop(weight), key)
+    frequent = F.col(key).isin(hot_keys)
+    rest = rows.where(~frequent).join(keyed.where(~often).drop(weight), key)
+    return rows.where(frequent).join(F.broadcast(hot), key).unionByName(rest)
 
 
 def pairs_across(members: DataFrame, test: str, n_rows: int) -> DataFrame:
@@ -33,7 +39,7 @@ def pairs_across(members: DataFrame, test: str, n_rows: int) -> DataFrame:
     key, which are dealt into shares. Pairs may come more than once and in either order.
     """
     sizes = members.where("own").groupBy("key", "root").agg(F.count("*").alias("n"), F.max("p").alias("p"))
-    main = checkpoint(sizes.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.max("p").alias("weight")))
+    main = sizes.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.max("p").alias("weight"))
     placed = stage_table(join_frequent(members, main, "key", "weight", n_rows).select("*", F.ceil(F.col("p") / SHARE_ROWS).cast("int").alias("shares")), "placed")
 
     def few(rows: DataFrame, node: str, root: str) -> DataFrame:
@@ -81,8 +87,8 @@ def connected_components(links: DataFrame) -> DataFrame:
     edges = checkpoint(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     before = _digest(edges)
     while before[0]:
-        stars = _large_star(edges, before[0])
-        edges = checkpoint(_small_star(stars, before[0]))
+        stars = checkpoint(_large_star(edges, before[0]))
+        edges = checkpoint(_small_star(stars, stars.count()))
         after = _digest(edges)
         if after == before:
             break

@@ -26,7 +26,7 @@ from .substrings import Words
 
 SHINGLE = 5
 #: Slots of the table of counts, as a power of two.
-COUNT_BITS = 20
+COUNT_BITS = 18
 def hashed_shingles(texts: list[bytes | None], shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """(text number, hash) of all word runs of some texts (ASCII letters in lower case), in text order; a shorter text is one run, a blank one has none."""
     words = Words([(t or b"").lower() for t in texts])
@@ -216,9 +216,12 @@ def shared_keys(keys: DataFrame, counts: np.ndarray) -> DataFrame:
     FREQUENT slots, may be those of very many nodes and meet their counts by broadcast;
     all others are dealt by key once, for their counts and the join with these.
     """
-    heavy = F.shiftrightunsigned("key", 64 - COUNT_BITS).isin(np.flatnonzero(counts * FREQUENT > counts.sum()).tolist())
+    slots = np.flatnonzero(counts * FREQUENT > counts.sum()).tolist()
+    heavy = F.shiftrightunsigned("key", 64 - COUNT_BITS).isin(slots) if slots else F.lit(False)
     light = keys.where(~heavy).repartition("key")
     found = light.join(light.groupBy("key").agg(F.count("*").alias("p")).where("p > 1"), "key").select("node", "key", "p")
+    if not slots:
+        return found
     hot = keys.where(heavy)
     often = hot.groupBy("key").agg(F.count("*").alias("p")).where("p > 1").withColumn("weight", F.col("p"))
     return found.unionByName(join_frequent(hot, often, "key", "weight", int(counts.sum())).select("node", "key", "p"))

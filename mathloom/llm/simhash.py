@@ -204,7 +204,7 @@ def near_duplicates(docs: DataFrame, most: int = 4, shingle: int = 4, text: str
     names = linked.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("weight"))
     named = join_frequent(linked.select("fp", "root", "n"), names, "root", "weight", roots.count()).select("fp", "component_id", "n")
     alone = classes.join(roots, "fp", "left_anti").select("fp", F.col("least").alias("component_id"), "n")
-    return join_frequent(prints, checkpoint(named.unionByName(alone)), "fp", "n", prints.count()).select("doc_id", "fp", "component_id")
+    return join_frequent(prints, named.unionByName(alone), "fp", "n", prints.count()).select("doc_id", "fp", "component_id")
 
 
 def fingerprint_hex(fp: str = "fp") -> Column:
