@@ -88,6 +88,14 @@ class Spark:
     def char(self, x: str) -> str:
         return f"decode(unhex(lpad(hex({x}), 8, '0')), 'UTF-32')"
 
+    def hex(self, x: str) -> str:
+        """A number in upper-case hexadecimal digits."""
+        return f"hex({x})"
+
+    def from_hex(self, x: str) -> str:
+        """The number that hexadecimal digits stand for, null if there are none."""
+        return f"CAST(conv(nullif({x}, ''), 16, 10) AS INT)"
+
     def max_by(self, x: str, *by: str) -> str:
         return f"max_by({x}, struct({', '.join(by)}))"
 
@@ -169,6 +177,12 @@ class Duck(Spark):
     def char(self, x: str) -> str:
         return f"chr({x})"
 
+    def hex(self, x: str) -> str:
+        return f"printf('%X', CAST({x} AS BIGINT))"
+
+    def from_hex(self, x: str) -> str:
+        return f"CAST(('0x' || nullif({x}, '')) AS INT)"
+
     def max_by(self, x: str, *by: str) -> str:
         return f"arg_max({x}, ({', '.join(by)}))"
 

@@ -54,8 +54,10 @@ def _letters(word: str) -> str:
     return "".join(f"<mi>{c}</mi>" for c in word)
 
 
-SPELLED_MATHML = tuple((_msub_chain(*g), f"{''.join(g)} spelled via msub") for g in (("lo", "ng"), ("ri", "gh", "t"), ("ar", "ro", "w"), ("su", "m"), ("eq", "ui", "v"), ("ma", "th", "bb"), ("fo", "ra", "ll"))) + (
+SPELLED_MATHML = (
+    *((_msub_chain(*g), f"{''.join(g)} spelled via msub") for g in (("lo", "ng"), ("ri", "gh", "t"), ("ar", "ro", "w"), ("su", "m"), ("eq", "ui", "v"), ("ma", "th", "bb"))),
     (r"(?is)<msub><mi>i</mi>.*?<mi>n</mi>.*?</msub>\s*([^\s<]|\z)", "in spelled via msub"),
+    (_msub_chain("fo", "ra", "ll"), "forall spelled via msub"),
     (r"(?i)(<msub><mi>[a-z]</mi>.*?<mi>[a-z]</mi>.*?</msub>\s*){3,}", "3+ single-letter msub"),
 )
 MSUB_WORDS = "left right sum frac math long text arrow equiv mathbb forall".split()

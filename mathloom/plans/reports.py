@@ -7,13 +7,13 @@ from ..operators import classify, gates, repair
 from .expressions import DISTINCT, gate_rows
 from .structure import tokens
 
-STAGES = "stages"
-
-
 def _violations(d):
     """Labels per rule set, counted over fragments, with totals."""
-    parts = [f"SELECT '{name}' AS rule_set, label, n_fragments FROM (SELECT f.*, {gate(d, 'payload')} AS labels FROM {DISTINCT}) g{i} {d.explode('labels', 'label')}" for i, (name, gate) in enumerate((("latex_corruption", gates.latex_corruption), ("pre_repair", gates.pre_repair), ("split_words", gates.split_words), ("malformed_tags", gates.malformed_tags)))]
-    return f"SELECT rule_set, label, sum(n_fragments) AS n FROM ({' UNION ALL '.join(parts)}) v GROUP BY GROUPING SETS ((rule_set, label), (rule_set), ())"
+    sets = (("latex_corruption", gates.latex_corruption), ("pre_repair", gates.pre_repair), ("split_words", gates.split_words), ("malformed_tags", gates.malformed_tags))
+    marked = [d.each(gate(d, "payload"), f"concat('{name}:', y)") for name, gate in sets]
+    hits = f"SELECT n_fragments, hit FROM (SELECT f.*, {d.concat_arrays(*marked)} AS hits FROM {DISTINCT}) g {d.explode('hits', 'hit')}"
+    split = f"SELECT substr(hit, 1, strpos(hit, ':') - 1) AS rule_set, substr(hit, strpos(hit, ':') + 1) AS label, n_fragments FROM ({hits}) h".replace("strpos(", "strpos(" if d.name == "duckdb" else "instr(")
+    return f"SELECT rule_set, label, sum(n_fragments) AS n FROM ({split}) v GROUP BY GROUPING SETS ((rule_set, label), (rule_set), ())"
 
 
 def _outcomes(d):
@@ -47,12 +47,13 @@ def _agreement(d):
 
 def _rule_hits(d):
     rules = ("repair_letter_commands", "repair_symbols", "repair_strip_spacing", "repair_shred_table", "repair_merged_commands", "repair_spelled_to_command")
-    parts = [f"SELECT '{r}' AS rule_set, sum(CASE WHEN {repair.CHAINS[r](d, 'payload')} <> payload THEN n_fragments ELSE 0 END) AS n_changed, count(*) AS n_expressions FROM {DISTINCT}" for r in rules]
-    return " UNION ALL ".join(parts)
+    changed = d.array(*[f"CASE WHEN {repair.CHAINS[r](d, 'payload')} <> payload THEN '{r}+' ELSE '{r}-' END" for r in rules])
+    flags = f"SELECT n_fragments, flag FROM (SELECT f.*, {changed} AS flags FROM {DISTINCT}) g {d.explode('flags', 'flag')}"
+    return f"SELECT substr(flag, 1, length(flag) - 1) AS rule_set, sum(CASE WHEN flag LIKE '%+' THEN n_fragments ELSE 0 END) AS n_changed, count(*) AS n_expressions FROM ({flags}) h GROUP BY substr(flag, 1, length(flag) - 1)"
 
 
 def _dedupe(d):
-    return "SELECT fragment_id, payload FROM (SELECT fragment_id, payload, row_number() OVER (PARTITION BY trim(payload) ORDER BY fragment_id) AS k FROM fragments) t WHERE k = 1"
+    return f"SELECT min(fragment_id) AS fragment_id, {d.max_by('payload', '-fragment_id')} AS payload FROM fragments GROUP BY trim(payload)"
 
 
 def _overlap(d):
@@ -87,6 +88,12 @@ def _envelope(d):
     return f"SELECT page_id, concat('{{\"status\":\"ok\",\"formulas\":[', {d.join(d.ordered(item, 'y', 'x', 'box_id'), ',')}, '],\"count\":', CAST(count(*) AS STRING), '}}') AS envelope FROM detections GROUP BY page_id"
 
 
+def _last_log(d):
+    """The last five roles of a conversation, and whether it has over 200 turns: five rows of each are gathered, not all."""
+    ranked = "SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role DESC) AS k, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations"
+    return f"SELECT conv_id, {d.join(d.ordered('role', 'turn', 'role'), ' / ')} AS last_5, max(CASE WHEN n > 200 THEN 1 ELSE 0 END) AS cut FROM ({ranked}) t WHERE k <= 5 GROUP BY conv_id"
+
+
 TEMPLATES = {
     "agg_formulas_per_page": (("detections",), lambda d: "SELECT p.page_id, count(x.box_id) AS n FROM pages p LEFT JOIN detections x ON x.page_id = p.page_id GROUP BY GROUPING SETS ((p.page_id), ())"),
     "agg_violations": (("fragments",), _violations), "agg_outcomes": (("fragments",), _outcomes), "agg_symbol_frequency": (("fragments",), _symbol_frequency), "agg_tag_histogram": (("fragments",), _tags),
@@ -94,5 +101,5 @@ TEMPLATES = {
     "win_dedupe_variants": (("fragments",), _dedupe), "set_symbol_overlap": ((), _overlap), "set_union_sources": (("fragments",), lambda d: "SELECT 'fragment' AS source, fragment_id AS id, payload FROM fragments UNION ALL SELECT 'page' AS source, page_id AS id, url AS payload FROM pages"),
     "set_new_documents": ((), lambda d: "SELECT text FROM documents WHERE doc_id % 2 = 1 EXCEPT SELECT text FROM documents WHERE doc_id % 2 = 0"),
     "gate_response_json": (("responses",), _response), "diag_stage": (("fragments",), _stage), "topk_worst": (("fragments",), _worst), "sink_result_envelope": (("detections",), _envelope),
-    "limit_log": ((), lambda d: f"SELECT conv_id, {d.join(d.slice('log', 'greatest(1, ' + d.size('log') + ' - 4)', '5'), ' / ')} AS last_5, CASE WHEN {d.size('log')} > 200 THEN 1 ELSE 0 END AS cut FROM (SELECT conv_id, {d.ordered('role', 'turn')} AS log FROM conversations GROUP BY conv_id) t"),
+    "limit_log": ((), _last_log),
 }

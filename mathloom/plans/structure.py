@@ -106,17 +106,19 @@ def _cue_join(d):
 
 
 def _decode(d):
-    """Named, decimal and hexadecimal references of pages, each decoded once; unknown names stay."""
-    found = d.extract_all("html", r"&(?:#[xX][0-9a-fA-F]+|#[0-9]+|[A-Za-z][A-Za-z0-9]*);", 0)
+    """Named, decimal and hexadecimal references of pages, each decoded once; unknown names, and numbers of no character, stay."""
+    found = d.extract_all("html", r"&(?:#[xX][0-9a-fA-F]{1,6}|#[0-9]{1,7}|[A-Za-z][A-Za-z0-9]*);", 0)
     refs = f"(SELECT reference, count(*) AS n FROM (SELECT reference FROM pages {d.explode(found, 'reference')}) x GROUP BY reference) r"
-    return f"""SELECT reference, n, CASE WHEN {d.match('reference', '^&#[0-9]+;')} THEN {d.char("coalesce(CAST(nullif(" + d.extract('reference', '^&#([0-9]+);', 1) + ", '') AS INT), 63)")} ELSE coalesce(ch, reference) END AS decoded
-        FROM {refs} LEFT JOIN {entities(d)} ON reference = concat('&', name, ';') WHERE NOT {d.match('reference', '^&#[xX]')}"""
+    code = f"coalesce(CAST(nullif({d.extract('reference', '^&#([0-9]+);', 1)}, '') AS INT), {d.from_hex(d.extract('reference', '^&#[xX]([0-9a-fA-F]+);', 1))})"
+    valid = "code > 0 AND code <= 1114111 AND NOT (code BETWEEN 55296 AND 57343)"
+    return f"""SELECT reference, n, CASE WHEN {valid} THEN {d.char(f"CASE WHEN {valid} THEN code ELSE 63 END")} ELSE coalesce(ch, reference) END AS decoded
+        FROM (SELECT reference, n, {code} AS code FROM {refs}) c LEFT JOIN {entities(d)} ON reference = concat('&', name, ';')"""
 
 
 def _encode(d):
-    chars = d.extract_all("opening", r"[^\x00-\x7F]", 0)
+    chars = d.extract_all("text", r"[^\x00-\x7F]", 0)
     last = f"(SELECT code_point AS cp, {d.max_by('name', 'seq')} AS name FROM {entities(d)} GROUP BY code_point) n"
-    return f"""SELECT ch, n, coalesce(concat('&', name, ';'), concat('&#', CAST(cp0 AS STRING), ';')) AS encoded FROM (SELECT ch, {d.cp('ch')} AS cp0, count(*) AS n FROM (SELECT ch FROM (SELECT substr(text, 1, 400) AS opening FROM documents) o {d.explode(chars, 'ch')}) c GROUP BY ch) c LEFT JOIN {last} ON cp0 = cp"""
+    return f"""SELECT ch, n, coalesce(concat('&', name, ';'), concat('&#x', lpad({d.hex('cp0')}, 4, '0'), ';')) AS encoded FROM (SELECT ch, {d.cp('ch')} AS cp0, count(*) AS n FROM (SELECT ch FROM documents {d.explode(chars, 'ch')}) c GROUP BY ch) c LEFT JOIN {last} ON cp0 = cp"""
 
 
 def _characters(d) -> str:

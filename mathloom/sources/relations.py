@@ -38,16 +38,27 @@ def seeds(d: Spark) -> str:
     return f"SELECT * FROM (VALUES {rows}) AS s(seed_id, kind, payload)"
 
 
+#: Sentences and lines: a text is cut at line ends and after the marks that end a sentence.
+SENTENCE_END = r"[.!?]+[ ]+|[\r\n]+"
+#: fragment_id of a stretch is its document's id times this plus its number in the text; no text has so many sentences.
+MOST_STRETCHES = 1_000_000
+
+
 def fragments(d: Spark) -> str:
-    """Eight expressions for each document: seeds, plain and shredded stretches of its text, and mixtures."""
-    opening = "substr(d.text, 1, 60)"
+    """Expressions of every document: each sentence or line of its whole text, in turn plain, after a seed, shredded and
+    beside shredded command words; and one seed as it is, so that a text without sentences has one too.
+
+    The seed moves on with the document and with the stretch, so that all seeds come in all mixtures. The kind
+    of a row is that of its own payload: the seed's where it holds a seed, otherwise plain or shredded.
+    """
+    sentences = f"SELECT doc_id, seq + 1 AS k, trim(stretch) AS stretch FROM documents {d.explode(d.split('text', SENTENCE_END), 'stretch', 'seq')} WHERE trim(stretch) <> ''"
+    every = f"SELECT doc_id, 0 AS k, '' AS stretch FROM documents UNION ALL {sentences}"
     return f"""
-        SELECT e.doc_id * 8 + e.k AS fragment_id, e.doc_id, e.k AS page_no, s.kind,
-               CASE e.k % 4 WHEN 0 THEN s.payload WHEN 1 THEN concat(s.payload, ' ', e.opening)
-                            WHEN 2 THEN {d.sub("e.opening", *SHRED)}
-                            ELSE concat({d.sub("'sum left right frac'", *SHRED)}, ' ', s.payload) END AS payload
-        FROM (SELECT d.doc_id, coalesce({opening}, '') AS opening, k FROM documents d {d.explode(d.numbers("0", "7"), "k")}) e
-        JOIN ({seeds(d)}) s ON s.seed_id = (e.doc_id * 7 + e.k * 13) % {len(SEEDS)}"""
+        SELECT e.doc_id * {MOST_STRETCHES} + e.k AS fragment_id, e.doc_id, e.k AS page_no, CASE e.k % 4 WHEN 1 THEN 'plain' WHEN 3 THEN 'shredded' ELSE s.kind END AS kind,
+               CASE WHEN e.k = 0 THEN s.payload WHEN e.k % 4 = 1 THEN e.stretch WHEN e.k % 4 = 2 THEN concat(s.payload, ' ', e.stretch)
+                    WHEN e.k % 4 = 3 THEN {d.sub("e.stretch", *SHRED)}
+                    ELSE concat({d.sub("'sum left right frac'", *SHRED)}, ' ', s.payload, ' ', e.stretch) END AS payload
+        FROM ({every}) e JOIN ({seeds(d)}) s ON s.seed_id = (e.doc_id + {d.idiv('e.k', '2')}) % {len(SEEDS)}"""
 
 
 def detections(d: Spark) -> str:
@@ -74,8 +85,8 @@ def page_layout(d: Spark) -> str:
 
 
 def regions(d: Spark) -> str:
-    """Selected rectangles over the stacked pages; some cross a border."""
-    return """SELECT o_orderkey AS region_id, CAST(o_orderkey % 400 AS DOUBLE) AS x, CAST(o_orderkey * 31 % 450000 AS DOUBLE) AS y,
+    """Selected rectangles over all stacked pages and a little beyond; some cross a border, some meet no page."""
+    return """SELECT o_orderkey AS region_id, CAST(o_orderkey % 400 AS DOUBLE) AS x, CAST(o_orderkey * 31 % ((SELECT max(page_id) + 2 FROM pages) * 1800) AS DOUBLE) AS y,
                CAST(20 + o_orderkey % 200 AS DOUBLE) AS w, CAST(15 + o_orderkey % 90 AS DOUBLE) AS h FROM orders"""
 
 
@@ -99,9 +110,9 @@ def with_relations(d: Spark, names, body: str) -> str:
 def run_sql(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """sql over the given tables, which it names as the files are named."""
     tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if re.search(rf"\b(?:FROM|JOIN)\s+{t}\b", sql)}
-    for name, df in tables.items():
-        df.createOrReplaceTempView(name)
-    return spark.sql(sql)
+    for name in tables:  # named by parameters, so that no view of the user's is replaced
+        sql = re.sub(rf"\b(FROM|JOIN)\s+{name}\b(?!\.)", rf"\1 {{{name}}}", re.sub(r"[{}]", lambda m: m[0] * 2, sql) if name == next(iter(tables)) else sql)
+    return spark.sql(sql, **tables) if tables else spark.sql(sql)
 
 
 __all__ = ["DUCK", "RELATIONS", "SEEDS", "SHRED", "SPARK", "TABLES", "run_sql", "with_relations"]
