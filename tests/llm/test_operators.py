@@ -567,3 +567,38 @@ def test_bound_loses_no_paragraph(spark):
     some = licenses.score_paragraphs(licenses.paragraphs_of(rows, "text", model), model, "paragraph").where(F.col("family") != licenses.NONE)
     assert sorted(map(tuple, every.collect())) == sorted(map(tuple, some.collect())) and some.count() > 0
     assert licenses.paragraphs_of(rows, "text", model).count() < licenses.paragraphs_of(rows, "text").count() / 2
+
+
+def test_blocks_and_spans(spark, monkeypatch):
+    items = [(f"i{k}", " ".join(f"w{k}_{j}" for j in range(14))) for k in range(12)] + [(None, " ".join(f"n{j}" for j in range(12)))]
+    benchmark = spark.createDataFrame(items, "item_id string, text string")
+    texts = [f"Start {items[k % 13][1]} middle, {items[(k * 5) % 13][1][:60]} end" for k in range(30)] + ["none of it", None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    one = sorted(map(tuple, decontaminate.contamination(docs, benchmark).drop("text").collect()))
+    assert decontaminate.item_blocks(benchmark, "item_id", "text", 200)[1] >= 5
+    several = sorted(map(tuple, decontaminate.contamination(docs, benchmark, block_chars=200).drop("text").collect()))
+    assert one == several and any(r[2] for r in one) and all(None not in r[3] for r in one)
+    cut = {r["doc_id"]: r["text"] for r in decontaminate.remove_spans(docs, benchmark, span_limit=12).collect()}
+    for key, text in enumerate(texts):
+        words = decontaminate.normal_words((text or "").encode())
+        hits = [(s["start"], s["end"]) for s in next(r for r in one if r[0] == key)[2]]
+        want = [w for i, w in enumerate(words) if not any(a <= i < b and b - a > 12 for a, b in hits)]
+        assert decontaminate.normal_words((cut[key] or "").encode()) == want and (cut[key] is None) == (text is None)
+    assert set(r["doc_id"] for r in decontaminate.remove_spans(docs, benchmark, coverage_limit=0.0).collect()) == {r[0] for r in one if not r[2]}
+
+
+def test_long_words_are_read_whole(spark):
+    a, b = "x" * 60 + "abcde" * 24 + "y" * 60, "x" * 60 + "vwxyz" * 24 + "y" * 60
+    assert set(language.word_features(a)) != set(language.word_features(b))
+    texts = [("今日はとても良い天気ですね", "ja"), ("这个城市的冬天非常寒冷", "zh")] * 20
+    model = language.fit_chain(texts)
+    labeller = language.Labeller(model)
+    assert [x[0] for x in labeller.documents(["今日はとても良い天気です", "这个城市的冬天寒冷", "²", "12 !"])] == ["ja", "zh", "und", "und"]
+    alone, beside = labeller.documents(["a b c"])[0], labeller.documents(["今日は " * 300, "a b c", "这个"])[1]
+    assert alone == beside
+
+
+def test_mixing_keeps_columns_and_salted_rates(spark):
+    docs = spark.createDataFrame([(i, "s" if i % 3 else "t", "x", 1) for i in range(300)], "doc_id bigint, source string, `__source` string, `__rate` int")
+    a = sorted(map(tuple, mixing.mix(docs).collect()))
+    assert {"__source", "__rate"} <= set(mixing.mix(docs).columns) and a == sorted(map(tuple, mixing.mix(docs, most_broadcast=0).collect()))

@@ -7,22 +7,29 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from mathloom.llm import language
-from tests.llm.test_operators import ODD, SCHEMA, SF, brute_components, brute_contamination, brute_secrets, brute_simhash
+from tests.llm.test_operators import CASES, ODD, SCHEMA, SF, brute_components, brute_contamination, brute_secrets
+from tests.llm.test_shingles import similarity, word_runs
 
 
 def brute_pipeline(spark, rows, items):
     """Rows after stages 1 to 4: (doc_id, text). Stage 1 is held against held-out languages elsewhere and taken as given here."""
-    prints = {k: brute_simhash(t) for k, t in rows}
-    keys = sorted(prints)
-    links = [(a, b) for i, a in enumerate(keys) for b in keys[i + 1 :] if (prints[a] ^ prints[b]).bit_count() <= 4]
+    runs = {k: word_runs(t) for k, t in rows}
+    keys = sorted(runs)
+    links = [(a, b) for i, a in enumerate(keys) for b in keys[i + 1 :] if 5 * min(len(runs[a]), len(runs[b])) >= 4 * max(len(runs[a]), len(runs[b])) and similarity(runs[a], runs[b]) >= 0.8]
     root = brute_components(keys, links)
     rows = [(k, t) for k, t in rows if root[k] == k]
     dirty = brute_contamination(rows, items, 10)
     return [(k, t) for k, t in rows if not dirty[k][1]]
 
 
+def with_secrets(docs):
+    """docs with a secret at the end of every seventh text, as the smallest table has none."""
+    planted = F.concat("text", F.lit(" password = hunter2hunter "), F.md5("text"), F.lit(" and that was all"))
+    return docs.withColumn("text", F.when(F.col("doc_id") % 7 == 0, planted).otherwise(F.col("text"))).withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+
+
 def test_stages_match_brute_force(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    docs = with_secrets(spark.read.parquet(f"{SF}/documents.parquet"))
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     model = language.train_languages(docs)
     first = corpus_pipeline.language_id(spark, docs, SF)

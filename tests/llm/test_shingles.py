@@ -40,18 +40,35 @@ def test_pipeline_stage_keeps_one_of_all_near_texts(spark):
     assert got == {i for i in root if root[i] == i}
 
 
-def test_near_sets_share_a_signature():
-    rng = np.random.default_rng(2)
-    for size in [*range(1, 60), 100, 333, 1000, 5000]:
-        for _ in range(20):
-            one = rng.integers(0, 2**64, size, np.uint64)
-            gone = int(rng.integers(0, size // 5 + 1))
-            new = rng.integers(0, 2**64, int(rng.integers(0, size // 4 + 1)), np.uint64)
-            a, b = np.unique(one), np.unique(np.concatenate([one[gone:], new]))
-            if shingles.near(a, b):
-                assert np.intersect1d(shingles.signatures(a), shingles.signatures(b)).size
-                differ = np.bitwise_count((shingles.sketch(a) ^ shingles.sketch(b)).view(np.uint64)).sum()
-                assert 9 * int(differ) <= len(a) + len(b)
+def test_near_sets_share_a_key_and_pass_the_sketch():
+    draw = random.Random(2)
+    counts = np.random.default_rng(5).integers(0, 50, 1 << shingles.COUNT_BITS)
+    for size in [1, 2, 3, 5, 8, 9, 12, 20, 33, 60, 100, 333, 700, 1500]:
+        for _ in range(8):
+            words = [f"w{draw.randrange(10**6)}" for _ in range(size)]
+            other = [w if draw.random() > 0.02 else "x" for w in words[draw.randrange(size // 9 + 1) :]] + ["end"] * draw.randrange(3)
+            texts = [" ".join(words).encode(), " ".join(other).encode()]
+            sets = shingles.ShingleSets(texts, counts)
+            lengths, keys = sets.prefixes()
+            marks, (m, n) = sets.sketches(), sets.sizes
+            one, two = (shingles.ShingleSets([t]).hashes for t in texts)
+            assert len(one) == len(word_runs(texts[0].decode())) == m and shingles.near(one, two) == (similarity(*(word_runs(t.decode()) for t in texts)) >= 0.8)
+            if shingles.near(one, two):
+                assert set(keys[: lengths[0]]) & set(keys[lengths[0] :]) and shingles.may_be_near(m, n, *marks)
+
+
+def test_crowds_and_common_passages(spark):
+    draw = random.Random(9)
+    base = [f"b{i}" for i in range(120)]
+    passage = " ".join(f"p{i}" for i in range(60))
+    texts = [" ".join(w if draw.random() > 0.004 else f"z{draw.randrange(99)}" for w in base) for _ in range(150)]
+    texts += [passage + " " + " ".join(f"q{draw.randrange(10**6)}" for _ in range(10)) for _ in range(150)]
+    runs = [word_runs(t) for t in texts]
+    links = [(a, b) for a in range(len(texts)) for b in range(a + 1, len(texts)) if similarity(runs[a], runs[b]) >= 0.8]
+    root = brute_components(list(range(len(texts))), links)
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t), None, None, None) for i, t in enumerate(texts)], SCHEMA)
+    got = {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, SF).collect()}
+    assert got == {i for i in root if root[i] == i}
 
 
 def test_rows_are_told_apart_by_id_and_text(spark):
