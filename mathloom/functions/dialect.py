@@ -50,6 +50,10 @@ class Spark:
     def join(self, x: str, by: str) -> str:
         return f"array_join({x}, {self.lit(by)})"
 
+    def interleave(self, parts: str, between: str) -> str:
+        """The text of the first of parts, the first of between, the second of parts and so on."""
+        return f"array_join(zip_with({parts}, {between}, (y, z) -> concat(y, coalesce(z, ''))), '')"
+
     def concat_arrays(self, *xs: str) -> str:
         return f"concat({', '.join(xs)})"
 
@@ -139,6 +143,9 @@ class Duck(Spark):
     def join(self, x: str, by: str) -> str:
         return f"array_to_string({x}, {self.lit(by)})"
 
+    def interleave(self, parts: str, between: str) -> str:
+        return f"array_to_string(list_transform(list_zip({parts}, {between}), lambda y: concat(y[1], coalesce(y[2], ''))), '')"
+
     def concat_arrays(self, *xs: str) -> str:
         out = xs[0]
         for x in xs[1:]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from ..functions.dialect import Spark, chain, count_of, has
 from .gates import spelled
 
@@ -16,17 +18,86 @@ LETTER_COMMANDS = (
     (r"\\r_\{i\}g_\{h\}t" + END, r"\\right\1"), (r"\\s_\{u\}m" + END, r"\\sum\1"), (r"\\m_\{a\}t_\{h\}b_\{b\}", r"\\mathbb"), (r"\\e_\{q\}u_\{i\}v" + END, r"\\equiv\1"),
     (r"\\f_\{r\}a_\{c\}", r"\\frac"), (r"\\b_\{e\}g_\{i\}n" + END, r"\\begin\1"), (r"\\e_\{n\}d" + END, r"\\end\1"), (r"\\a_\{r\}r_\{a\}y" + END, r"\\array\1"), (r"\\c_\{d\}\s*o_\{t\}", r"\\cdot"),
 )
-SPELLED_COMMANDS = tuple(("(?i)" + spelled(*g), rf"\\{w}") for g, w in ((("eq", "ui", "v"), "equiv"), (("fr", "ac"), "frac"), (("le", "ft"), "left"), (("ri", "gh", "t"), "right"), (("lo", "ng"), "long"), (("ma", "th", "bb"), "mathbb"), (("ne", "q"), "neq"), (("ld", "ot", "s"), "ldots"), (("bi", "gc", "up"), "bigcup"))) + tuple(
-    ("(?i)" + spelled(*g) + r"(\s*)([^\s{]|\z)", rf"\\{w}\1\2") for g, w in ((("su", "m"), "sum"), (("mi", "n"), "min"), (("ma", "x"), "max"), (("in",), "in"))
-)
-_SPLIT = {"mathrm": "ma th rm", "mathbb": "ma th bb", "mathbf": "ma th bf", "math": "ma th", "left": "le ft", "right": "ri gh t", "sum": "su m", "frac": "fr ac", "Pr": "pr", "bigcup": "bi gc up", "in": "in", "neq": "ne q", "ldots": "ld ot s", "forall": "fo ra ll", "quad": "qu ad", "begin": "be gi n", "end": "en d", "equiv": "eq ui v"}
+# Those of the spelled commands that stand before no brace take the blanks after them along.
+_BEFORE_NO_BRACE = ("sum", "min", "max", "in")
+_SPELLED = {
+    "equiv": "eq ui v", "sum": "su m", "min": "mi n", "max": "ma x", "frac": "fr ac", "left": "le ft", "right": "ri gh t", "long": "lo ng",
+    "mathbb": "ma th bb", "neq": "ne q", "ldots": "ld ot s", "bigcup": "bi gc up", "in": "in",
+}
+
+
+def _spelled_rules(word: str, groups: str) -> tuple:
+    pattern = "(?i)" + spelled(*groups.split())
+    if word not in _BEFORE_NO_BRACE:
+        return ((pattern, rf"\\{word}"),)
+    # the character after the word is part of the match, so words side by side need a second turn
+    return ((pattern + r"\s*([^\s{]|\z)", rf"\\{word}\1"),) * 2
+
 
+SPELLED_COMMANDS = tuple(rule for word, groups in _SPELLED.items() for rule in _spelled_rules(word, groups))
 
-def _split_word(parts: str) -> str:
-    return r"\s*".join(rf"{p[0]}_\{{{p[1]}\}}" if len(p) == 2 else p for p in parts.split())
 
+def _shredded(word: str, units: str, slashed: bool = False, tail: str = "") -> tuple[str, str]:
+    """The rule of a command cut into units: backslashes and blanks between the units, or nothing and one backslash or none;
+    where `slashed`, a backslash before any unit as well."""
+    parts = [re.sub(r"([{}])", r"\\\1", u) for u in units.split()]
+    forms = [r"\\+" + r"\s*".join(parts), *([r"\\+" + r"\\?".join(parts)] if slashed else []), r"\\?" + "".join(parts)]
+    return f"(?i)(?:{'|'.join(forms)}){tail}", rf"\\{word}"
 
-SHRED_TABLE = ((r"(?i)\\*e_\{n\}\s*d\s*\\?(array|a_\{r\}\\?r_\{a\}y)", r"\\end{array}"),) + tuple(("(?i)\\\\*" + _split_word(p), rf"\\{w}") for w, p in _SPLIT.items()) + ((r"(?i)\\?a_\{r\}\\?r_\{a\}y", "array"), (r"\\left\s*\\left", r"\\left"), (r"\\right\s*\\right", r"\\right"), (r"(\\quad\s*){2,}", r"\\quad "))
+
+_SCRIPT = r"(\\?[a-z])\s*_\s*\{([^}]+)\}"
+_NEXT_SCRIPT = r"(\\?[a-z])\s*_\s*\{"
+#: Blanks between subscripted letters go, in three turns, so that the table finds them side by side.
+SCRIPT_SPACING = (
+    (r"(?i)\\+e_\{n\}\s+d\s+array", r"\\end{array}"),
+    *((_SCRIPT + r"\s+" + _NEXT_SCRIPT, r"\1_{\2}\3_{"),) * 3,
+    (_SCRIPT + r"\s+" + _SCRIPT + r"\s+" + _NEXT_SCRIPT, r"\1_{\2}\3_{\4}\5_{"),
+    (_SCRIPT + r"\s*" + _SCRIPT + r"\s+([a-z]+)", r"\1_{\2}\3_{\4}\5"),
+    (r"\\([a-z])\s+\\?([a-z])\s+\\?([a-z])", r"\\\1\\\2\\\3"),
+)
+# The braces of an array's end come out escaped by the table, and plain by the first rule above.
+_END_ARRAY = r"\\end\\{array\\}"
+SHRED_TABLE = (
+    (r"(?i)\\m_\{a\}t_\{h\}r_\{m\}\{e_\{r\}r_\{o\}r\}", r"\\mathrm{error}"),
+    (r"(?i)\\m_\{a\}t_\{h\}r_\{m\}\{P_\{r\}\}", r"\\mathrm{Pr}"),
+    (r"(?i)\\m_\{a\}t_\{h\}r_\{m\}", r"\\mathrm"),
+    _shredded("mathbb", "m_{a} t_{h} b_{b}", slashed=True),
+    _shredded("mathbf", "m_{a} t_{h} b_{[fs]}", slashed=True),
+    _shredded("math", "m_{a} t_{h}", slashed=True),
+    _shredded("left", "l_{e} f_{t}", slashed=True),
+    _shredded("right", "r_{i} g_{h} t", slashed=True, tail=r"\}?"),
+    _shredded("sum", "s_{u} m"),
+    _shredded("frac", "f_{r} a_{c}"),
+    (r"(?i)\\?p_\{r\}", r"\\Pr"),
+    _shredded("bigcup", "b_{i} g_{c} u_{p}"),
+    _shredded("in", "i_{n}"),
+    _shredded("neq", "n_{e} q"),
+    (r"(?i)\\?l_\{d\}o_\{t\}s", r"\\ldots"),
+    (r"(?i)\\?d_\{o\}t_\{s\}", r"\\ldots"),
+    _shredded("forall", "f_{o} r_{a} l_{l}", slashed=True),
+    _shredded("quad", "q_{q} u_{a} d"),
+    (r"(?i)\\?q_\{u\}a_\{d\}", r"\\quad"),
+    (r"(?i)\\+e_\{n\}\s*d\s*array|\\+e_\{n\}d\s+\\?a_\{r\}\\?r_\{a\}y|\\?e_\{n\}d\s*array", _END_ARRAY),
+    (r"(?i)\\?a_\{r\}\\?r_\{a\}y", "array"),
+    (r"(?i)\\+e_\{n\}\s*d\s+array|\\?e_\{n\}d\s+array", _END_ARRAY),  # those whose array has just been put together
+    (r"(?i)\\+e_\{n\}\s+d", r"\\end "),
+    (r"(?i)\\?e_\{n\}d", r"\\end"),
+)
+#: Commands whose letters stand apart, doubled fences and runs of quads. Of three or more letters apart the first and the last stay.
+SPACED_COMMANDS = (
+    (r"\\\s*([a-zA-Z])(?:\s+([a-zA-Z])){2,}", r"\\\1\2"),
+    (r"(?i)\\l\s+e\s+f\s+t" + END, r"\\left\1"),
+    (r"(?i)(^|[^A-Za-z0-9_\\])l\s+e\s+f\s+t" + END, r"\1\\left\2"),
+    (r"(?i)\\\s*f\s*r\s*a\s*c", r"\\frac"),
+    (r"(?i)\\\s*s\s*u\s*m", r"\\sum"),
+    (r"\\left\\left", r"\\left"),
+    (r"\\right\\right", r"\\right"),
+    (r"\\quad(\s*\\quad)+", r"\\quad"),
+)
+FORCED_TABLE = tuple(
+    ("(?i)\\\\*" + r"\s*".join(rf"{u[0]}_\{{{u[1]}\}}" if len(u) == 2 else u for u in units.split()), rf"\\{word}")
+    for word, units in (("mathrm", "ma th rm"), ("mathbb", "ma th bb"), ("mathbf", "ma th bf"), ("math", "ma th"), ("left", "le ft"), ("right", "ri gh t"), ("sum", "su m"))
+)
 SYMBOLS = ((r"\.\.\.", r"\\ldots"), ("!=", r"\\neq"), ("<=|≤", r"\\leq"), (">=|≥", r"\\geq"), ("\u00a0", " "), (r"\s+", " "))
 SPACING = ((r"\\!+", ""), (r"\\quad+", ""), (r"\\qquad+", ""), (r"\\(mathrm|text)\s*\{\s*~\s*\}", ""), (r"\\hspace\s*\{[^}]+\}", ""), (r"\\hskip\s*[0-9.]+(pt|em|ex|mu)", ""), (r"\\[,:;]", ""))
 _STACK = r"\\stackrel\s*\{\s*\}\s*\{\s*\}\s*"
@@ -48,7 +119,11 @@ SAFE = ((r"^\s*\$+|\$+\s*\z", ""), (r"\p{Mn}", ""), ("[¢€£¥©®™§¶•¤
 CELL = ((r"^\s*\{[clr|\s]+\}", ""), (r"\\displaystyle\s*", ""), (r"\{\{\{([^{}]*)\}\}\}", r"{\1}"), (r"\{\{([^{}]*)\}\}", r"{\1}"), (r"\\[a-z]{1,2}\s*\z", ""))
 INVALID_TOKENS = ((r"<(mi|mtext)>\\[A-Za-z]+</(mi|mtext)>", r"<\1></\2>"), ("<mi>(Iniln|mln)</mi>", "<mi>min</mi>"), ("<mi>m</mi><mi>l</mi><mi>n</mi>", "<mi>min</mi>"))
 RETAG = (r"<mi>\s*([=+<>|(){}\[\],;:!/*±×÷·≤≥≠≡≈∈∉⊂⊃∪∩∑∏∫→←-])\s*</mi>", r"<mo>\1</mo>")
-OCR_PATTERNS = (("−|–|—", "-"), ("×", "*"), ("÷", "/"), ("’|‘", "'"), ("“|”", '"'), ("ﬁ", "fi"), ("ﬂ", "fl"), ("[€£¥¢]", ""), ("…", "..."))
+OCR_PATTERNS = (
+    (r"l\s*é\s*\]", "[l]"), ("€", ""), ("¢", ""), ("»", ""), ("«", ""), ("é", "e"), ("É", "E"), ("à", "a"), ("è", "e"), ("ù", "u"), ("ô", "o"), ("î", "i"), ("ç", "c"), ("ñ", "n"),
+    ("α", "alpha"), ("β", "beta"), ("γ", "gamma"), ("π", "pi"), ("θ", "theta"), ("λ", "lambda"), ("μ", "mu"), ("σ", "sigma"), ("∞", "infty"), ("∑", "sum"), ("∫", "int"), ("√", "sqrt"),
+    ("≤", "le"), ("≥", "ge"), ("≠", "ne"), ("≈", "approx"), ("±", "pm"), ("×", "times"), ("÷", "div"), ("∂", "partial"), ("∇", "nabla"), ("∏", "prod"),
+)
 BROAD = (("α", r"\\alpha "), ("β", r"\\beta "), ("γ", r"\\gamma "), ("δ", r"\\delta "), ("ε", r"\\epsilon "), ("θ", r"\\theta "), ("λ", r"\\lambda "), ("μ", r"\\mu "), ("π", r"\\pi "), ("σ", r"\\sigma "), ("φ", r"\\phi "), ("ω", r"\\omega "), ("≤", r"\\leq "), ("≥", r"\\geq "), ("≠", r"\\neq "), ("≡", r"\\equiv "), ("∈", r"\\in "), ("∑", r"\\sum "), ("∞", r"\\infty "), ("→", r"\\to "), (r"l_\{e\}\]", "[t]"), (r"4T", "t"), (r"\s+", " "))
 NOISE_CHARACTERS = "€£¥¢©®™§¶•°«»¿¡¤¦¨¬¯"
 
@@ -93,25 +168,64 @@ def auto_balance(d: Spark, x: str) -> str:
     return f"CASE WHEN {off} BETWEEN 1 AND 3 THEN {closed} WHEN {off} BETWEEN -3 AND -1 THEN {opened} ELSE {x} END"
 
 
+def _bound(d: Spark, x: str, body: str) -> str:
+    """`body`, an expression in y, with x computed once for it."""
+    return d.at(d.each(d.array(x), body), "1")
+
+
+def _drop_rights(d: Spark, y: str, n: str) -> str:
+    """y without the last n of the fences \\right}, \\right) and \\right] at its end; a fence before another command stays."""
+    fences = d.extract_all(y, r"\\right[}\])][^\\]*", 0)
+    tail = d.extract(y, r"((?:\\right[}\])][^\\]*)+)\z", 1)
+    units = d.extract_all(tail, r"\\right[}\])][^\\]*", 0)
+    kept = f"greatest({d.size(units)} - {n}, 0)"
+    head = f"substr({y}, 1, length({y}) - length({tail}))"
+    cut = d.sub(d.join(d.slice(units, f"{kept} + 1", d.size(units)), ""), r"\\right[}\])]", "")
+    return f"CASE WHEN {d.size(fences)} = 0 OR {tail} = '' THEN {y} ELSE concat({head}, {d.join(d.slice(units, '1', kept), '')}, {cut}) END"
+
+
+def _even(d: Spark, x: str, y: str, opener: str, closer: str) -> str:
+    """x with as many closers appended as y, the text before, lacks if these are over two, or up to five cut from the end if over two are too many."""
+    off = f"CAST({count_of(d, y, opener)} - {count_of(d, y, closer)} AS INT)"
+    fewer = " ".join(f"WHEN {off} {test} THEN {d.sub(x, rf'[{closer}]{{1,{n}}}\z'.replace('[]]', r'\]'), '')}" for test, n in (("= -3", 3), ("= -4", 4), ("<= -5", 5)))
+    return f"CASE WHEN {off} > 2 THEN concat({x}, repeat('{closer}', {off})) {fewer} ELSE {x} END"
+
+
 def pre_balance(d: Spark, x: str) -> str:
-    """Letter commands, then truncated suffixes cut, then missing \\right. appended."""
-    y = chain(d, x, (*LETTER_COMMANDS, (r"\\(q|qu|su|le|lef|rig|fra)\z", ""), (r"\\[a-z]{1,2}\z", "")))
-    off = f"({count_of(d, y, chr(92) + 'left')} - {count_of(d, y, chr(92) + 'right')})"
-    return f"concat({y}, repeat({d.lit(chr(92) + 'right.')}, greatest(CAST({off} AS INT), 0)))"
+    """Letter commands, then truncated ends cut, then fences, braces and brackets evened out.
+
+    Fences too many go from the end; of those missing one is appended, the partner of the
+    last \\left. Braces and brackets are counted before that and mended if off by more than two.
+    """
+    whole = chain(d, x, (*LETTER_COMMANDS, *((rf"\\{w}\z", "") for w in ("q", "qu", "su", "le", "ri", "fr", "ma")), (r"\\[a-z]{1,2}\z", "")))
+    off = f"({d.size(d.extract_all('y', r'\\left[^a-zA-Z]', 0))} - {d.size(d.extract_all('y', r'\\right[^a-zA-Z]', 0))})"
+    last = d.extract("y", r"(?s)^.*\\left([^a-zA-Z])", 1)
+    partner = f"CASE {last} WHEN '(' THEN ')' WHEN '[' THEN ']' WHEN '|' THEN '|' WHEN '.' THEN '.' ELSE '}}' END"
+    fenced = f"CASE WHEN {off} < 0 THEN {_drop_rights(d, 'y', f'(-{off})')} WHEN {off} > 0 THEN concat(y, {d.lit(chr(92) + 'right')}, {partner}) ELSE y END"
+    return _bound(d, whole, _even(d, _even(d, fenced, "y", "{", "}"), "y", "[", "]"))
+
+
+def shred_table(d: Spark, x: str, passes: int = 3) -> str:
+    """The table of split commands, in three turns, then spaced commands, doubled fences and runs of quads.
+
+    Of more than five quads that are left the first two stay, side by side. Texts without
+    a subscript, a backslash or `left` in single letters are left as they are.
+    """
+    whole = chain(d, chain(d, x, (*SCRIPT_SPACING, *SHRED_TABLE * passes)), SPACED_COMMANDS)
+    mark = chr(1)
+    rest = chain(d, d.extract("y", r"(?s)^.*?\\quad+(.*)\z", 1), ((r"\\quad+", mark), (rf"{mark}(\s*{mark})+", mark), (rf"^\s*{mark}|{mark}\s*\z|^\s*\z", ""), (mark, " ")))
+    few = f"concat({d.extract('y', r'(?s)^(.*?)\\quad', 1)}, {d.lit(chr(92) + 'quad' + chr(92) + 'quad')}, {rest})"
+    quads = _bound(d, whole, f"CASE WHEN {count_of(d, 'y', chr(92) + 'quad')} > 5 THEN {few} ELSE y END")
+    return f"CASE WHEN {has(d, x, '_', chr(92))} OR {d.match(x, r'(?i)l\s+e\s+f\s+t')} THEN {quads} ELSE {x} END"
 
 
-def shred_table(d: Spark, x: str, passes: int = 2) -> str:
-    """The table of split commands; rows without a letter subscript are left as they are."""
-    y = x
-    for _ in range(passes):
-        y = chain(d, y, SHRED_TABLE)
-    return f"CASE WHEN contains({x}, '_{{') OR contains({x}, '_') THEN {y} ELSE {x} END"
+SUBSCRIPT_RUN = r"(?:[A-Za-z]_\{[A-Za-z0-9]\}){2,}"
 
 
 def collapse_subscripts(d: Spark, x: str) -> str:
-    """Three, then two subscripted letters in a row become one upright word: bases, then subscripts."""
-    unit = r"([A-Za-z])_\{([A-Za-z])\}"
-    return chain(d, x, ((unit * 4, r"\\mathrm{\1\3\5\7\2\4\6\8}"), (unit * 3, r"\\mathrm{\1\3\5\2\4\6}"), (unit * 2, r"\\mathrm{\1\3\2\4}")))
+    """Each run of two or more subscripted letters becomes one upright word: the bases, then the subscripts."""
+    word = f"concat({d.lit(chr(92) + 'mathrm{')}, {d.sub('y', r'_\{.\}', '')}, {d.sub('y', r'[A-Za-z]_\{(.)\}', chr(92) + '1')}, '}}')"
+    return f"CASE WHEN {d.match(x, SUBSCRIPT_RUN)} THEN {d.interleave(d.split(x, SUBSCRIPT_RUN), d.each(d.extract_all(x, SUBSCRIPT_RUN, 0), word))} ELSE {x} END"
 
 
 def stackrel(d: Spark, x: str) -> str:
@@ -188,7 +302,7 @@ CHAINS = {
     "repair_classic_chain": lambda d, x: classic_normalize(d, classic_structure(d, classic_clean(d, x))),
     "repair_safe": safe, "repair_heuristic": heuristic, "repair_post_process": post_process, "repair_ocr_errors": ocr_errors, "repair_conservative": conservative,
     "repair_spelled_to_command": apply(SPELLED_COMMANDS), "repair_letter_commands": apply(LETTER_COMMANDS), "repair_pre_balance": pre_balance, "repair_auto_balance": auto_balance,
-    "repair_collapse_subscripts": collapse_subscripts, "repair_shred_table": shred_table, "repair_shred_forced": lambda d, x: chain(d, collapse_subscripts(d, x), SHRED_TABLE[:8]),
+    "repair_collapse_subscripts": collapse_subscripts, "repair_shred_table": shred_table, "repair_shred_forced": lambda d, x: chain(d, collapse_subscripts(d, x), FORCED_TABLE),
     "repair_symbols": apply(SYMBOLS), "repair_extract_payload": extract_payload, "repair_xml_text": apply(XML_TEXT), "repair_sanitize": apply(SANITIZE), "repair_fixer_primitives": lambda d, x: close_braces(d, chain(d, x, BROKEN_COMMANDS)),
     "repair_stackrel": stackrel, "repair_strip_spacing": apply(SPACING), "repair_numeric_entities": numeric_entities, "repair_double_struck": double_struck, "proj_readable": readable,
     "repair_merged_commands": apply(MERGED), "repair_ocr_noise": apply(NOISE), "repair_outer_braces": outer_braces, "repair_line": line, "repair_cell": apply(CELL), "repair_operator_tags": apply((RETAG,)),

@@ -66,8 +66,36 @@ def test_repairs(spark):
     assert evaluate(spark, repair.CHAINS["repair_auto_balance"], r"\frac{a}{b", "a}}", "{{{{") == [r"\frac{a}{b}", "{{a}}", "{{{{"]
     spaced = evaluate(spark, repair.CHAINS["repair_strip_spacing"], r"a \, b \quad c \mathrm{~} d \!")
     assert evaluate(spark, repair.CHAINS["repair_strip_spacing"], *spaced) == spaced
-    shredded = evaluate(spark, lambda d, x: d.sub(x, r"([A-Za-z])_?([0-9]+|[A-Za-z])", r"\1_{\2}"), r"\sum \left \right \frac \mathbb \equiv")
-    assert evaluate(spark, repair.CHAINS["repair_shred_table"], *shredded) == [r"\sum \left \right \frac \mathbb \equiv"]
+
+
+def test_shredded_table(spark):
+    cases = {
+        r"\s_{u}m \l_{e}f_{t} \r_{i}g_{h}t \f_{r}a_{c} \m_{a}t_{h}b_{b}": r"\sum \left\right \frac\mathbb",
+        r"\m_{a} t_{h} b_{f}{x}": r"\mathbf{x}", r"\m_{a}\t_{h}\b_{b}{R}": r"\mathbb{R}", r"\m_{a}t_{h}r_{m}{e_{r}r_{o}r}": r"\mathrm{error}", r"\m_{a}t_{h}r_{m}{P_{r}}": r"\mathrm{Pr}",
+        r"\e_{n} d array": r"\end{array}", r"\e_{n}darray": r"\end\{array\}", r"e_{n}d a_{r}r_{a}y": r"\end\{array\}", r"e_{n}d x": r"\end x",
+        r"\f_{o}\r_{a}\l_{l} = x": r"\forall = x", r"\f_{o}\r_{a}\l_{l} x": r"\forallx", r"q_{q}u_{a}d q_{u}a_{d} = z": r"\quad = z", r"l_{d}o_{t}s": r"\ldots", r"n_{e}q b_{i}g_{c}u_{p}": r"\neq \bigcup",
+        r"\left\left( a \right\right)": r"\left( a \right)", "x l e f t (": r"x \left (", r"a\l e f t(": r"a\l\e\f t(",
+        " ".join(rf"{c} \quad" for c in "abcdefg"): r"a \quad\quad b   c   d   e   f   g ", "plain text": "plain text",
+    }
+    assert dict(zip(cases, evaluate(spark, repair.CHAINS["repair_shred_table"], *cases))) == cases
+
+
+def test_subscript_runs_of_any_length(spark):
+    cases = {"m_{a}t_{h}": r"\mathrm{mtah}", "a_{b}c_{d}e_{f}g_{h}i_{j}k_{1} + x_{y} + p_{q}r_{s}": r"\mathrm{acegikbdfhj1} + x_{y} + \mathrm{prqs}", "x_{i}": "x_{i}", "": ""}
+    assert dict(zip(cases, evaluate(spark, repair.CHAINS["repair_collapse_subscripts"], *cases))) == cases
+
+
+def test_pre_balance(spark):
+    cases = {
+        r"a + b \q": "a + b ", r"\left( x": r"\left( x\right)", r"\left[ x \left\{ y": r"\left[ x \left\{ y\right}", r"x \right) y \right] z": "x  y  z",
+        r"\left( x \right) \right]": r"\left( x \right) ", r"\right) \alpha": r"\right) \alpha", "{{{a": "{{{a}}}", "{{a": "{{a", "a}}}}": "a", "a}}": "a}}", "a}}}}}}}": "a}}", "[[[a": "[[[a]]]", "a]]]": "a",
+    }
+    assert dict(zip(cases, evaluate(spark, repair.CHAINS["repair_pre_balance"], *cases))) == cases
+
+
+def test_spelled_commands_and_patterns(spark):
+    assert evaluate(spark, repair.CHAINS["repair_spelled_to_command"], "e_q u_i v s_u m", "s_{u}m x", "s_{u}ms_{u}m", "s_u m {x}", "l_d o_t s") == [r"\equiv \sum", r"\sumx", r"\sum\sum", "s_u m {x}", r"\ldots"]
+    assert evaluate(spark, repair.CHAINS["repair_ocr_patterns"], "l é ]", "x € y", "π ≤ é") == ["[l]", "x  y", "pi le e"]
 
 
 def test_gates(spark):
