@@ -54,6 +54,10 @@ class Spark:
         """The text of the first of parts, the first of between, the second of parts and so on."""
         return f"array_join(zip_with({parts}, {between}, (y, z) -> concat(y, coalesce(z, ''))), '')"
 
+    def lookup(self, pairs, key: str) -> str:
+        """What a fixed table of (text, text) holds for a key; null if nothing."""
+        return f"try_element_at(map({', '.join(self.lit(t) for pair in pairs for t in pair)}), {key})"
+
     def concat_arrays(self, *xs: str) -> str:
         return f"concat({', '.join(xs)})"
 
@@ -146,6 +150,9 @@ class Duck(Spark):
     def interleave(self, parts: str, between: str) -> str:
         return f"array_to_string(list_transform(list_zip({parts}, {between}), lambda y: concat(y[1], coalesce(y[2], ''))), '')"
 
+    def lookup(self, pairs, key: str) -> str:
+        return f"list_extract(map_extract(MAP {{{', '.join(f'{self.lit(a)}: {self.lit(b)}' for a, b in pairs)}}}, {key}), 1)"
+
     def concat_arrays(self, *xs: str) -> str:
         out = xs[0]
         for x in xs[1:]:

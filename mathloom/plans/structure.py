@@ -115,6 +115,17 @@ def _decode(d):
         FROM (SELECT reference, n, {code} AS code FROM {refs}) c LEFT JOIN {entities(d)} ON reference = concat('&', name, ';')"""
 
 
+def _normalize(d):
+    """Pages with their tags kept and the text between them decoded, then escaped; unknown references count as text."""
+    token = r"<[^>]*(?:>|\z)|&(?:#[xX][0-9a-fA-F]{1,6}|#[0-9]{1,7}|[A-Za-z][A-Za-z0-9]*);"
+    code = f"coalesce(CAST(nullif({d.extract('y', '^&#([0-9]+);', 1)}, '') AS INT), {d.from_hex(d.extract('y', '^&#[xX]([0-9a-fA-F]+);', 1))})"
+    valid = f"{code} > 0 AND {code} <= 1114111 AND NOT ({code} BETWEEN 55296 AND 57343)"
+    named = [(f"&{n};", chr(cp)) for n, cp in sorted(html.entities.name2codepoint.items())]
+    decoded = f"CASE WHEN {valid} THEN {d.char(f'CASE WHEN {valid} THEN {code} ELSE 63 END')} ELSE coalesce({d.lookup(named, 'y')}, y) END"
+    pieces = d.each(d.extract_all("html", token, 0), f"CASE WHEN substr(y, 1, 1) = '<' THEN y ELSE {classify.xml_escape(d, decoded)} END")
+    return f"SELECT page_id, {d.interleave(d.each(d.split('html', token), classify.xml_escape(d, 'y')), pieces)} AS text FROM pages"
+
+
 def _encode(d):
     chars = d.extract_all("text", r"[^\x00-\x7F]", 0)
     last = f"(SELECT code_point AS cp, {d.max_by('name', 'seq')} AS name FROM {entities(d)} GROUP BY code_point) n"
@@ -198,5 +209,5 @@ TEMPLATES = {
     "entity_decode": ((), _decode), "entity_encode": ((), _encode), "entity_reference": ((), _reference), "entity_consistency": ((), _consistency), "agg_entity_categories": ((), _categories), "symbol_lookup": (("fragments",), _symbol_lookup),
     "recover_tokens": (("fragments",), _recover_tokens), "repair_tokens": (("fragments",), _repair_tokens),
     "sink_entity_json": ((), lambda d: f"SELECT r.name, concat('{{\"name\":\"', r.name, '\",\"decimal\":', CAST(code_point AS STRING), ',\"uses\":', CAST(n AS STRING), '}}') AS json FROM {_named_references(d)} JOIN {entities(d)} ON r.name = e.name"),
-    "proj_entity_normalize": ((), lambda d: f"SELECT page_id, {classify.xml_escape(d, classify.strip_tags(d, 'html'))} AS text FROM pages"),
+    "proj_entity_normalize": ((), _normalize),
 }
