@@ -11,10 +11,18 @@ LABELS = (r"^\s*\(([0-9]+(?:\.[0-9]+)*[a-z]?)\)", r"^\s*\[([0-9]+(?:\.[0-9]+)*)\
 # Cues over lower-cased text, how many are needed, and the canonical formula.
 TEMPLATES = (
     ("power", (("r_v", "r("), ("frac", "1/n", "1 n"), ("sum", "t=0"), ("^2", "]^2", "squared"), ("le p", "<= p", "< p"), ("y_0", "y_{t-1}", "t-1")), 3, r"\frac{1}{n} \sum_{t=0}^{n-1} [ r_v^{(t)}(y_0,\ldots,y_{t-1}) ]^2 \le P"),
-    ("error_probability", (("p_e", "error"), ("pr", "p r"), ("w i", "w_i"), ("y a", "y_a"), ("(c)",)), 3, r"P_{\mathrm{error}}(C) = \Pr[ W_i \neq g_i(Y_{a,0}, \ldots, Y_{a,n-1}) ]"),
-    ("channel", (("y_{j", "y_j", "y_{i"), ("h_{", "h_"), ("x_{i", "x_i"), ("z;", "z_j", "z_{")), 3, r"Y_j[t] = \sum_{i} h_{i,j}[t] X_i[t] + Z_j[t]"),
 )
 
+# Cues as patterns over lower-cased text with single blanks, how many are needed, and the canonical formula.
+FIXER_TEMPLATES = {
+    "fixer": ((r"p[_\s]?error|perror|p_error", r"bigcup|u_\{i=1\}|u_\{i\}", r"w[_\s]?i|g[_\s]?i", r"y[_\s]?d|y_\{d\}", r"\[0\]|n-1|t=0"), 3, r"\frac{1}{n} \sum_{t=0}^{n-1} \left[ r_v^{(t)}\!\left( y_0, \ldots, y_{t-1} \right) \right]^2 \le P"),
+    "channel": ((r"y_?j\[?t", r"h_\{i,j\}|h_\\\{i,j\}|x_\[t\]|x\[t\]|x_i\[t\]", r"z_?j\[?t"), 2, r"Y_{j}[t]=\sum_{i\in I(j)} h_{i,j}[t] X_{i}[t] + Z_{j}[t]"),
+}
+# Tables of cues, of which three must come, and the groups of the all-of rule, of each of which one must come.
+ERROR_CUES = ("p_error", "perror", "p_e", r"\p_r", "pr[", "pr(", "pr{", r"\cup", "⋃", "!=", "≠", "g_{i}", "y_{a}", "y_{d}", "i=1")
+CHANNEL_CUES = ("y_", "x_", "z_", "l]", "l_{e}", "l_{d}", "l_{l}", "[e]", "hag", "so ", "ss", "sp", "s_p", "251")
+POWER_GROUPS = (("rv",), ("y0",), ("t-1",), (r"\sum", "s_u", "s_{u}", "sum"), ("1n", r"\frac", "frac{1}{n}"), ("]^2", "}^{2}", "^{2}"))
+
 
 def multi_line(d: Spark, x: str) -> str:
     return f"({has(d, x, *(chr(92) + 'begin{' + e for e in ENVIRONMENTS))} OR {count_of(d, x, chr(92) * 2)} > 1)"
@@ -54,3 +62,14 @@ def bracket(d: Spark, x: str) -> str:
 
 def cues(d: Spark, x: str, groups) -> str:
     return " + ".join(f"CASE WHEN {has(d, f'lower({x})', *g)} THEN 1 ELSE 0 END" for g in groups)
+
+
+def cue_hits(d: Spark, x: str) -> str:
+    """Array of `template:hits` for the cue tables that x meets; the channel's and the power formula's are read without blanks."""
+    low, tight = f"lower({x})", f"replace(lower({x}), ' ', '')"
+
+    def count(text, groups):
+        return "(" + " + ".join(f"CASE WHEN {has(d, text, *g)} THEN 1 ELSE 0 END" for g in groups) + ")"
+
+    tables = (("error_probability", count(low, [(c,) for c in ERROR_CUES]), 3), ("power", count(tight, POWER_GROUPS), len(POWER_GROUPS)), ("channel", count(tight, [(c,) for c in CHANNEL_CUES]), 3))
+    return d.compact(d.array(*[f"CASE WHEN {n} >= {least} THEN concat('{name}:', CAST({n} AS STRING)) END" for name, n, least in tables]))

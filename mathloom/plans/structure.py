@@ -99,10 +99,21 @@ def _template(which, name):
     return ("fragments",), body
 
 
+def _fixer(name):
+    def body(d):
+        patterns, least, canonical = layout.FIXER_TEMPLATES[name]
+        low = d.sub("lower(payload)", r"\s+", " ")
+        cues = " + ".join(f"CASE WHEN {d.match('low', p)} THEN 1 ELSE 0 END" for p in patterns)
+        return f"SELECT expr_id, cues, CASE WHEN cues >= {least} THEN {d.lit(canonical)} ELSE payload END AS latex FROM (SELECT g.*, {cues} AS cues FROM (SELECT f.*, {low} AS low FROM {EXPRESSIONS}) g) h"
+
+    return ("fragments",), body
+
+
 def _cue_join(d):
-    rows = ", ".join(f"({d.lit(name)}, {d.lit(cue)}, {least})" for name, groups, least, _ in layout.TEMPLATES for g in groups for cue in g)
-    return f"""SELECT expr_id, template, count(*) AS hits, round(least(1.0, 0.5 + 0.05 * count(*)), 3) AS confidence FROM {EXPRESSIONS} JOIN (VALUES {rows}) AS t(template, cue, least_hits) ON contains(lower(payload), cue)
-        GROUP BY expr_id, template HAVING count(*) >= max(least_hits)"""
+    """Expressions and the cue tables that they meet, in one pass, with a confidence by the number of cues."""
+    n = f"CAST({d.extract('hit', ':([0-9]+)', 1)} AS INT)"
+    return f"""SELECT expr_id, {d.extract('hit', '^([a-z_]+)', 1)} AS template, {n} AS hits, round(least(1.0, 0.5 + 0.05 * {n}), 3) AS confidence
+        FROM (SELECT expr_id, hit FROM (SELECT f.*, {layout.cue_hits(d, 'payload')} AS found FROM {EXPRESSIONS}) g {d.explode('found', 'hit')}) h"""
 
 
 def _decode(d):
@@ -204,7 +215,7 @@ TEMPLATES = {
     "route_layout": (("fragments",), lambda d: f"SELECT expr_id, {layout.route(d, 'payload')} AS route FROM {EXPRESSIONS}"), "extract_label": (("fragments",), lambda d: f"SELECT expr_id, {layout.label(d, 'payload')} AS label FROM {EXPRESSIONS}"),
     "matrix_profile": (("fragments",), _matrix_profile), "extract_elements": (("fragments",), _elements), "tokenize": (("fragments",), lambda d: f"SELECT expr_id, pos, kind, token FROM {tokens(d)} t"),
     "win_letter_runs": (("fragments",), _letter_runs), "win_pair_subscripts": (("fragments",), _pairs), "win_neighbor_noise": (("fragments",), _neighbours), "win_bracket_depth": (("fragments",), _depth),
-    "template_power": _template(0, "power"), "template_fixer": _template(1, "error_probability"), "template_channel": _template(2, "channel"), "template_cue_join": (("fragments",), _cue_join),
+    "template_power": _template(0, "power"), "template_fixer": _fixer("fixer"), "template_channel": _fixer("channel"), "template_cue_join": (("fragments",), _cue_join),
     "template_trigger": (("fragments",), lambda d: f"SELECT expr_id, {has(d, 'payload', chr(92) + 'l_{', chr(92) + 'r_{', chr(92) + 'f_{', chr(92) + 's_{', chr(92) + 'm_{', 'l_{e}', 'r_{i}g')} OR {d.match('payload', r'\\[a-z]\s[a-z]\s[a-z]')} AS triggered FROM {EXPRESSIONS}"),
     "entity_decode": ((), _decode), "entity_encode": ((), _encode), "entity_reference": ((), _reference), "entity_consistency": ((), _consistency), "agg_entity_categories": ((), _categories), "symbol_lookup": (("fragments",), _symbol_lookup),
     "recover_tokens": (("fragments",), _recover_tokens), "repair_tokens": (("fragments",), _repair_tokens),

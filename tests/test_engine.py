@@ -155,3 +155,9 @@ def test_entity_page(spark):
     page = "<table>" + row("head") + row('<font size="7">α</font>', '<font size="7">??</font>', "x") + row("alpha", "beta") + row("x3B1", "x3B2", "x0") + row("#945;", "#946;") + row("tail") + "</table>"
     got = parse_entities(spark.createDataFrame([(1, page), (2, None), (3, "")], "page_id INT, html STRING")).orderBy("seq").collect()
     assert [(r["seq"], r["name"], r["ch"]) for r in got] == [(0, "alpha", "α"), (1, "beta", "β")]
+
+
+def test_cue_tables(spark):
+    texts = ("P_error = Pr[ a != b ]", "r_v y_0 t-1", r"\frac{1}{n} \sum_{t=0}^{n-1} [rv(y0, t-1)]^2", "Y_{j}l_{e}] = X_{i}[e]", "x")
+    got = evaluate(spark, lambda d, x: d.join(layout.cue_hits(d, x), " "), *texts)
+    assert got == ["error_probability:4", "", "power:6", "channel:4", ""]
