@@ -22,6 +22,8 @@ from .shared import bounded_sample, held_out_bucket, private
 
 SLOTS = 1 << 16
 UNDETERMINED = "und"
+#: New words that are scored at once; each has some 20 slots.
+MOST_NEW = 8192
 WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 ASCII_WORD = re.compile("[a-z]+")
 
@@ -156,17 +158,20 @@ class Labeller:
             size = len(self.known)
             if size + len(new) > len(self.table):
                 self.table = np.concatenate((self.table, np.zeros((size + len(new), self.table.shape[1]))))[: 2 * (size + len(new))]
-            slots, sizes, lexicon = [], [], self.model.lexicon
-            for w in new:
-                own = word_features(w)
-                slots += own
-                sizes.append(len(own))
-            starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-            rows = np.add.reduceat(self.model.emission[slots], starts) / np.sqrt(np.array(sizes))[:, None]
-            for i, w in enumerate(new):
-                if w in lexicon:
-                    rows[i] += lexicon[w]
-            self.table[size : size + len(new)] = rows
+            lexicon = self.model.lexicon
+            for begin in range(0, len(new), MOST_NEW):
+                some = new[begin : begin + MOST_NEW]
+                slots, sizes = [], []
+                for w in some:
+                    own = word_features(w)
+                    slots += own
+                    sizes.append(len(own))
+                starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+                rows = np.add.reduceat(self.model.emission[slots], starts) / np.sqrt(np.array(sizes))[:, None]
+                for i, w in enumerate(some):
+                    if w in lexicon:
+                        rows[i] += lexicon[w]
+                self.table[size + begin : size + begin + len(some)] = rows
             self.known.update(zip(new, range(size, size + len(new))))
             self.letters += sum(map(len, new))
             at = [self.known[w] for w in words]
@@ -288,7 +293,7 @@ def train_languages(docs: DataFrame, most_rows: int = 600, folds: int = 3, held_
     return fit_chain([(r["text"], r["lang"]) for r in rows])
 
 
-def identify(docs: DataFrame, model: ChainModel, text: str = "text", batch_chars: int = 2_000_000) -> DataFrame:
+def identify(docs: DataFrame, model: ChainModel, text: str = "text", batch_chars: int = 500_000) -> DataFrame:
     """docs and the columns lang_pred and lang_score, for every row.
 
     Whole texts are labelled. Null texts and texts without a letter give `und` and 0;
