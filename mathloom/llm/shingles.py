@@ -117,7 +117,7 @@ def near(a: np.ndarray, b: np.ndarray) -> bool:
     return 9 * len(np.intersect1d(a, b, assume_unique=True)) >= 4 * (len(a) + len(b))
 
 
-def _by_bytes(batch: pa.RecordBatch, most: int = 3_000_000):
+def _by_bytes(batch: pa.RecordBatch, most: int = 1_000_000):
     """(first row, texts) of pieces of a batch whose last column holds texts, of about `most` bytes each."""
     texts, size, at = [], 0, 0
     for k, value in enumerate(batch.column(batch.num_columns - 1).cast(pa.binary())):
