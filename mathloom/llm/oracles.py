@@ -59,4 +59,60 @@ summed AS (SELECT doc_id, count(*) FILTER (WHERE kind = 'assign') AS n_assign, c
 SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM documents d LEFT JOIN summed USING (doc_id)"""
 
-ORACLES = {"op5_substring_dedup": OP5, "op8_decontamination": OP8, "op9_poisson_mix": OP9, "op10_secret_scan": OP10}
+_CRC = """(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(1, length(id) + 1), lambda i: CAST(ascii(substr(id, i, 1)) AS BIGINT))),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), [CAST(0 AS BIGINT) for i in range(8)]), lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)))"""
+
+
+def _field(x: str) -> str:
+    return f"coalesce(CAST(strlen(CAST({x} AS VARCHAR)) AS VARCHAR) || ':' || CAST({x} AS VARCHAR), '-')"
+
+
+def _leaf(text: str) -> str:
+    return "sha256(" + " || ".join(_field(x) for x in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+def _levels(name: str, levels: int) -> str:
+    """CTEs {name}0 (t, i, n, d) and what stands above: level after level while a tree has several nodes, and each node's siblings on its left and right."""
+    out = []
+    for k in range(levels):
+        out.append(f"""{name}s{k} AS (SELECT t, i, n, coalesce(string_agg(d, '') OVER (PARTITION BY t, i // 16 ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+            coalesce(string_agg(d, '') OVER (PARTITION BY t, i // 16 ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r FROM {name}{k} WHERE n > 1)""")
+        out.append(f"{name}{k + 1} AS (SELECT t, i // 16 AS i, (n + 15) // 16 AS n, sha256(string_agg(d, '' ORDER BY i)) AS d FROM {name}{k} WHERE n > 1 GROUP BY t, i // 16, n UNION ALL SELECT t, i, n, d FROM {name}{k} WHERE n = 1)")
+    return ",\n".join(out)
+
+
+def _climb(rows: str, name: str, levels: int, tree: str, index: str) -> str:
+    """rows with path and folded carried through the levels of their tree."""
+    for k in range(levels):
+        rows = f"""(SELECT x.* EXCLUDE (path, folded), path || coalesce(s.l || s.r, '') AS path, CASE WHEN s.t IS NULL THEN folded ELSE sha256(s.l || folded || s.r) END AS folded
+            FROM {rows} x LEFT JOIN {name}s{k} s ON s.t = x.{tree} AND s.i = x.{index} // {16**k})"""
+    return rows
+
+
+#: Trees of up to 16 ** 6 rows and 16 ** 3 sources.
+OP11 = f"""
+WITH ids AS (SELECT *, CAST(doc_id AS VARCHAR) AS id FROM documents),
+leafs AS (SELECT doc_id, source, {_leaf("text")} AS leaf, CASE WHEN xor({_CRC}, 4294967295) % 5 = 0 AND text IS NOT NULL THEN {_leaf(f"translate(text, '{UPPER}', '{LOWER}')")} END AS claim FROM ids),
+placed AS (SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS t, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY source) AS n FROM leafs),
+a0 AS (SELECT t, i, n, leaf AS d FROM placed),
+{_levels("a", 6)},
+b0 AS (SELECT 0 AS t, t AS i, (SELECT count(DISTINCT t) FROM placed) AS n, d FROM a6),
+{_levels("b", 3)},
+proofs AS (SELECT * FROM {_climb(_climb("(SELECT *, 0 AS z, '' AS path, coalesce(claim, leaf) AS folded FROM placed)", "a", 6, "t", "i"), "b", 3, "z", "t")} p)
+SELECT doc_id, leaf, a6.d AS subroot, b3.d AS root, sha256(path) AS proof_sha256, folded AS folded_root, folded = b3.d AS verified FROM proofs p JOIN a6 ON a6.t = p.t, b3"""
+
+OP12 = """
+WITH good AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+    FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: coalesce(isfinite(x), false))) = len(embedding)),
+scored AS (SELECT a.vec_id AS anchor_id, c.vec_id AS other_id, a.label = c.label AS alike, CAST(list_inner_product(a.v, c.v) AS BIGINT) AS score FROM good a, good c WHERE a.vec_id % 100 = 0 AND c.vec_id <> a.vec_id),
+positives AS (SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) AS k FROM scored WHERE alike) p WHERE k <= 5),
+ranked AS (SELECT anchor_id, positive_id, other_id AS negative_id, positive_score, score AS negative_score, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id) AS k
+    FROM positives JOIN (SELECT * FROM scored WHERE NOT alike) s USING (anchor_id) WHERE 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score)
+SELECT anchor_id, positive_id, CAST(k AS INT) AS rank, negative_id, positive_score, negative_score FROM ranked WHERE k <= 10"""
+
+OP13 = """
+SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
+    row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))"""
+
+ORACLES = {"op5_substring_dedup": OP5, "op8_decontamination": OP8, "op9_poisson_mix": OP9, "op10_secret_scan": OP10, "op11_merkle_manifest": OP11, "op12_hard_negatives": OP12, "op13_exact_dedup": OP13}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, factorization, language, licenses, mixing, pages, secrets, simhash, substrings, winnow
+from . import cuckoo, decontaminate, factorization, language, licenses, merkle, mixing, negatives, pages, secrets, simhash, substrings, winnow
 from .oracles import ORACLES
 from .shared import held_out_bucket, table
 
@@ -79,6 +79,26 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, digest.alias("base_sha256"), joined(F.col("secrets")).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_license_scan, op3_winnowing, op4_template_removal, op5_substring_dedup, op6_language_id, op7_simhash, op8_decontamination, op9_poisson_mix, op10_secret_scan)}
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.translate("text", upper, lower))
+    found = merkle.prove(docs, claim_text=tampered)
+    return found.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = negatives.whole_vectors(table(spark, sf_dir, "embeddings"))
+    moved = vectors.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    found = negatives.hard_negatives(moved, anchors="vec_id % 100 = 0")
+    return found.select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = cuckoo.duplicates(cuckoo.build(table(spark, sf_dir, "documents")))
+    return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_license_scan, op3_winnowing, op4_template_removal, op5_substring_dedup, op6_language_id, op7_simhash, op8_decontamination, op9_poisson_mix, op10_secret_scan, op11_merkle_manifest, op12_hard_negatives, op13_exact_dedup)}
 
 __all__ = ["ORACLES", "QUERIES"]
