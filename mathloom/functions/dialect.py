@@ -78,10 +78,16 @@ class Spark:
         return f"reverse({x})"
 
     def explode(self, x: str, alias: str, pos: str | None = None) -> str:
-        """A FROM item: rows of an array of the tables before it, with places from 0."""
+        """A FROM item: rows of an array of the tables before it, with places from 0.
+
+        The array is wrapped, as Spark adds a filter on the size of an array that is a
+        column, and pushes it, with all that the column is computed from, below the
+        aggregation that was to keep it from being computed for every row.
+        """
+        whole = f"filter({x}, y -> true)"
         if pos:
-            return f"LATERAL VIEW posexplode({x}) t_{alias} AS {pos}, {alias}"
-        return f"LATERAL VIEW explode({x}) t_{alias} AS {alias}"
+            return f"LATERAL VIEW posexplode({whole}) t_{alias} AS {pos}, {alias}"
+        return f"LATERAL VIEW explode({whole}) t_{alias} AS {alias}"
 
     def numbers(self, first: str, last: str) -> str:
         return f"sequence({first}, {last})"

@@ -66,10 +66,19 @@ def cues(d: Spark, x: str, groups) -> str:
 
 def cue_hits(d: Spark, x: str) -> str:
     """Array of `template:hits` for the cue tables that x meets; the channel's and the power formula's are read without blanks."""
-    low, tight = f"lower({x})", f"replace(lower({x}), ' ', '')"
 
-    def count(text, groups):
+    def count(text: str, groups) -> str:
         return "(" + " + ".join(f"CASE WHEN {has(d, text, *g)} THEN 1 ELSE 0 END" for g in groups) + ")"
 
-    tables = (("error_probability", count(low, [(c,) for c in ERROR_CUES]), 3), ("power", count(tight, POWER_GROUPS), len(POWER_GROUPS)), ("channel", count(tight, [(c,) for c in CHANNEL_CUES]), 3))
-    return d.compact(d.array(*[f"CASE WHEN {n} >= {least} THEN concat('{name}:', CAST({n} AS STRING)) END" for name, n, least in tables]))
+    tables = (
+        ("error_probability", "y[1]", [(c,) for c in ERROR_CUES], 3),
+        ("power", "y[2]", POWER_GROUPS, len(POWER_GROUPS)),
+        ("channel", "y[2]", [(c,) for c in CHANNEL_CUES], 3),
+    )
+    first = 0 if d.name == "spark" else 1
+    counts = d.array(*[count(text.replace("[1]", f"[{first}]").replace("[2]", f"[{first + 1}]"), groups) for _, text, groups, _ in tables])
+    # each text is lower-cased and counted once
+    low = d.each(d.array(f"lower({x})"), d.array("y", "replace(y, ' ', '')"))
+    counted = d.each(low, counts)
+    named = d.array(*[f"CASE WHEN y[{first + i}] >= {least} THEN concat('{name}:', CAST(y[{first + i}] AS STRING)) END" for i, (name, _, _, least) in enumerate(tables)])
+    return d.compact(d.at(d.each(counted, named), "1"))

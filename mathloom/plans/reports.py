@@ -70,11 +70,12 @@ def _response(d):
 
 
 def _stage(d):
-    """The first failing stage of recognition, reconstruction and conversion, against the expected text."""
+    """The first failing stage of recognition, reconstruction and conversion, against the expected text: a row a fragment."""
+    texts = "(SELECT payload FROM fragments GROUP BY payload)"
     return f"""SELECT fragment_id, CASE WHEN trim(raw) = '' THEN 'ocr' WHEN gib THEN 'ocr' WHEN n_latex > 0 THEN 'reconstruction' WHEN corrupt THEN 'conversion' WHEN expected IS NOT NULL AND latex <> expected THEN 'mismatch' ELSE 'none' END AS stage,
             CASE WHEN trim(raw) = '' THEN 'critical' WHEN gib OR n_latex > 3 OR corrupt THEN 'high' WHEN n_latex > 0 THEN 'low' ELSE 'none' END AS severity
         FROM (SELECT f.fragment_id, f.payload AS raw, r.latex, b.text AS expected, {classify.gibberish(d, 'f.payload', 0.6)} AS gib, r.n_latex, r.corrupt
-              FROM fragments f JOIN (SELECT payload, latex, {d.size(gates.latex_corruption(d, 'latex'))} AS n_latex, {gates.corrupt_strict(d, 'latex')} AS corrupt FROM (SELECT payload, {repair.CHAINS['repair_letter_commands'](d, 'payload')} AS latex FROM {DISTINCT}) y) r ON r.payload = f.payload
+              FROM fragments f JOIN (SELECT payload, latex, {d.size(gates.latex_corruption(d, 'latex'))} AS n_latex, {gates.corrupt_strict(d, 'latex')} AS corrupt FROM (SELECT payload, {repair.CHAINS['repair_letter_commands'](d, 'payload')} AS latex FROM {texts} x) y) r ON r.payload = f.payload
               LEFT JOIN benchmark b ON b.item_id = f.fragment_id) t"""
 
 
