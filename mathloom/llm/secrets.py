@@ -47,13 +47,14 @@ BASE = (
     Rule("access", r"AKIA[A-Z0-9]+", lambda m: len(m[0]) >= 20),
     Rule("hex", r"[0-9a-f]{24,}"),
 )
-#: Public formats of further credentials.
+#: Public formats of further credentials. Schemes and token headers have a longest length, so that
+#: a long run of their characters takes linear time.
 MORE = (
     Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
     Rule("hosted_token", r"gh[pousr]_[A-Za-z0-9]{36}"),
     Rule("chat_token", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
-    Rule("web_token", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
-    Rule("url_password", r"[a-z][a-z0-9+.-]*://[^\x09-\x0D\x20/:@]+:[^\x09-\x0D\x20/:@]+@"),
+    Rule("web_token", r"eyJ[A-Za-z0-9_-]{8,250}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    Rule("url_password", r"[a-z][a-z0-9+.-]{0,15}://[^\x09-\x0D\x20/:@]+:[^\x09-\x0D\x20/:@]+@"),
 )
 RULES = BASE + MORE
 

@@ -284,6 +284,16 @@ def test_secrets_odd(odd, empty, spark):
     assert secrets.redact_secrets(one).first()["text"] == "é [SECRET] and [SECRET]!" and secrets.drop_secrets(one).count() == 0
 
 
+@pytest.mark.parametrize("junk", ["a", "a+b.", "eyJ", "eyJabcdefgh.", "eyJabcdefgh.eyJ", "x://", "://", "xoxb-", "token", "AKIA", "abcdef0123"])
+def test_long_texts_take_linear_time(spark, junk):
+    text = "http://x.y/ ghp_ xoxb- eyJ token= " + junk * (1_000_000 // len(junk))
+    began = time.time()
+    for rule in secrets.RULES:
+        for _ in re.compile(rule.pattern, rule.flags).finditer(text):
+            pass
+    assert time.time() - began < 3
+
+
 # winnowing
 
 
