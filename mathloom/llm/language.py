@@ -29,9 +29,9 @@ ASCII_WORD = re.compile("[a-z]+")
 
 
 class _Slots(dict):
-    """Slots of strings of one kind, remembered; emptied when there are too many of them."""
+    """Slots of strings of one kind, remembered; emptied when there are too many of them, and by each task at its end."""
 
-    def __init__(self, kind: str, most: int = 200_000):
+    def __init__(self, kind: str, most: int = 50_000):
         super().__init__()
         self.kind, self.most = kind, most
 
@@ -42,7 +42,7 @@ class _Slots(dict):
         return slot
 
 
-_GRAM, _START, _END, _LETTER = _Slots("g"), _Slots("p"), _Slots("s"), _Slots("u")
+_GRAM, _START, _END, _LETTER = KINDS = _Slots("g"), _Slots("p"), _Slots("s"), _Slots("u")
 
 
 def word_features(word: str) -> list[int]:
@@ -141,7 +141,7 @@ def words_of(text: str | None) -> list[str]:
 class Labeller:
     """Applies a model to texts; scores of frequent words are kept, up to a bounded number of them."""
 
-    def __init__(self, model: ChainModel, most_known: int = 300_000, most_letters: int = 6_000_000):
+    def __init__(self, model: ChainModel, most_known: int = 100_000, most_letters: int = 2_000_000):
         self.model, self.most_known, self.most_letters = model, most_known, most_letters
         self.letters = 0
         self.known: dict[str, int] = {}
@@ -151,6 +151,7 @@ class Labeller:
         if len(self.known) > self.most_known or self.letters > self.most_letters:
             self.known.clear()
             self.letters = 0
+            self.table = self.table[:1024].copy()
         get = self.known.get
         at = [get(w, -1) for w in words]
         if -1 in at:
@@ -319,5 +320,7 @@ def identify(docs: DataFrame, model: ChainModel, text: str = "text", batch_chars
                     held, size = [], 0
             found += labeller.documents(held)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], [*kept, *new])
+        for kind in KINDS:  # a worker serves other tasks after this one
+            kind.clear()
 
     return docs.select(*[F.col(f"`{c}`") for c in kept], F.col(text).alias(private(docs, "__text"))).mapInArrow(label, f"{fields}, lang_pred string, lang_score double")
