@@ -159,12 +159,19 @@ def safe(d: Spark, x: str) -> str:
     return f"trim({chain(d, x, SAFE)})"
 
 
+def brace_difference(d: Spark, x: str) -> str:
+    """Opening less closing braces."""
+    return f"CAST({count_of(d, x, '{')} - {count_of(d, x, '}')} AS INT)"
+
+
 def auto_balance(d: Spark, x: str) -> str:
-    """One to three missing braces are put before the last \\end{ or at the end, or at the start; beyond that the text stays."""
-    off = f"({count_of(d, x, '{')} - {count_of(d, x, '}')})"
-    before_end = f"{d.sub(x, r'(?s)^(.*)(\\end\{)', chr(92) + '1' + chr(1) + chr(92) + '2')}"
-    closed = f"CASE WHEN contains({x}, {d.lit(chr(92) + 'end{')}) THEN replace({before_end}, chr(1), repeat('}}', greatest(CAST({off} AS INT), 0))) ELSE concat({x}, repeat('}}', greatest(CAST({off} AS INT), 0))) END"
-    opened = f"concat(repeat('{{', greatest(CAST(-{off} AS INT), 0)), {x})"
+    """One to three missing braces are put before the last \\end{ or at the end, or after the first \\begin{...} or at the start; beyond that the text stays."""
+    off = brace_difference(d, x)
+    more, fewer = f"repeat('}}', greatest({off}, 0))", f"repeat('{{', greatest(-{off}, 0))"
+    head = d.extract(x, r"(?s)^(.*)\\end\{", 1)
+    closed = f"CASE WHEN contains({x}, {d.lit(chr(92) + 'end{')}) THEN concat({head}, {more}, substr({x}, length({head}) + 1)) ELSE concat({x}, {more}) END"
+    first = d.extract(x, r"(?s)^(.*?\\begin\{[^}]+\})", 1)
+    opened = f"concat({first}, {fewer}, substr({x}, length({first}) + 1))"
     return f"CASE WHEN {off} BETWEEN 1 AND 3 THEN {closed} WHEN {off} BETWEEN -3 AND -1 THEN {opened} ELSE {x} END"
 
 

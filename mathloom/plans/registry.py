@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.dialect import DUCK, SPARK
 from ..sources.relations import run_sql, with_relations
-from . import expressions, reports, structure
+from . import expressions, gatekeeper, reports, structure
 
-TEMPLATES: dict[str, tuple] = {**expressions.TEMPLATES, **structure.TEMPLATES, **reports.TEMPLATES}
+TEMPLATES: dict[str, tuple] = {**expressions.TEMPLATES, **structure.TEMPLATES, **reports.TEMPLATES, **gatekeeper.TEMPLATES}
 
 
 def _query(names, body) -> Callable[[SparkSession, str], DataFrame]:
@@ -22,6 +22,8 @@ ORACLES: dict[str, str] = {name: with_relations(DUCK, names, body(DUCK)) for nam
 
 from ..sources import sinks  # noqa: E402
 from ..streaming import jobs  # noqa: E402
+from . import bracketing, geometry  # noqa: E402
 
-QUERIES |= sinks.QUERIES | jobs.QUERIES
-ORACLES |= jobs.ORACLES
+for module in (sinks, jobs, bracketing, geometry):
+    QUERIES |= module.QUERIES
+    ORACLES |= getattr(module, "ORACLES", {})

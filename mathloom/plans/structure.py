@@ -12,8 +12,6 @@ EXPRESSIONS = "(SELECT min(fragment_id) AS expr_id, payload FROM fragments GROUP
 # Letter runs and the commands they stand for; symbols and their commands.
 COMMANDS = ("left", "right", "frac", "sum", "min", "max", "equiv", "mathbb", "begin", "end", "array", "cdot", "ldots", "forall", "times", "leq", "geq", "neq")
 SYMBOLS = (("α", "alpha"), ("β", "beta"), ("γ", "gamma"), ("δ", "delta"), ("θ", "theta"), ("λ", "lambda"), ("π", "pi"), ("σ", "sigma"), ("ω", "omega"), ("≤", "leq"), ("≥", "geq"), ("≠", "neq"), ("≡", "equiv"), ("∈", "in"), ("∑", "sum"), ("∞", "infty"), ("→", "to"), ("×", "times"), ("·", "cdot"), ("±", "pm"))
-#: Cell of the grid on which pages are looked up, in layout units.
-GRID = 1800
 
 
 def entities(d) -> str:
@@ -189,17 +187,6 @@ def _repair_tokens(d):
     return f"SELECT expr_id, pos, kind, token, CASE {swap} ELSE token END AS repaired FROM {tokens(d)} t"
 
 
-def _region_page(d):
-    """Pages that a selection meets, by grid cell first; its centre's page, else the largest overlap, else the nearest."""
-    cell = d.explode(d.numbers(f"CAST(floor(y / {GRID}) AS INT)", f"CAST(floor((y + h) / {GRID}) AS INT)"), "cell")
-    pairs = f"""SELECT r.region_id, p.page_id, CASE WHEN r.y + r.h / 2 >= p.pos_y AND r.y + r.h / 2 < p.pos_y + p.disp_h THEN 0 ELSE 1 END AS off_centre,
-            greatest(0, least(r.x + r.w, p.pos_x + p.disp_w) - greatest(r.x, p.pos_x)) * greatest(0, least(r.y + r.h, p.pos_y + p.disp_h) - greatest(r.y, p.pos_y)) AS overlap,
-            abs(r.x + r.w / 2 - p.pos_x - p.disp_w / 2) + abs(r.y + r.h / 2 - p.pos_y - p.disp_h / 2) AS distance, r.x, r.y, r.w, r.h, p.pos_x, p.pos_y, p.disp_w, p.disp_h, p.orig_w, p.orig_h
-        FROM (SELECT * FROM regions {cell}) r JOIN page_layout p ON CAST(floor(p.pos_y / {GRID}) AS INT) = r.cell"""
-    return f"""SELECT region_id, page_id, round(overlap, 3) AS overlap, CAST(greatest(0, floor((x - pos_x) * orig_w / disp_w)) AS INT) AS px, CAST(greatest(0, floor((y - pos_y) * orig_h / disp_h)) AS INT) AS py, CAST(greatest(5, floor(w * orig_w / disp_w)) AS INT) AS pw, CAST(greatest(5, floor(h * orig_h / disp_h)) AS INT) AS ph
-        FROM (SELECT q.*, row_number() OVER (PARTITION BY region_id ORDER BY off_centre, overlap DESC, distance, page_id) AS best FROM ({pairs}) q) z WHERE best = 1"""
-
-
 TEMPLATES = {
     "filter_formula_size": (("detections",), lambda d: "SELECT page_id, box_id, x, y, w, h FROM detections WHERE w * h > 200 AND w > 30 AND h > 10"),
     "filter_detector_geometry": (("detections",), lambda d: "SELECT page_id, box_id, x, y, w, h FROM detections WHERE w * h >= 200 AND w * h <= 0.5 * page_w * page_h AND h > 0 AND CAST(w AS DOUBLE) / h BETWEEN 0.3 AND 10 AND density BETWEEN 0.05 AND 0.8"),
@@ -208,7 +195,6 @@ TEMPLATES = {
     "proj_clamp_crop": (("detections",), lambda d: "SELECT page_id, box_id, cx, cy, cw, ch, cw < 5 OR ch < 5 AS rejected FROM (SELECT page_id, box_id, greatest(0, least(x, 999)) AS cx, greatest(0, least(y, 1399)) AS cy, least(w, 1000 - greatest(0, least(x, 999))) AS cw, least(h, 1400 - greatest(0, least(y, 1399))) AS ch FROM detections) c"),
     "win_formula_number": (("detections",), lambda d: "SELECT page_id, box_id, concat('page', CAST(page_id AS STRING), '_formula', CAST(row_number() OVER (PARTITION BY page_id ORDER BY y, x, box_id) AS STRING)) AS name FROM detections"),
     "sort_reading_order": (("detections",), lambda d: "SELECT page_id, box_id, row_number() OVER (PARTITION BY page_id ORDER BY y, x, box_id) AS place FROM detections"),
-    "join_region_page": (("regions", "page_layout"), _region_page),
     "src_page_expand": ((), lambda d: f"SELECT doc_id, page_no, concat('doc', CAST(doc_id AS STRING), '_page_', CAST(page_no AS STRING), '.png') AS image FROM documents {d.explode(d.numbers('1', 'CAST(1 + floor(n_chars / 3000) AS INT)'), 'page_no')}"),
     "join_missing_documents": ((), lambda d: "SELECT l.doc_id FROM labels l WHERE NOT EXISTS (SELECT 1 FROM documents x WHERE x.doc_id = l.doc_id + 1)"),
     "explode_lines": (("fragments",), _lines), "explode_cells": (("fragments",), _cells), "classify_layout": (("fragments",), lambda d: f"SELECT expr_id, {layout.multi_line(d, 'payload')} AS multi_line, {layout.matrix(d, 'payload')} AS matrix FROM {EXPRESSIONS}"),

@@ -107,12 +107,24 @@ def with_relations(d: Spark, names, body: str) -> str:
     return f"WITH {ctes} {body}" if ctes else body
 
 
-def run_sql(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    """sql over the given tables, which it names as the files are named."""
-    tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if re.search(rf"\b(?:FROM|JOIN)\s+{t}\b", sql)}
-    for name in tables:  # named by parameters, so that no view of the user's is replaced
-        sql = re.sub(rf"\b(FROM|JOIN)\s+{name}\b(?!\.)", rf"\1 {{{name}}}", re.sub(r"[{}]", lambda m: m[0] * 2, sql) if name == next(iter(tables)) else sql)
-    return spark.sql(sql, **tables) if tables else spark.sql(sql)
+#: A string literal of Spark's.
+LITERAL = r"'(?:[^'\\]|\\.)*'"
+
+
+def run_sql(spark: SparkSession, sf_dir: str, sql: str, given: dict[str, DataFrame] | None = None) -> DataFrame:
+    """sql over the given tables, which it names as the files are named; `given` stands in for some of them."""
+    # pieces at odd places are literals, in which no table is named
+    pieces = [p.replace("{", "{{").replace("}", "}}") for p in re.split(f"({LITERAL})", sql)]
+    found: dict[str, DataFrame] = dict(given or {})
+    named = rf"\b(FROM|JOIN)\s+({'|'.join(TABLES)})\b(?!\.)"
+    for i in range(0, len(pieces), 2):
+        for _, name in re.findall(named, pieces[i]):
+            if name not in found:
+                found[name] = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        # by parameters, so that no view of the user's is replaced
+        pieces[i] = re.sub(named, r"\1 {\2}", pieces[i])
+    text = "".join(pieces)
+    return spark.sql(text, **found) if found else spark.sql(sql)
 
 
 __all__ = ["DUCK", "RELATIONS", "SEEDS", "SHRED", "SPARK", "TABLES", "run_sql", "with_relations"]
