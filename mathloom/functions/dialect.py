@@ -71,6 +71,10 @@ class Spark:
     def slice(self, x: str, first: str, n: str) -> str:
         return f"slice({x}, {first}, {n})"
 
+    def fold(self, x: str, first: str, step: str) -> str:
+        """The numbers of x folded from the left: step is an expression in a, what there is, and y."""
+        return f"aggregate({x}, {first}, (a, y) -> {step})"
+
     def any(self, x: str, test: str) -> str:
         return f"exists({x}, y -> {test})"
 
@@ -174,6 +178,9 @@ class Duck(Spark):
     def slice(self, x: str, first: str, n: str) -> str:
         return f"list_slice({x}, {first}, {first} + {n} - 1)"
 
+    def fold(self, x: str, first: str, step: str) -> str:
+        return f"list_reduce(list_prepend({first}, {x}), lambda a, y: {step})"
+
     def any(self, x: str, test: str) -> str:
         return f"(len(list_filter({x}, lambda y: {test})) > 0)"
 

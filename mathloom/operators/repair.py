@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 from ..functions.dialect import Spark, chain, count_of, has
+from ..functions.normal import strip_marks
 from .gates import spelled
 
 END = r"([^A-Za-z0-9_]|\z)"  # a word ends here; the character after it is kept as the rule's last group
@@ -115,7 +116,7 @@ NOISE = (*MERGED, (r"(\\displaystyle\s*){2,}", r"\\displaystyle "), (r"\\left\."
 BROKEN_COMMANDS = ((r"\\f\s+rac", r"\\frac"), (r"\\s\s+um", r"\\sum"), (r"\\l\s+eft", r"\\left"), (r"\\r\s+ight", r"\\right"), (r"\\m\s+athbb", r"\\mathbb"), (r"\\e\s+quiv", r"\\equiv"), (r"\\P" + END, r"P\1"), (r"_\s*_", "_"), (r"\^\s*\^", "^"), (r"_\{\s*\}", ""))
 XML_TEXT = ((r"[\x00-\x08\x0B\x0C\x0E-\x1F]", ""), (r"<mi>\\([A-Za-z]+)</mi>", r"<mi>\1</mi>"), (r"(</msub>){2,}", "</msub>"), (r"<\z", ""))
 SANITIZE = (("…", r"\\ldots"), (r"\.{3,}", r"\\ldots"), (r"[\x00-\x08\x0B\x0C\x0E-\x1F]", ""), (r"\\(left|right)\s+([(\[|)\]])", r"\\\1\2"))
-SAFE = ((r"^\s*\$+|\$+\s*\z", ""), (r"\p{Mn}", ""), ("[¢€£¥©®™§¶•¤¦¨¬¯´¸]", ""), (r"\s+", " "), ("__+", "_"), (r"([A-Za-z0-9])_ ([A-Za-z0-9])", r"\1_{\2}"), (r"[_^]([),\]])", r"\1"))
+SAFE = ((r"^\s*\$+|\$+\s*\z", ""), ("[¢€£¥©®™§¶•¤¦¨¬¯´¸]", ""), (r"\s+", " "), ("__+", "_"), (r"([A-Za-z0-9])_ ([A-Za-z0-9])", r"\1_{\2}"), (r"[_^]([),\]])", r"\1"))
 CELL = ((r"^\s*\{[clr|\s]+\}", ""), (r"\\displaystyle\s*", ""), (r"\{\{\{([^{}]*)\}\}\}", r"{\1}"), (r"\{\{([^{}]*)\}\}", r"{\1}"), (r"\\[a-z]{1,2}\s*\z", ""))
 INVALID_TOKENS = ((r"<(mi|mtext)>\\[A-Za-z]+</(mi|mtext)>", r"<\1></\2>"), ("<mi>(Iniln|mln)</mi>", "<mi>min</mi>"), ("<mi>m</mi><mi>l</mi><mi>n</mi>", "<mi>min</mi>"))
 RETAG = (r"<mi>\s*([=+<>|(){}\[\],;:!/*±×÷·≤≥≠≡≈∈∉⊂⊃∪∩∑∏∫→←-])\s*</mi>", r"<mo>\1</mo>")
@@ -134,7 +135,7 @@ def apply(rules):
 
 
 def classic_clean(d: Spark, x: str) -> str:
-    return f"trim({chain(d, x, CLASSIC_CLEAN)})"
+    return f"trim({chain(d, strip_marks(d, x), CLASSIC_CLEAN)})"
 
 
 def classic_structure(d: Spark, x: str) -> str:
@@ -156,7 +157,7 @@ def close_braces(d: Spark, x: str) -> str:
 
 
 def safe(d: Spark, x: str) -> str:
-    return f"trim({chain(d, x, SAFE)})"
+    return f"trim({chain(d, strip_marks(d, x), SAFE)})"
 
 
 def brace_difference(d: Spark, x: str) -> str:
@@ -253,9 +254,15 @@ def strip_noise_characters(d: Spark, x: str) -> str:
     return d.sub(x, f"[{NOISE_CHARACTERS}]", "")
 
 
+#: A depth below any that braces can come back from.
+BELOW = -1_000_000_000
+
+
 def outer_braces(d: Spark, x: str) -> str:
-    """One layer of braces around a text without further braces, or with flat groups only, goes."""
-    return d.sub(x, r"^\{((?:[^{}]|\{[^{}]*\})*)\}\z", r"\1")
+    """The first and the last brace of a text go, with the blanks inside, if its braces are even and none closes too early."""
+    turns = d.each(d.extract_all(x, "[{}]", 0), "CASE WHEN y = '{' THEN 1 ELSE -1 END")
+    depth = d.fold(turns, "0", f"CASE WHEN a < 0 THEN {BELOW} ELSE a + y END")
+    return f"CASE WHEN {d.match(x, r'(?s)^[{].*[}]' + chr(92) + 'z')} AND {depth} = 0 THEN trim(substr({x}, 2, length({x}) - 2)) ELSE {x} END"
 
 
 def line(d: Spark, x: str) -> str:
@@ -291,9 +298,34 @@ def heuristic(d: Spark, x: str) -> str:
     return f"concat('$', trim({close_braces(d, y)}), '$')"
 
 
+#: Sets, and what shows that their letters stand for them.
+SETS = (("R", "ℝ", "mathbb{R}"), ("Z", "ℤ", "mathbb{Z}"))
+#: Fixed value: how far back a letter looks for a variant that has been set.
+LOOK_BACK = 50
+
+
+def _open_scripts(d: Spark, before: str) -> str:
+    """Whether a text leaves a subscript or a superscript open."""
+    return "(" + " OR ".join(f"{count_of(d, before, f'<{t}')} > {count_of(d, before, f'</{t}>')}" for t in ("msub", "msup")) + ")"
+
+
 def double_struck(d: Spark, x: str) -> str:
-    evidence = has(d, x, "ℝ", "ℤ", "double-struck", "mathbb")
-    return f"""CASE WHEN {evidence} THEN {d.sub(x, "<mi>([RZ])</mi>", '<mi mathvariant="double-struck">' + chr(92) + '1</mi>')} ELSE {x} END"""
+    """The letters of sets get their variant where the set is named, except inside of scripts.
+
+    The text is cut at the letter. Each piece but the last is followed by one; what stands before it are
+    the pieces up to there, in which scripts are counted.
+    """
+    variant = 'mathvariant="double-struck"'
+    for letter, *names in SETS:
+        mark = f"<mi>{letter}</mi>"
+        pieces = d.split(x, mark)
+        before = d.join(d.slice(pieces, "1", "y"), mark)
+        plain = f"{_open_scripts(d, before)} OR contains(right({before}, {LOOK_BACK}), '{variant}')"
+        chosen = f"CASE WHEN y = {d.size(pieces)} THEN '' WHEN {plain} THEN '{mark}' ELSE '<mi {variant}>{letter}</mi>' END"
+        places = d.numbers("1", d.size(pieces))
+        by = d.each(places, chosen)
+        x = f"CASE WHEN {has(d, x, *names)} AND contains({x}, '{mark}') THEN {d.interleave(pieces, by)} ELSE {x} END"
+    return x
 
 
 def numeric_entities(d: Spark, x: str) -> str:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ..functions.dialect import chain, count_of
+from ..functions.normal import strip_marks
 from ..operators import classify, gates, repair
 
 #: Distinct expressions are judged once; the counts of their fragments come along.
@@ -153,7 +154,7 @@ TEMPLATES = {
     "proj_count_substring": _over(lambda d: f"{count_of(d, 'payload', '{')} AS n_open, {count_of(d, 'payload', '}')} AS n_close, {count_of(d, 'payload', '<mi>')} AS n_mi"),
     "proj_prefer_latex": _over(lambda d: "coalesce(nullif(trim(CASE WHEN kind = 'latex' THEN payload END), ''), nullif(trim(CASE WHEN kind = 'mathml' THEN payload END), ''), '') AS chosen"),
     "proj_review_prompt": _over(lambda d: f"""CASE WHEN {gates.validity_reason(d, 'payload')} = 'valid' THEN NULL ELSE substr(concat('Please check this expression: ', payload, ' (', {gates.validity_reason(d, 'payload')}, ')'), 1, 500) END AS prompt"""),
-    "proj_strip_accents": ((), lambda d: f"SELECT doc_id, translate({d.sub('text', chr(92) + 'p{Mn}', '')}, 'áàâäãåéèêëíìîïóòôöõúùûüñçÁÀÂÄÉÈÊËÍÎÓÔÖÚÛÜÑÇ', 'aaaaaaeeeeiiiiooooouuuuncAAAAEEEEIIOOOUUUNC') AS plain FROM documents"),
+    "proj_strip_accents": ((), lambda d: f"SELECT doc_id, {strip_marks(d, 'text')} AS plain FROM documents"),
     "proj_code_point": ((), lambda d: f"SELECT doc_id, {d.cp('text')} AS code_point, {d.char(d.cp('text'))} AS first_char FROM documents WHERE text <> ''"),
     "flag_shredded_views": _over(lambda d: f"{classify.shredded_latex(d, 'payload')} AS views"),
     "sink_mathml_reject_empty": _over(lambda d: "trim(payload) = '' AS rejected, CASE WHEN trim(payload) = '' THEN 'empty input' END AS reason"),

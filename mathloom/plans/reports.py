@@ -61,14 +61,6 @@ def _overlap(d):
     return f"SELECT word FROM {words} a WHERE lang = 'en' INTERSECT SELECT word FROM {words} b WHERE lang = 'fr' EXCEPT SELECT word FROM {words} c WHERE lang = 'de'"
 
 
-def _response(d):
-    plain = d.sub("content", r"(?s)^\s*```[a-z]*\s*|\s*```\s*\z", "")
-    shape = d.match("body", r"(?s)^\s*\{.*\}\s*\z")
-    code = has(d, "content", "import ", "def ", "return ", "s_1 =")
-    return f"""SELECT id, CASE WHEN {code} THEN 'code' WHEN NOT {shape} THEN 'not json' WHEN confidence IS NOT NULL AND confidence <= 0.5 THEN 'low confidence' ELSE 'accepted' END AS verdict, confidence
-        FROM (SELECT r.*, CASE WHEN {shape} THEN try_cast(nullif({d.extract('body', '"confidence"[ ]*:[ ]*([0-9.]+)', 1)}, '') AS DOUBLE) END AS confidence FROM (SELECT id, content, {plain} AS body FROM responses) r) q"""
-
-
 def _stage(d):
     """The first failing stage of recognition, reconstruction and conversion, against the expected text: a row a fragment."""
     texts = "(SELECT payload FROM fragments GROUP BY payload)"
@@ -84,11 +76,6 @@ def _worst(d):
     return f"SELECT payload, {gates.corruption_score(d, 'a', 'b', 'c')} AS score, a + b + c AS n_labels FROM ({inner}) g ORDER BY score DESC, n_labels DESC, payload LIMIT 25"
 
 
-def _envelope(d):
-    item = "concat('{\"box\":', CAST(box_id AS STRING), ',\"x\":', CAST(x AS STRING), ',\"y\":', CAST(y AS STRING), '}')"
-    return f"SELECT page_id, concat('{{\"status\":\"ok\",\"formulas\":[', {d.join(d.ordered(item, 'y', 'x', 'box_id'), ',')}, '],\"count\":', CAST(count(*) AS STRING), '}}') AS envelope FROM detections GROUP BY page_id"
-
-
 def _last_log(d):
     """The last five roles of a conversation, and whether it has over 200 turns: five rows of each are gathered, not all."""
     ranked = "SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role DESC) AS k, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations"
@@ -101,6 +88,6 @@ TEMPLATES = {
     "agg_best_candidate": (("fragments",), _best), "agg_confidence": (("fragments",), _confidence), "agg_notes_concat": ((), _notes), "agg_label_agreement": ((), _agreement), "audit_rule_hits": (("fragments",), _rule_hits),
     "win_dedupe_variants": (("fragments",), _dedupe), "set_symbol_overlap": ((), _overlap), "set_union_sources": (("fragments",), lambda d: "SELECT 'fragment' AS source, fragment_id AS id, payload FROM fragments UNION ALL SELECT 'page' AS source, page_id AS id, url AS payload FROM pages"),
     "set_new_documents": ((), lambda d: "SELECT text FROM documents WHERE doc_id % 2 = 1 EXCEPT SELECT text FROM documents WHERE doc_id % 2 = 0"),
-    "gate_response_json": (("responses",), _response), "diag_stage": (("fragments",), _stage), "topk_worst": (("fragments",), _worst), "sink_result_envelope": (("detections",), _envelope),
+    "diag_stage": (("fragments",), _stage), "topk_worst": (("fragments",), _worst),
     "limit_log": ((), _last_log),
 }

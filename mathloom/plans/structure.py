@@ -7,6 +7,8 @@ import html.entities
 from ..functions.dialect import count_of, has
 from ..operators import classify, layout
 
+# Categories of entities and patterns of their lower-cased names.
+CATEGORIES = (("greek", "alpha|beta|gamma|delta|epsilon|theta|lambda|mu|pi|sigma|omega"), ("arrow", "arr"), ("accent", "acute|grave|circ|tilde|uml|cedil"), ("relation", "^(lt|gt|le|ge|ne|equiv|asymp|cong|sim)$"), ("set", "^(cap|cup|sub|sup|sube|supe|isin|notin|empty)$"), ("quote", "quo"), ("space", "sp$"), ("fraction", "frac"))
 #: Distinct expressions with a number of their own.
 EXPRESSIONS = "(SELECT min(fragment_id) AS expr_id, payload FROM fragments GROUP BY payload) f"
 # Letter runs and the commands they stand for; symbols and their commands.
@@ -166,8 +168,7 @@ def _symbol_lookup(d):
 
 
 def _categories(d):
-    groups = (("greek", "alpha|beta|gamma|delta|epsilon|theta|lambda|mu|pi|sigma|omega"), ("arrow", "arr"), ("accent", "acute|grave|circ|tilde|uml|cedil"), ("relation", "^(lt|gt|le|ge|ne|equiv|asymp|cong|sim)$"), ("set", "^(cap|cup|sub|sup|sube|supe|isin|notin|empty)$"), ("quote", "quo"), ("space", "sp$"), ("fraction", "frac"))
-    found = d.compact(d.array(*[f"CASE WHEN {d.match('lower(name)', p)} THEN '{c}' END" for c, p in groups]))
+    found = d.compact(d.array(*[f"CASE WHEN {d.match('lower(name)', p)} THEN '{c}' END" for c, p in CATEGORIES]))
     known = f"SELECT r.name, r.n FROM {_named_references(d)} JOIN {entities(d)} ON r.name = e.name"
     return f"SELECT category, sum(n) AS n, count(*) AS n_names FROM (SELECT category, n FROM (SELECT name, n FROM ({known}) k) q {d.explode(found, 'category')}) c GROUP BY category"
 
@@ -205,6 +206,5 @@ TEMPLATES = {
     "template_trigger": (("fragments",), lambda d: f"SELECT expr_id, {has(d, 'payload', chr(92) + 'l_{', chr(92) + 'r_{', chr(92) + 'f_{', chr(92) + 's_{', chr(92) + 'm_{', 'l_{e}', 'r_{i}g')} OR {d.match('payload', r'\\[a-z]\s[a-z]\s[a-z]')} AS triggered FROM {EXPRESSIONS}"),
     "entity_decode": ((), _decode), "entity_encode": ((), _encode), "entity_reference": ((), _reference), "entity_consistency": ((), _consistency), "agg_entity_categories": ((), _categories), "symbol_lookup": (("fragments",), _symbol_lookup),
     "recover_tokens": (("fragments",), _recover_tokens), "repair_tokens": (("fragments",), _repair_tokens),
-    "sink_entity_json": ((), lambda d: f"SELECT r.name, concat('{{\"name\":\"', r.name, '\",\"decimal\":', CAST(code_point AS STRING), ',\"uses\":', CAST(n AS STRING), '}}') AS json FROM {_named_references(d)} JOIN {entities(d)} ON r.name = e.name"),
     "proj_entity_normalize": ((), _normalize),
 }

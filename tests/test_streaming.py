@@ -64,7 +64,7 @@ def test_sinks_and_a_replayed_batch(spark, tmp_path):
     assert sinks_of(spark, path, schema) == want
     jobs.gate_to_sinks(stream, path)
     assert sinks_of(spark, path, schema) == want
-    spark.createDataFrame([(9, "a_{")], "id INT, payload STRING").write.mode("append").parquet(landing)
+    spark.createDataFrame([(9, "a + \\q")], "id INT, payload STRING").write.mode("append").parquet(landing)
     jobs.gate_to_sinks(stream, path)
     assert sinks_of(spark, path, schema) == [*want, ("rejected", 9)]
 
