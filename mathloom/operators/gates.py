@@ -237,7 +237,15 @@ def lenient(d, x) -> dict[str, str]:
     }
 
 
+# What makes an expression invalid, (pattern, reason), in order.
+INVALID = (
+    (r"_\{[^{}]*_\{[^{}]*\}[^{}]*\}", "double_subscript"),
+    (r"([A-Za-z]_\{[A-Za-z]\}){3,}", "letter_by_letter"),
+    (r"\\[a-zA-Z]\s*_\s*\{?[a-zA-Z]", "broken_command_fragment"),
+)
+
+
 def validity_reason(d, x):
-    return f"""CASE WHEN trim({x}) = '' THEN 'empty' WHEN {count_of(d, x, '{')} <> {count_of(d, x, '}')} THEN 'unbalanced_braces'
-        WHEN {d.match(x, r'_\{[^{}]*\}\s*_|_[a-zA-Z0-9]\s*_')} THEN 'double_subscript' WHEN {d.match(x, r'([A-Za-z]_\{[A-Za-z]\}\s*){2,}')} THEN 'letter_by_letter'
-        WHEN {d.match(x, r'\\[a-zA-Z]_\{')} THEN 'broken_command_fragment' ELSE 'valid' END"""
+    """The first reason for which an expression is invalid, or `valid`."""
+    cases = " ".join(f"WHEN {d.match(x, p)} THEN '{reason}'" for p, reason in INVALID)
+    return f"CASE WHEN trim({x}) = '' THEN 'empty' WHEN {count_of(d, x, '{')} <> {count_of(d, x, '}')} THEN 'unbalanced_braces' {cases} ELSE 'valid' END"

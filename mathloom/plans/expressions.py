@@ -5,6 +5,7 @@ from __future__ import annotations
 from ..functions.dialect import chain, count_of
 from ..functions.normal import strip_marks
 from ..operators import classify, gates, repair
+from .fixer import PROMPT
 
 #: Distinct expressions are judged once; the counts of their fragments come along.
 DISTINCT = "(SELECT payload, kind, count(*) AS n_fragments FROM fragments GROUP BY payload, kind) f"
@@ -96,18 +97,6 @@ def _ingest(d):
         FROM (SELECT f.*, {kind} AS kind_found FROM {DISTINCT}) g"""
 
 
-def _attempts(d):
-    """Up to five variants of an expression, tried in order; the first valid one stands."""
-    steps = [repair.CHAINS[n] for n in ("repair_letter_commands", "repair_symbols", "repair_fixer_primitives", "repair_collapse_subscripts")]
-    columns, x = ["payload AS v0"], "payload"
-    for i, s in enumerate(steps):
-        columns.append(f"{s(d, x)} AS v{i + 1}")
-    reasons = ", ".join(f"{gates.validity_reason(d, f'v{i}')} AS r{i}" for i in range(5))
-    first = "CASE " + " ".join(f"WHEN r{i} = 'valid' THEN {i}" for i in range(5)) + " ELSE -1 END"
-    return f"""SELECT payload, attempt, CASE WHEN attempt = 0 THEN 'ok' WHEN attempt > 0 THEN 'fixed' ELSE 'failed' END AS status, r0 AS first_reason
-        FROM (SELECT g.*, {first} AS attempt FROM (SELECT t.*, {reasons} FROM (SELECT {', '.join(columns)}, f.* FROM {DISTINCT}) t) g) h"""
-
-
 def _xml_issues(d):
     """What makes an expression poor MathML, and what it might stand for."""
     empty = [f"CASE WHEN {d.match('payload', f'<{t}>[ ]*</{t}>')} THEN 'empty {t}' END" for t in ("mi", "mn", "mo", "mtext")]
@@ -153,7 +142,7 @@ TEMPLATES = {
     "proj_wrap_mtext": _over(lambda d: f"{classify.wrap_mtext(d, 'payload')} AS mathml"),
     "proj_count_substring": _over(lambda d: f"{count_of(d, 'payload', '{')} AS n_open, {count_of(d, 'payload', '}')} AS n_close, {count_of(d, 'payload', '<mi>')} AS n_mi"),
     "proj_prefer_latex": _over(lambda d: "coalesce(nullif(trim(CASE WHEN kind = 'latex' THEN payload END), ''), nullif(trim(CASE WHEN kind = 'mathml' THEN payload END), ''), '') AS chosen"),
-    "proj_review_prompt": _over(lambda d: f"""CASE WHEN {gates.validity_reason(d, 'payload')} = 'valid' THEN NULL ELSE substr(concat('Please check this expression: ', payload, ' (', {gates.validity_reason(d, 'payload')}, ')'), 1, 500) END AS prompt"""),
+    "proj_review_prompt": _over(lambda d: f"CASE WHEN {gates.validity_reason(d, 'payload')} <> 'valid' THEN concat({d.lit(PROMPT[0])}, payload, {d.lit(PROMPT[1])}) END AS prompt"),
     "proj_strip_accents": ((), lambda d: f"SELECT doc_id, {strip_marks(d, 'text')} AS plain FROM documents"),
     "proj_code_point": ((), lambda d: f"SELECT doc_id, {d.cp('text')} AS code_point, {d.char(d.cp('text'))} AS first_char FROM documents WHERE text <> ''"),
     "flag_shredded_views": _over(lambda d: f"{classify.shredded_latex(d, 'payload')} AS views"),
@@ -169,7 +158,7 @@ TEMPLATES = {
     "gate_validity_reason": (("fragments",), lambda d: f"SELECT payload, kind, {gates.validity_reason(d, 'payload')} AS reason FROM {DISTINCT}"),
     "gate_combined_report": (("fragments",), _combined), "gate_mathml_route": (("fragments",), _mathml_route), "gate_latex_end_to_end": (("fragments",), _flagship), "gate_recheck": (("fragments",), _recheck), "route_ingest": (("fragments",), _ingest),
     "gate_xml_issues": (("fragments",), _xml_issues), "recover_table": (("fragments",), _recover_table), "repair_noise_nodes": _repair(_noise_nodes),
-    "limit_labels": (("fragments",), _labelled_limits), "repair_attempts": (("fragments",), _attempts),
+    "limit_labels": (("fragments",), _labelled_limits),
     "repair_shred": ((), lambda d: f"SELECT doc_id, {d.sub('text', r'([A-Za-z])_?([0-9]+|[A-Za-z])', chr(92) + '1_{' + chr(92) + '2}')} AS shredded FROM documents"),
     **{name: _repair(chain) for name, chain in repair.CHAINS.items()},
 }
