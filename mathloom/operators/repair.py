@@ -54,7 +54,6 @@ SCRIPT_SPACING = (
     *((_SCRIPT + r"\s+" + _NEXT_SCRIPT, r"\1_{\2}\3_{"),) * 3,
     (_SCRIPT + r"\s+" + _SCRIPT + r"\s+" + _NEXT_SCRIPT, r"\1_{\2}\3_{\4}\5_{"),
     (_SCRIPT + r"\s*" + _SCRIPT + r"\s+([a-z]+)", r"\1_{\2}\3_{\4}\5"),
-    (r"\\([a-z])\s+\\?([a-z])\s+\\?([a-z])", r"\\\1\\\2\\\3"),
 )
 # The braces of an array's end come out escaped by the table, and plain by the first rule above.
 _END_ARRAY = r"\\end\\{array\\}"
@@ -84,9 +83,10 @@ SHRED_TABLE = (
     (r"(?i)\\+e_\{n\}\s+d", r"\\end "),
     (r"(?i)\\?e_\{n\}d", r"\\end"),
 )
-#: Commands whose letters stand apart, doubled fences and runs of quads. Of three or more letters apart the first and the last stay.
+#: A command whose letters stand apart, up to a character that no word holds.
+SPACED = r"\\\s*[a-zA-Z](?:\s+[a-zA-Z]){2,}"
+#: Commands whose letters stand apart, doubled fences and runs of quads.
 SPACED_COMMANDS = (
-    (r"\\\s*([a-zA-Z])(?:\s+([a-zA-Z])){2,}", r"\\\1\2"),
     (r"(?i)\\l\s+e\s+f\s+t" + END, r"\\left\1"),
     (r"(?i)(^|[^A-Za-z0-9_\\])l\s+e\s+f\s+t" + END, r"\1\\left\2"),
     (r"(?i)\\\s*f\s*r\s*a\s*c", r"\\frac"),
@@ -213,13 +213,21 @@ def pre_balance(d: Spark, x: str) -> str:
     return _bound(d, whole, _even(d, _even(d, fenced, "y", "{", "}"), "y", "[", "]"))
 
 
+def joined_commands(d: Spark, x: str) -> str:
+    """Commands of three or more letters that stand apart, as one word."""
+    whole = SPACED + r"(?:[^A-Za-z0-9_]|\z)"
+    letters = d.extract("y", SPACED, 0)
+    by = d.each(d.extract_all(x, whole, 0), f"replace(y, {letters}, {d.sub(letters, chr(92) + 's+', '')})")
+    return f"CASE WHEN {d.match(x, whole)} THEN {d.interleave(d.split(x, whole), by)} ELSE {x} END"
+
+
 def shred_table(d: Spark, x: str, passes: int = 3) -> str:
-    """The table of split commands, in three turns, then spaced commands, doubled fences and runs of quads.
+    """Commands with their letters apart, the table of split commands, in three turns, then doubled fences and runs of quads.
 
     Of more than five quads that are left the first two stay, side by side. Texts without
     a subscript, a backslash or `left` in single letters are left as they are.
     """
-    whole = chain(d, chain(d, x, (*SCRIPT_SPACING, *SHRED_TABLE * passes)), SPACED_COMMANDS)
+    whole = chain(d, chain(d, joined_commands(d, x), (*SCRIPT_SPACING, *SHRED_TABLE * passes)), SPACED_COMMANDS)
     mark = chr(1)
     rest = chain(d, d.extract("y", r"(?s)^.*?\\quad+(.*)\z", 1), ((r"\\quad+", mark), (rf"{mark}(\s*{mark})+", mark), (rf"^\s*{mark}|{mark}\s*\z|^\s*\z", ""), (mark, " ")))
     few = f"concat({d.extract('y', r'(?s)^(.*?)\\quad', 1)}, {d.lit(chr(92) + 'quad' + chr(92) + 'quad')}, {rest})"

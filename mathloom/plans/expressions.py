@@ -105,16 +105,6 @@ def _xml_issues(d):
     return f"SELECT payload, kind, n_fragments, {d.join(issues, ' | ')} AS issues, {d.join(hints, ' | ')} AS suggestions FROM {DISTINCT}"
 
 
-def _recover_table(d):
-    """Payload, split-command table, subscript words, symbols, braces; a confidence from what was done."""
-    steps = [("payload_text", repair.extract_payload, "payload"), ("tabled", repair.shred_table, "payload_text"), ("collapsed", repair.collapse_subscripts, "tabled"), ("symbols", repair.CHAINS["repair_symbols"], "collapsed"), ("latex", repair.close_braces, "symbols")]
-    body = DISTINCT
-    for name, op, source in steps:
-        body = f"(SELECT z.*, {op(d, source)} AS {name} FROM {body.rsplit(' ', 1)[0] if body.endswith(' f') else body} z)"
-    score = "0.5 + CASE WHEN tabled <> payload_text THEN 0.15 ELSE 0 END + CASE WHEN collapsed <> tabled THEN 0.05 ELSE 0 END + CASE WHEN symbols <> collapsed THEN 0.05 ELSE 0 END + CASE WHEN latex = symbols THEN 0.1 ELSE 0 END"
-    return f"SELECT payload, kind, latex, round(CAST({score} AS DOUBLE), 3) AS confidence FROM {body} q"
-
-
 def _noise_nodes(d, x):
     """Empty leaves go, twice, and rows with one child give way to it."""
     return chain(d, x, ((r"<(mi|mn|mo|mrow|mtext)>[ ]*</(mi|mn|mo|mrow|mtext)>", ""), (r"<(mi|mn|mo|mrow|mtext)>[ ]*</(mi|mn|mo|mrow|mtext)>", ""), (r"<mrow>(<m[ino]>[^<]*</m[ino]>)</mrow>", r"\1"), (r"<mo>[.;,\\]</mo>", "")))
@@ -157,7 +147,7 @@ TEMPLATES = {
     "gate_shredded_latex": (("fragments",), lambda d: f"SELECT payload, kind, {classify.shredded_latex(d, 'payload')} AS views FROM {DISTINCT}"),
     "gate_validity_reason": (("fragments",), lambda d: f"SELECT payload, kind, {gates.validity_reason(d, 'payload')} AS reason FROM {DISTINCT}"),
     "gate_combined_report": (("fragments",), _combined), "gate_mathml_route": (("fragments",), _mathml_route), "gate_latex_end_to_end": (("fragments",), _flagship), "gate_recheck": (("fragments",), _recheck), "route_ingest": (("fragments",), _ingest),
-    "gate_xml_issues": (("fragments",), _xml_issues), "recover_table": (("fragments",), _recover_table), "repair_noise_nodes": _repair(_noise_nodes),
+    "gate_xml_issues": (("fragments",), _xml_issues), "repair_noise_nodes": _repair(_noise_nodes),
     "limit_labels": (("fragments",), _labelled_limits),
     "repair_shred": ((), lambda d: f"SELECT doc_id, {d.sub('text', r'([A-Za-z])_?([0-9]+|[A-Za-z])', chr(92) + '1_{' + chr(92) + '2}')} AS shredded FROM documents"),
     **{name: _repair(chain) for name, chain in repair.CHAINS.items()},

@@ -22,8 +22,8 @@ ORACLES: dict[str, str] = {name: with_relations(DUCK, names, body(DUCK)) for nam
 
 from ..sources import sinks  # noqa: E402
 from ..streaming import jobs  # noqa: E402
-from . import bracketing, envelopes, fixer, geometry, responses  # noqa: E402
+from . import bracketing, envelopes, fixer, geometry, recovery, responses  # noqa: E402
 
-for module in (sinks, jobs, bracketing, geometry, responses, envelopes, fixer):
+for module in (sinks, jobs, bracketing, geometry, responses, envelopes, fixer, recovery):
     QUERIES |= module.QUERIES
     ORACLES |= getattr(module, "ORACLES", {})

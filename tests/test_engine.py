@@ -74,7 +74,7 @@ def test_shredded_table(spark):
         r"\m_{a} t_{h} b_{f}{x}": r"\mathbf{x}", r"\m_{a}\t_{h}\b_{b}{R}": r"\mathbb{R}", r"\m_{a}t_{h}r_{m}{e_{r}r_{o}r}": r"\mathrm{error}", r"\m_{a}t_{h}r_{m}{P_{r}}": r"\mathrm{Pr}",
         r"\e_{n} d array": r"\end{array}", r"\e_{n}darray": r"\end\{array\}", r"e_{n}d a_{r}r_{a}y": r"\end\{array\}", r"e_{n}d x": r"\end x",
         r"\f_{o}\r_{a}\l_{l} = x": r"\forall = x", r"\f_{o}\r_{a}\l_{l} x": r"\forallx", r"q_{q}u_{a}d q_{u}a_{d} = z": r"\quad = z", r"l_{d}o_{t}s": r"\ldots", r"n_{e}q b_{i}g_{c}u_{p}": r"\neq \bigcup",
-        r"\left\left( a \right\right)": r"\left( a \right)", "x l e f t (": r"x \left (", r"a\l e f t(": r"a\l\e\f t(",
+        r"\left\left( a \right\right)": r"\left( a \right)", "x l e f t (": r"x \left (", r"a\l e f t(": r"a\left(", r"\ s u m is": r"\sum is", r"\f r a c{a}": r"\frac{a}",
         " ".join(rf"{c} \quad" for c in "abcdefg"): r"a \quad\quad b   c   d   e   f   g ", "plain text": "plain text",
     }
     assert dict(zip(cases, evaluate(spark, repair.CHAINS["repair_shred_table"], *cases))) == cases
