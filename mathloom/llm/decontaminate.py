@@ -226,11 +226,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, text:
         if b:
             shared.destroy()
     every = functools.reduce(DataFrame.unionByName, parts).groupBy("digest").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    mark = private(docs, "__digest")
-    joined = every.select(F.col("digest").alias(mark), _merged("spans").alias("__spans"), F.col("items").alias("__items"))
+    mark, spans, items = (private(docs, c) for c in ("__digest", "__spans", "__items"))
+    joined = every.select(F.col("digest").alias(mark), _merged("spans").alias(spans), F.col("items").alias(items))
     counted = docs.withColumn(mark, digest).select(*of, mark, F.size(F.filter(F.split(F.translate(F.coalesce(F.col(text), F.lit("")), UPPER, LOWER), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), lambda w: w != "")).cast("bigint").alias("n_words"))
     out = counted.join(joined, mark, "left")
-    return out.select(*of, "n_words", F.coalesce("__spans", F.array().cast(SPANS)).alias("spans"), F.coalesce("__items", F.array().cast("array<string>")).alias("items"))
+    return out.select(*of, "n_words", F.coalesce(spans, F.array().cast(SPANS)).alias("spans"), F.coalesce(items, F.array().cast("array<string>")).alias("items"))
 
 
 def hit_words():

@@ -234,7 +234,7 @@ def find_secrets(docs: DataFrame, rules=RULES, text: str = "text", segment_bytes
 
 def _with_spans(docs: DataFrame, rules, text: str) -> tuple[DataFrame, list]:
     """docs with its spans, and docs' own columns (one that is named secrets is set aside meanwhile)."""
-    own = {"secrets": "__own_secrets"} if "secrets" in docs.columns else {}
+    own = {"secrets": private(docs, "__own_secrets")} if "secrets" in docs.columns else {}
     return find_secrets(docs.withColumnsRenamed(own), rules, text), [(own.get(c, c), c) for c in docs.columns]
 
 
@@ -254,8 +254,9 @@ def redact_secrets(docs: DataFrame, rules=RULES, text: str = "text", mask: str =
         piece = F.when(span["start"] >= state["at"], F.concat(before, F.lit(mask))).otherwise(F.lit(""))
         return F.when(span["end"] <= state["at"], state).otherwise(F.struct(F.concat(state["done"], piece).alias("done"), span["end"].alias("at")))
 
-    found = found.withColumn("__cut", F.aggregate("secrets", start, cut))
-    whole = F.concat(F.col("__cut.done"), F.substring(F.col(f"`{text}`"), (F.col("__cut.at") + 1).cast("int"), F.length(F.col(f"`{text}`"))))
+    done = private(found, "__cut")
+    found = found.withColumn(done, F.aggregate("secrets", start, cut))
+    whole = F.concat(F.col(f"{done}.done"), F.substring(F.col(f"`{text}`"), (F.col(f"{done}.at") + 1).cast("int"), F.length(F.col(f"`{text}`"))))
     found = found.withColumn(text, F.when(F.size("secrets") > 0, whole).otherwise(F.col(f"`{text}`")))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType

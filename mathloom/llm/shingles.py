@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import FREQUENT, connected_components, join_frequent, pairs_across
-from .shared import stage_table
+from .shared import private, stage_table
 from .simhash import near_links
 from .substrings import Words
 
@@ -262,13 +262,14 @@ def kept_rows(docs: DataFrame, most: int = 4, text: str = "text", doc_id: str =
     roots = near_components(sets, texts, counts, most, shingle)
     placed = each.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     best = placed.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node")).alias("row")).select("row.id", "row.node")
-    mark = F.concat(F.coalesce(F.concat(F.col("id").cast("string"), F.lit("+")), F.lit("-")), F.col("node").cast("string")).alias("__row")
-    gone = each.select(mark).join(best.select(mark), "__row", "left_anti")
-    again = stage_table(each.where("n > 1").select(mark).join(gone, "__row", "left_anti"), "repeated-rows")
-    named = docs.withColumn("__row", F.concat(F.coalesce(F.concat(own_id.cast("string"), F.lit("+")), F.lit("-")), node.cast("string")))
+    own = private(docs, "__row")
+    mark = F.concat(F.coalesce(F.concat(F.col("id").cast("string"), F.lit("+")), F.lit("-")), F.col("node").cast("string")).alias(own)
+    gone = each.select(mark).join(best.select(mark), own, "left_anti")
+    again = stage_table(each.where("n > 1").select(mark).join(gone, own, "left_anti"), "repeated-rows")
+    named = docs.withColumn(own, F.concat(F.coalesce(F.concat(own_id.cast("string"), F.lit("+")), F.lit("-")), node.cast("string")))
     columns = [F.col(f"`{c}`") for c in docs.columns]
     gone = stage_table(gone, "dropped-rows")
-    kept = named.join(gone.unionByName(again), "__row", "left_anti").select(*columns)
+    kept = named.join(gone.unionByName(again), own, "left_anti").select(*columns)
     if again.isEmpty():
         return kept
-    return kept.unionByName(named.join(again, "__row", "left_semi").dropDuplicates(["__row"]).select(*columns))
+    return kept.unionByName(named.join(again, own, "left_semi").dropDuplicates([own]).select(*columns))
