@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from .shared import private, stage_table
 
-#: Candidates of a group, about, and those whose fields share one integer.
-GROUP_ROWS, PACKED = 100_000, 2048
+#: Candidates of a group, about; those that are worth sending all anchors to; those whose fields share one integer.
+GROUP_ROWS, LEAST_ROWS, PACKED = 100_000, 1500, 2048
 MOST = 2**63 - 1
 
 
@@ -179,7 +179,8 @@ def hard_negatives(rows: DataFrame, anchors: str, positives: int = 5, negatives:
     largest = F.coalesce(F.max(F.when(is_anchor, F.aggregate("vector", F.lit(0).cast("decimal(20,0)"), lambda m, x: F.greatest(m, F.abs(x.cast("decimal(20,0)")))))), F.lit(0))
     n, components, most = rows.agg(F.count("*"), size, largest).first()
     partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    groups = max(partitions, -(-n // group_rows))
+    # a small group sends on as many rows as a large one, so the number of partitions alone makes no more groups
+    groups = max(min(partitions, -(-n // LEAST_ROWS)), -(-n // group_rows), 1)
     columns = ("group", "vec_id", "label", "vector", "positives", "anchor")
     found_type = "array<struct<score: bigint, id: bigint, place: int>>"
     dealt = F.pmod(F.xxhash64("vec_id"), F.lit(groups)).cast("int").alias("group")
