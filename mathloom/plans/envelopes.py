@@ -113,7 +113,7 @@ ORACLES = {
     "sink_result_envelope": with_relations(
         DUCK,
         ["detections", "seeds"],
-        f"""SELECT page_id, CAST(to_json(struct_pack(status := 'success', formulas := list(struct_pack(latex := coalesce(latex, ''), mathml := coalesce(mathml, ''), bbox := struct_pack(x := x, y := y, w := w, h := h)) ORDER BY y, x, box_id), count := count(*))) AS VARCHAR) AS envelope
+        f"""SELECT page_id, CAST(to_json(struct_pack(status := 'success', formulas := list(struct_pack(latex := coalesce(latex, ''), mathml := coalesce(mathml, ''), bbox := struct_pack(x := x, y := y, w := w, h := h)) ORDER BY y, x, box_id, coalesce(latex, ''), coalesce(mathml, ''), w, h), count := count(*))) AS VARCHAR) AS envelope
         FROM ({_FORMULAS}) f GROUP BY page_id""",
     ),
     "sink_entity_json": f"""SELECT CAST(to_json(struct_pack(all_entities := list(struct_pack(name := name, "decimal" := code_point, hex := 'x' || printf('%X', CAST(code_point AS BIGINT)), char := ch, uses := n) ORDER BY name), categories := struct_pack({_LISTS}), total_count := count(*))) AS VARCHAR) AS json
