@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import classify, gates, layout, repair
+from ..operators import classify, gates, layout, lines, repair
 from .dialect import SPARK, chain, fired
 
 OPERATORS = {
@@ -17,6 +17,7 @@ OPERATORS = {
     **{f.__name__: f for f in (gates.spelled_words, gates.corrupt_strict, gates.validate_strict, gates.machine_written, gates.operator_tags, gates.spelling_hack, gates.pre_repair, gates.latex_structure, gates.mathml_structure, gates.latex_corruption, gates.split_words, gates.malformed_tags, gates.clean_first, gates.latex_syntax, gates.truncated, gates.validity_reason)},
     **{f"layout_{f.__name__}": f for f in (layout.multi_line, layout.matrix, layout.route, layout.label, layout.rows)},
     **repair.CHAINS,
+    **lines.CHAINS,
 }
 
 

@@ -55,11 +55,6 @@ def line_text(d: Spark, x: str) -> str:
     return f"trim({d.sub(d.sub(d.sub(x, '[{}&]', ''), r'^\s*\([0-9.]+\)', ''), r'[,;]\s*\z', '')})"
 
 
-def bracket(d: Spark, x: str) -> str:
-    pairs = (("bmatrix", "[]"), ("pmatrix", "()"), ("vmatrix", "||"), ("Vmatrix", "‖‖"), ("Bmatrix", "{}"))
-    return "CASE " + " ".join(f"WHEN contains({x}, {d.lit(chr(92) + 'begin{' + e)}) THEN {d.lit(p)}" for e, p in pairs) + " ELSE '' END"
-
-
 def cues(d: Spark, x: str, groups) -> str:
     return " + ".join(f"CASE WHEN {has(d, f'lower({x})', *g)} THEN 1 ELSE 0 END" for g in groups)
 

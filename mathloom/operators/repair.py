@@ -117,7 +117,6 @@ BROKEN_COMMANDS = ((r"\\f\s+rac", r"\\frac"), (r"\\s\s+um", r"\\sum"), (r"\\l\s+
 XML_TEXT = ((r"[\x00-\x08\x0B\x0C\x0E-\x1F]", ""), (r"<mi>\\([A-Za-z]+)</mi>", r"<mi>\1</mi>"), (r"(</msub>){2,}", "</msub>"), (r"<\z", ""))
 SANITIZE = (("…", r"\\ldots"), (r"\.{3,}", r"\\ldots"), (r"[\x00-\x08\x0B\x0C\x0E-\x1F]", ""), (r"\\(left|right)\s+([(\[|)\]])", r"\\\1\2"))
 SAFE = ((r"^\s*\$+|\$+\s*\z", ""), ("[¢€£¥©®™§¶•¤¦¨¬¯´¸]", ""), (r"\s+", " "), ("__+", "_"), (r"([A-Za-z0-9])_ ([A-Za-z0-9])", r"\1_{\2}"), (r"[_^]([),\]])", r"\1"))
-CELL = ((r"^\s*\{[clr|\s]+\}", ""), (r"\\displaystyle\s*", ""), (r"\{\{\{([^{}]*)\}\}\}", r"{\1}"), (r"\{\{([^{}]*)\}\}", r"{\1}"), (r"\\[a-z]{1,2}\s*\z", ""))
 INVALID_TOKENS = ((r"<(mi|mtext)>\\[A-Za-z]+</(mi|mtext)>", r"<\1></\2>"), ("<mi>(Iniln|mln)</mi>", "<mi>min</mi>"), ("<mi>m</mi><mi>l</mi><mi>n</mi>", "<mi>min</mi>"))
 RETAG = (r"<mi>\s*([=+<>|(){}\[\],;:!/*±×÷·≤≥≠≡≈∈∉⊂⊃∪∩∑∏∫→←-])\s*</mi>", r"<mo>\1</mo>")
 OCR_PATTERNS = (
@@ -273,11 +272,6 @@ def outer_braces(d: Spark, x: str) -> str:
     return f"CASE WHEN {d.match(x, r'(?s)^[{].*[}]' + chr(92) + 'z')} AND {depth} = 0 THEN trim(substr({x}, 2, length({x}) - 2)) ELSE {x} END"
 
 
-def line(d: Spark, x: str) -> str:
-    y = chain(d, x, (*MERGED, (r"\\[a-z]{1,2}\s*\z", ""), (r"\}\s*\}\s*\}\z", "}}")))
-    return close_braces(d, y)
-
-
 def unwrap_array(d: Spark, x: str) -> str:
     body = d.extract(x, r"(?s)\\begin\{array\}\s*(?:\{[^}]*\})?(.*?)(?:\\end\{array\}|\z)", 1)
     return f"CASE WHEN contains({x}, {d.lit(chr(92) + 'begin{array}')}) THEN trim({body}) ELSE {x} END"
@@ -352,6 +346,6 @@ CHAINS = {
     "repair_collapse_subscripts": collapse_subscripts, "repair_shred_table": shred_table, "repair_shred_forced": lambda d, x: chain(d, collapse_subscripts(d, x), FORCED_TABLE),
     "repair_symbols": apply(SYMBOLS), "repair_extract_payload": extract_payload, "repair_xml_text": apply(XML_TEXT), "repair_sanitize": apply(SANITIZE), "repair_fixer_primitives": lambda d, x: close_braces(d, chain(d, x, BROKEN_COMMANDS)),
     "repair_stackrel": stackrel, "repair_strip_spacing": apply(SPACING), "repair_numeric_entities": numeric_entities, "repair_double_struck": double_struck, "proj_readable": readable,
-    "repair_merged_commands": apply(MERGED), "repair_ocr_noise": apply(NOISE), "repair_outer_braces": outer_braces, "repair_line": line, "repair_cell": apply(CELL), "repair_operator_tags": apply((RETAG,)),
+    "repair_merged_commands": apply(MERGED), "repair_ocr_noise": apply(NOISE), "repair_outer_braces": outer_braces, "repair_operator_tags": apply((RETAG,)),
     "repair_invalid_tokens": apply(INVALID_TOKENS), "repair_noise_chars": strip_noise_characters, "repair_ocr_patterns": apply(OCR_PATTERNS), "repair_broad": apply(BROAD), "repair_unwrap_array": unwrap_array,
 }

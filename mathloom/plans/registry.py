@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.dialect import DUCK, SPARK
 from ..sources.relations import run_sql, with_relations
-from . import expressions, gatekeeper, references, reports, structure
+from . import expressions, gatekeeper, matrices, references, reports, structure
 
-TEMPLATES: dict[str, tuple] = {**expressions.TEMPLATES, **structure.TEMPLATES, **reports.TEMPLATES, **gatekeeper.TEMPLATES, **references.TEMPLATES}
+TEMPLATES: dict[str, tuple] = {}
+for part in (expressions, structure, reports, gatekeeper, references, matrices):
+    TEMPLATES |= part.TEMPLATES
 
 
 def _query(names, body) -> Callable[[SparkSession, str], DataFrame]:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import html.entities
 
-from ..functions.dialect import count_of, has
+from ..functions.dialect import has
 from ..operators import classify, layout
 
 # Categories of entities and patterns of their lower-cased names.
@@ -77,12 +77,6 @@ def _cells(d):
     return f"SELECT expr_id, row_no, col_no, trim(cell) AS latex FROM {rows} {d.explode(d.split('line', '&'), 'cell', 'col_no')} WHERE trim(line) <> ''"
 
 
-def _matrix_profile(d):
-    n_rows = d.size(d.keep(layout.rows(d, "payload"), "trim(y) <> ''"))
-    n_cols = f"1 + {count_of(d, layout.body(d, 'payload'), '&')}"
-    return f"SELECT expr_id, {layout.bracket(d, 'payload')} AS brackets, trim({d.extract('payload', r'^([^=]*)=\s*\\', 1)}) AS lhs, {n_rows} AS n_rows, {n_cols} AS n_separators_plus_1 FROM {EXPRESSIONS} WHERE {layout.matrix(d, 'payload')}"
-
-
 def _elements(d):
     def joined(tag):
         return d.join(d.extract_all("payload", f"<{tag}>([^<]*)</{tag}>", 1), ",")
@@ -200,7 +194,7 @@ TEMPLATES = {
     "join_missing_documents": ((), lambda d: "SELECT l.doc_id FROM labels l WHERE NOT EXISTS (SELECT 1 FROM documents x WHERE x.doc_id = l.doc_id + 1)"),
     "explode_lines": (("fragments",), _lines), "explode_cells": (("fragments",), _cells), "classify_layout": (("fragments",), lambda d: f"SELECT expr_id, {layout.multi_line(d, 'payload')} AS multi_line, {layout.matrix(d, 'payload')} AS matrix FROM {EXPRESSIONS}"),
     "route_layout": (("fragments",), lambda d: f"SELECT expr_id, {layout.route(d, 'payload')} AS route FROM {EXPRESSIONS}"), "extract_label": (("fragments",), lambda d: f"SELECT expr_id, {layout.label(d, 'payload')} AS label FROM {EXPRESSIONS}"),
-    "matrix_profile": (("fragments",), _matrix_profile), "extract_elements": (("fragments",), _elements), "tokenize": (("fragments",), lambda d: f"SELECT expr_id, pos, kind, token FROM {tokens(d)} t"),
+    "extract_elements": (("fragments",), _elements), "tokenize": (("fragments",), lambda d: f"SELECT expr_id, pos, kind, token FROM {tokens(d)} t"),
     "win_letter_runs": (("fragments",), _letter_runs), "win_pair_subscripts": (("fragments",), _pairs), "win_neighbor_noise": (("fragments",), _neighbours), "win_bracket_depth": (("fragments",), _depth),
     "template_power": _template(0, "power"), "template_fixer": _fixer("fixer"), "template_channel": _fixer("channel"), "template_cue_join": (("fragments",), _cue_join),
     "template_trigger": (("fragments",), lambda d: f"SELECT expr_id, {has(d, 'payload', chr(92) + 'l_{', chr(92) + 'r_{', chr(92) + 'f_{', chr(92) + 's_{', chr(92) + 'm_{', 'l_{e}', 'r_{i}g')} OR {d.match('payload', r'\\[a-z]\s[a-z]\s[a-z]')} AS triggered FROM {EXPRESSIONS}"),
