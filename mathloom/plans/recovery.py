@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.dialect import DUCK, SPARK, Spark, chain, count_of, fired
+from ..functions.dialect import DUCK, SPARK, Spark, chain, count_of, fired, has
 from ..operators import classify, repair
 from ..sources.relations import run_sql, with_relations
 
@@ -132,15 +132,55 @@ def recover_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("payload", "n_fragments", "recovered.latex", "recovered.mathml", "recovered.confidence", F.array_join("recovered.corruption", " | ").alias("corruption"))
 
 
-QUERIES = {"recover_table": recover_table}
+def _unrolled(d: Spark, source: str, body: str) -> str:
+    """`body` over the last of the steps, each a table of its own by name."""
+    parts, last = [], f"({source})"
+    once = " MATERIALIZED" if d.name == "duckdb" else ""
+    for k, stage in enumerate([*steps(d), *last_steps(d)]):
+        parts.append(f"s{k} AS{once} (SELECT *, {', '.join(f'{x} AS {name}' for name, x in stage)} FROM {last} s)")
+        last = f"s{k}"
+    return with_relations(d, ["fragments"], "").rstrip() + ", " + ", ".join(parts) + " " + body.replace("{last}", last)
 
 
-def _unrolled() -> str:
-    parts, last = [], f"({_DISTINCT})"
-    for k, stage in enumerate([*steps(DUCK), *last_steps(DUCK)]):
-        parts.append(f"s{k} AS MATERIALIZED (SELECT *, {', '.join(f'{x} AS {name}' for name, x in stage)} FROM {last} s)")
-        last = f"s{k}"
-    return ", " + ", ".join(parts) + f" SELECT payload, n_fragments, latex, mathml, trust AS confidence, {DUCK.join('corruption', ' | ')} AS corruption FROM {last}"
+#: Words whose letters may stand apart, and what makes an estimate.
+APART = ("left", "right", "frac", "sum", "mathbb", "cdot", "ldots")
+BASE, STRUCTURE, OPERATORS, SHREDDED_SHARE, MOST = 0.2, 0.4, 0.3, 0.85, 0.99
+STRUCTURES = ("<mfrac", "<munder", "<msubsup", "<msub")
+OPERATOR = r"\\sum|\\frac|\\mathbb|\\left|\\right|\\Pr|\\neq"
+
+
+def estimate(d: Spark, raw: str, latex: str, mathml: str) -> str:
+    """How far a recovery is to be trusted by what it shows: structure in its MathML, operators in its LaTeX, and less if letters stood apart before."""
+    apart = d.match(raw, "(?i)" + "|".join(r"\s*".join(w) for w in APART))
+    score = f"({_number(BASE)} + CASE WHEN {has(d, mathml, *STRUCTURES)} THEN {_number(STRUCTURE)} ELSE {_number(0)} END + CASE WHEN {d.match(latex, OPERATOR)} THEN {_number(OPERATORS)} ELSE {_number(0)} END)"
+    return f"round(least({_number(MOST)}, {score} * CASE WHEN {apart} THEN {_number(SHREDDED_SHARE)} ELSE {_number(1)} END), 3)"
+
+
+def profile(d: Spark) -> str:
+    """Confidences by kind and by what a recovery went by: mean, range and quantiles of what the steps gathered and of the estimate.
+
+    Confidences have three digits, so the counts of the values of a group are a small table, which is merged from
+    parts before it is shuffled and gives exact quantiles.
+    """
+    variant = f"CASE WHEN raw = '' THEN 'empty' WHEN found >= {_number(FORCED)} THEN 'forced' WHEN found > 0 THEN 'delimited' WHEN {d.match('candidate', chr(92) * 2 + '[a-zA-Z]+')} THEN 'commands' ELSE 'loose' END"
+    guess = estimate(d, "raw", "latex", "mathml")
+    counts = f"(SELECT kind, variant, trust, guess, sum(n_fragments) AS n FROM (SELECT kind, n_fragments, trust, {variant} AS variant, {guess} AS guess FROM {{last}} s) v GROUP BY kind, variant, trust, guess) c"
+    two = f"(SELECT kind, variant, n, measure, CASE WHEN measure = 'trust' THEN trust ELSE guess END AS confidence FROM {counts} {d.explode(d.array(chr(39) + 'trust' + chr(39), chr(39) + 'estimate' + chr(39)), 'measure')}) t"
+    values = f"(SELECT kind, variant, measure, confidence, sum(n) AS n FROM {two} GROUP BY kind, variant, measure, confidence) h"
+    ranked = f"(SELECT h.*, sum(n) OVER (PARTITION BY kind, variant, measure ORDER BY confidence) AS upto, sum(n) OVER (PARTITION BY kind, variant, measure) AS total FROM {values}) r"
+    quantiles = ", ".join(f"min(CASE WHEN upto * 100 >= total * {p} THEN confidence END) AS p{p}" for p in (10, 50, 90))
+    return f"SELECT kind, variant, measure, CAST(sum(n) AS BIGINT) AS n, round(sum(n * confidence) / sum(n), 6) AS mean_confidence, min(confidence) AS least, max(confidence) AS most, {quantiles} FROM {ranked} GROUP BY kind, variant, measure"
+
+
+_BY_KIND = "SELECT payload, kind, count(*) AS n_fragments FROM fragments GROUP BY payload, kind"
+
+
+def agg_confidence_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_sql(spark, sf_dir, _unrolled(SPARK, _BY_KIND, profile(SPARK)))
 
 
-ORACLES = {"recover_table": with_relations(DUCK, ["fragments"], "").rstrip() + _unrolled()}
+QUERIES = {"recover_table": recover_table, "agg_confidence_profile": agg_confidence_profile}
+ORACLES = {
+    "recover_table": _unrolled(DUCK, _DISTINCT, f"SELECT payload, n_fragments, latex, mathml, trust AS confidence, {DUCK.join('corruption', ' | ')} AS corruption FROM {{last}}"),
+    "agg_confidence_profile": _unrolled(DUCK, _BY_KIND, profile(DUCK)),
+}

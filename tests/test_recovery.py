@@ -45,3 +45,15 @@ def test_reasons(spark):
 def test_many_quads(spark):
     text = " ".join(rf"{c} \quad" for c in "abcdefghijkl")
     assert evaluate(spark, recovery.few_quads, text, r"a\quad b") == [r"a \quad\quadb c d e f g h i j k l", r"a\quad b"]
+
+
+def test_estimates_and_their_profile(spark):
+    from mathloom.functions.dialect import SPARK
+    from mathloom.plans import recovery
+
+    rows = [("x", "x", "<mi>", 0.2), ("x", r"\frac{a}{b}", "<mi>", 0.5), ("x", "x", "<msub>", 0.6), ("L e ft", r"\Pr", "<mfrac>", 0.765), (r"\Sum", "x", "", 0.17), ("", "", "", 0.2), ("x", r"\left(", "<munder>", 0.9)]
+    df = spark.createDataFrame(rows, "raw STRING, latex STRING, mathml STRING, want DOUBLE")
+    assert [(r.got, r.want) for r in df.selectExpr("want", f"{recovery.estimate(SPARK, 'raw', 'latex', 'mathml')} AS got").collect() if r.got != r.want] == []
+    counts = {(r.kind, r.measure): r.n for r in recovery.agg_confidence_profile(spark, "/root/testdata/sf0.001").groupBy("kind", "measure").sum("n").withColumnRenamed("sum(n)", "n").collect()}
+    kinds = {k for k, _ in counts}
+    assert all(counts[k, "trust"] == counts[k, "estimate"] for k in kinds) and "plain" in kinds
