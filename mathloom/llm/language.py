@@ -85,23 +85,32 @@ class ChainModel:
         cut = np.concatenate((first, np.ones(pad, bool))).reshape(-1, block)
         blocks = len(e)
         even = np.full((k, k), 1.0 / k)
+        # word by word, so that a step reads what lies together; links are cut in few blocks of a step
+        at = np.ascontiguousarray(e.transpose(1, 0, 2))
+        cuts = [np.flatnonzero(column) for column in cut.T]
+
+        def moved_by(rows: np.ndarray, by: np.ndarray) -> np.ndarray:
+            return (rows.reshape(-1, k) @ by).reshape(rows.shape)
 
         def forward_step(rows: np.ndarray, j: int) -> np.ndarray:
             """rows (blocks, m, k): distributions before word j of the blocks -> after it."""
-            moved = rows @ moves
-            total = rows.sum(axis=2, keepdims=True)
-            moved = np.where(cut[:, j, None, None], total * even[0], moved)
-            return moved * e[:, j, None, :]
+            moved = moved_by(rows, moves)
+            if len(cuts[j]):
+                moved[cuts[j]] = rows[cuts[j]].sum(axis=2, keepdims=True) * even[0]
+            moved *= at[j][:, None, :]
+            return moved
 
         def backward_step(rows: np.ndarray, j: int) -> np.ndarray:
             """rows (blocks, m, k): weights after word j -> before it."""
-            weighed = rows * e[:, j, None, :]
-            moved = weighed @ moves.T
-            total = weighed.sum(axis=2, keepdims=True) / k
-            return np.where(cut[:, j, None, None], np.repeat(total, k, axis=2), moved)
+            weighed = rows * at[j][:, None, :]
+            moved = moved_by(weighed, moves.T)
+            if len(cuts[j]):
+                moved[cuts[j]] = np.repeat(weighed[cuts[j]].sum(axis=2, keepdims=True) / k, k, axis=2)
+            return moved
 
         def scaled(x: np.ndarray) -> np.ndarray:
-            return x / np.maximum(x.max(axis=(1, 2), keepdims=True), 1e-300)
+            x /= np.maximum(x.reshape(blocks, -1).max(axis=1), 1e-300)[:, None, None]
+            return x
 
         through = np.repeat(np.eye(k)[None], blocks, axis=0)
         for j in range(block):
