@@ -9,7 +9,6 @@ mean over its words.
 from __future__ import annotations
 
 import re
-import zlib
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -28,33 +27,65 @@ WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 ASCII_WORD = re.compile("[a-z]+")
 
 
-class _Slots(dict):
-    """Slots of strings of one kind, remembered; emptied when there are too many of them, and by each task at its end."""
+def _slot(values: np.ndarray, kind: int) -> np.ndarray:
+    """Slots of some 64-bit values of one kind of feature."""
+    x = values + np.uint64(kind * 0xD6E8FEB86659FD93 & (1 << 64) - 1)
+    x ^= x >> np.uint64(32)
+    x *= np.uint64(0x9E3779B97F4A7C15)
+    x ^= x >> np.uint64(29)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    return (x >> np.uint64(48)).astype(np.int64) & (SLOTS - 1)
 
-    def __init__(self, kind: str, most: int = 50_000):
-        super().__init__()
-        self.kind, self.most = kind, most
 
-    def __missing__(self, key: str) -> int:
-        if len(self) >= self.most:
-            self.clear()
-        slot = self[key] = zlib.crc32((self.kind + key).encode("utf-8", "surrogatepass")) & (SLOTS - 1)
-        return slot
+def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(slots, how many each word has) of lower-case words, none of them empty, word by word.
 
-
-_GRAM, _START, _END, _LETTER = KINDS = _Slots("g"), _Slots("p"), _Slots("s"), _Slots("u")
-
-
-def word_features(word: str) -> list[int]:
-    """Slots of a lower-case word: the word, affixes of 1 to 3 letters, n-grams of 2 and 3 letters, its letters beyond ASCII."""
-    b = f"^{word}$"
-    slots = {_GRAM[b[i : i + 2]] for i in range(len(b) - 1)}
-    slots.update([_GRAM[b[i : i + 3]] for i in range(len(b) - 2)])
-    slots.update((_START[b[:2]], _START[b[:3]], _START[b[:4]], _END[b[-2:]], _END[b[-3:]], _END[b[-4:]]))
-    if not word.isascii():
-        slots.update([_LETTER[c] for c in word if c > "\x7f"])
-    slots.add(zlib.crc32(b.encode("utf-8", "surrogatepass")) & (SLOTS - 1))
-    return list(slots)
+    A word has itself, its affixes of 1 to 3 letters (border included), its n-grams of
+    2 and 3 letters, and its letters beyond ASCII; what comes twice in a word counts twice.
+    All words are taken side by side, as one row of code points with borders between them.
+    """
+    row = np.frombuffer(("^" + "$^".join(words) + "$").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    long = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    ends = np.cumsum(long)
+    first = ends - long
+    inside = np.arange(len(row)) - np.repeat(first, long)  # place in the word
+    left = np.repeat(ends, long) - np.arange(len(row))  # letters from here on
+    padded = np.concatenate((row, np.zeros(3, np.uint64)))
+    two = (row << np.uint64(21)) | padded[1:-2]
+    three = (two << np.uint64(21)) | padded[2:-1]
+    four = three * np.uint64(0x100000001B3) + padded[3:]
+    whole = np.add.reduceat(_mixed(row, inside), first)
+    beyond = row > 0x7F
+    has_four = long > 3
+    every = np.arange(len(words))
+    owner = np.repeat(every, long)
+    parts = [
+        (every, _slot(whole, 1)),
+        (owner[left >= 2], _slot(two[left >= 2], 2)),
+        (owner[left >= 3], _slot(three[left >= 3], 3)),
+        (every, _slot(two[first], 4)),
+        (every, _slot(three[first], 5)),
+        (every[has_four], _slot(four[first[has_four]], 6)),
+        (every, _slot(two[ends - 2], 7)),
+        (every, _slot(three[ends - 3], 8)),
+        (every[has_four], _slot(four[ends[has_four] - 4], 9)),
+        (owner[beyond], _slot(row[beyond], 10)),
+    ]
+    counts = [np.bincount(o, minlength=len(words)) for o, _ in parts]
+    sizes = np.sum(counts, axis=0)
+    slots = np.empty(int(sizes.sum()), np.int64)
+    free = np.cumsum(sizes) - sizes
+    for (o, s), n in zip(parts, counts):
+        slots[free[o] + np.arange(len(o)) - (np.cumsum(n) - n)[o]] = s
+        free += n
+    return slots, sizes
+
+
+def _mixed(row: np.ndarray, inside: np.ndarray) -> np.ndarray:
+    """A value of each letter and its place, whose sum tells words apart."""
+    x = (row + (inside.astype(np.uint64) << np.uint64(21))) * np.uint64(0x9E3779B97F4A7C15)
+    x ^= x >> np.uint64(30)
+    return x * np.uint64(0x94D049BB133111EB)
 
 
 @dataclass
@@ -64,13 +95,16 @@ class ChainModel:
     transition: np.ndarray  # languages x languages, log weights
     lexicon: dict[str, np.ndarray] = field(default_factory=dict)
 
-    def word_scores(self, word: str) -> np.ndarray:
-        slots = word_features(word)
-        scores = self.emission[slots].sum(axis=0) / np.sqrt(len(slots))
-        known = self.lexicon.get(word)
-        return scores if known is None else scores + known
+    def word_scores(self, words: list[str]) -> np.ndarray:
+        """Emissions of lower-case words, a row each."""
+        slots, sizes = word_features(words)
+        rows = np.add.reduceat(self.emission[slots], np.cumsum(sizes) - sizes) / np.sqrt(sizes)[:, None]
+        for i, w in enumerate(words):
+            if w in self.lexicon:
+                rows[i] += self.lexicon[w]
+        return rows
 
-    def posteriors(self, scores: np.ndarray, first: np.ndarray, block: int = 64) -> np.ndarray:
+    def posteriors(self, scores: np.ndarray, first: np.ndarray, block: int = 256) -> np.ndarray:
         """Language distribution of each word; `first` marks words that start a document.
 
         The words of all documents form one chain whose links into a first word are
@@ -161,31 +195,17 @@ class Labeller:
             self.known.clear()
             self.letters = 0
             self.table = self.table[:1024].copy()
-        get = self.known.get
-        at = [get(w, -1) for w in words]
-        if -1 in at:
-            new = sorted({w for w, i in zip(words, at) if i < 0})
+        new = sorted(set(words).difference(self.known))
+        if new:
             size = len(self.known)
             if size + len(new) > len(self.table):
                 self.table = np.concatenate((self.table, np.zeros((size + len(new), self.table.shape[1]))))[: 2 * (size + len(new))]
-            lexicon = self.model.lexicon
             for begin in range(0, len(new), MOST_NEW):
                 some = new[begin : begin + MOST_NEW]
-                slots, sizes = [], []
-                for w in some:
-                    own = word_features(w)
-                    slots += own
-                    sizes.append(len(own))
-                starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-                rows = np.add.reduceat(self.model.emission[slots], starts) / np.sqrt(np.array(sizes))[:, None]
-                for i, w in enumerate(some):
-                    if w in lexicon:
-                        rows[i] += lexicon[w]
-                self.table[size + begin : size + begin + len(some)] = rows
+                self.table[size + begin : size + begin + len(some)] = self.model.word_scores(some)
             self.known.update(zip(new, range(size, size + len(new))))
             self.letters += sum(map(len, new))
-            at = [self.known[w] for w in words]
-        return self.table[at]
+        return self.table[np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))]
 
     def documents(self, texts: list[str | None]) -> list[tuple[str, float]]:
         """(language, score) of each text: the language with the highest mean share, the first by name at ties."""
@@ -240,7 +260,9 @@ def fit_chain(texts: list[tuple[str, str]], epochs: int = 3, lexicon: int = 400,
     for w in chosen:
         rates = np.log((counts[w] + 0.5) / (totals + 1))
         model.lexicon[w] = np.clip(rates - rates.mean(), -2, 2)
-    slots_of: dict[str, np.ndarray] = {}
+    known = sorted(counts)
+    all_slots, all_sizes = word_features(known)
+    slots_of = dict(zip(known, np.split(all_slots, np.cumsum(all_sizes)[:-1])))
     moments = [np.zeros((SLOTS, k)), np.zeros((SLOTS, k)), np.zeros((k, k)), np.zeros((k, k))]
     step = 0
     for _ in range(epochs):
@@ -248,9 +270,6 @@ def fit_chain(texts: list[tuple[str, str]], epochs: int = 3, lexicon: int = 400,
         for at in range(0, len(order), batch):
             words = [w for i in order[at : at + batch] for w in stretches[i][0]]
             labels = np.array([stretches[i][1] for i in order[at : at + batch] for _ in stretches[i][0]])
-            for w in words:
-                if w not in slots_of:
-                    slots_of[w] = np.array(word_features(w))
             lists = [slots_of[w] for w in words]
             sizes = np.array([len(s) for s in lists])
             slots = np.concatenate(lists)
@@ -329,7 +348,5 @@ def identify(docs: DataFrame, model: ChainModel, text: str = "text", batch_chars
                     held, size = [], 0
             found += labeller.documents(held)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], [*kept, *new])
-        for kind in KINDS:  # a worker serves other tasks after this one
-            kind.clear()
 
     return docs.select(*[F.col(f"`{c}`") for c in kept], F.col(text).alias(private(docs, "__text"))).mapInArrow(label, f"{fields}, lang_pred string, lang_score double")

@@ -603,7 +603,7 @@ def test_blocks_and_spans(spark, monkeypatch):
 
 def test_long_words_are_read_whole(spark):
     a, b = "x" * 60 + "abcde" * 24 + "y" * 60, "x" * 60 + "vwxyz" * 24 + "y" * 60
-    assert set(language.word_features(a)) != set(language.word_features(b))
+    assert set(language.word_features([a])[0]) != set(language.word_features([b])[0])
     texts = [("今日はとても良い天気ですね", "ja"), ("这个城市的冬天非常寒冷", "zh")] * 20
     model = language.fit_chain(texts)
     labeller = language.Labeller(model)
@@ -616,3 +616,12 @@ def test_mixing_keeps_columns_and_salted_rates(spark):
     docs = spark.createDataFrame([(i, "s" if i % 3 else "t", "x", 1) for i in range(300)], "doc_id bigint, source string, `__source` string, `__rate` int")
     a = sorted(map(tuple, mixing.mix(docs).collect()))
     assert {"__source", "__rate"} <= set(mixing.mix(docs).columns) and a == sorted(map(tuple, mixing.mix(docs, most_broadcast=0).collect()))
+
+
+def test_word_features_do_not_depend_on_the_words_beside():
+    words = ["a", "ab", "abc", "été", "aaaa", "x" * 3000, "слово", "𝔸b"]
+    slots, sizes = language.word_features(words)
+    own = [language.word_features([w]) for w in words]
+    assert sizes.tolist() == [int(s[0]) for _, s in own]
+    assert slots.tolist() == [x for s, _ in own for x in s.tolist()]
+    assert [len(set(language.word_features([w])[0].tolist())) > 5 for w in words] == [True] * len(words)
