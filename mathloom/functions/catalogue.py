@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import classify, gates, layout, lines, repair
+from ..operators import classify, gates, layout, lines, reconstruct, repair
 from .dialect import SPARK, chain, fired
 
 OPERATORS = {
@@ -18,6 +18,7 @@ OPERATORS = {
     **{f"layout_{f.__name__}": f for f in (layout.multi_line, layout.matrix, layout.route, layout.label, layout.rows)},
     **repair.CHAINS,
     **lines.CHAINS,
+    **reconstruct.CHAINS,
 }
 
 

@@ -116,7 +116,9 @@ NOISE = (*MERGED, (r"(\\displaystyle\s*){2,}", r"\\displaystyle "), (r"\\left\."
 BROKEN_COMMANDS = ((r"\\f\s+rac", r"\\frac"), (r"\\s\s+um", r"\\sum"), (r"\\l\s+eft", r"\\left"), (r"\\r\s+ight", r"\\right"), (r"\\m\s+athbb", r"\\mathbb"), (r"\\e\s+quiv", r"\\equiv"), (r"\\P" + END, r"P\1"), (r"_\s*_", "_"), (r"\^\s*\^", "^"), (r"_\{\s*\}", ""))
 XML_TEXT = ((r"[\x00-\x08\x0B\x0C\x0E-\x1F]", ""), (r"<mi>\\([A-Za-z]+)</mi>", r"<mi>\1</mi>"), (r"(</msub>){2,}", "</msub>"), (r"<\z", ""))
 SANITIZE = (("…", r"\\ldots"), (r"\.{3,}", r"\\ldots"), (r"[\x00-\x08\x0B\x0C\x0E-\x1F]", ""), (r"\\(left|right)\s+([(\[|)\]])", r"\\\1\2"))
-SAFE = ((r"^\s*\$+|\$+\s*\z", ""), ("[¢€£¥©®™§¶•¤¦¨¬¯´¸]", ""), (r"\s+", " "), ("__+", "_"), (r"([A-Za-z0-9])_ ([A-Za-z0-9])", r"\1_{\2}"), (r"[_^]([),\]])", r"\1"))
+SAFE = (
+    ("[•·●○■□◦€£¥©®™¿¡«»\ufffd]", ""), (r"\s+", " "), (r"^ | \z", ""), ("__+", "_"), (r"([A-Za-z0-9])_\s*([A-Za-z0-9])", r"\1_{\2}"), (r"_([),\]])", r"\1"), (r"\^([),\]])", r"\1"),
+)
 INVALID_TOKENS = ((r"<(mi|mtext)>\\[A-Za-z]+</(mi|mtext)>", r"<\1></\2>"), ("<mi>(Iniln|mln)</mi>", "<mi>min</mi>"), ("<mi>m</mi><mi>l</mi><mi>n</mi>", "<mi>min</mi>"))
 RETAG = (r"<mi>\s*([=+<>|(){}\[\],;:!/*±×÷·≤≥≠≡≈∈∉⊂⊃∪∩∑∏∫→←-])\s*</mi>", r"<mo>\1</mo>")
 OCR_PATTERNS = (
@@ -156,7 +158,17 @@ def close_braces(d: Spark, x: str) -> str:
 
 
 def safe(d: Spark, x: str) -> str:
-    return f"trim({chain(d, strip_marks(d, x), SAFE)})"
+    """Marks and characters that recognition puts in go, with one pair of dollar signs around; scripts are braced or dropped.
+
+    Missing closing braces are appended, and of those too many what stands at the end is cut.
+    """
+    bare = d.sub(x, r"^\s+|\s+\z", "")
+    inside = "CASE WHEN length(y) > 1 AND y LIKE '$%$' THEN substr(y, 2, length(y) - 2) WHEN y = '$' THEN '' ELSE y END"
+    off = brace_difference(d, "y")
+    cut = f"least(length({d.extract('y', r'[}]*' + chr(92) + 'z', 0)}), greatest(-{off}, 0))"
+    evened = f"concat(substr(y, 1, length(y) - {cut}), repeat('}}', greatest({off}, 0)))"
+    stripped = _bound(d, _bound(d, bare, inside), strip_marks(d, "y"))
+    return f"trim({_bound(d, chain(d, stripped, SAFE), evened)})"
 
 
 def brace_difference(d: Spark, x: str) -> str:
@@ -289,17 +301,6 @@ def conservative(d: Spark, x: str) -> str:
     return f"CASE WHEN {d.match(x, r'\\[a-zA-Z]{2,}|[{}^_]')} THEN {x} ELSE {chain(d, x, greek)} END"
 
 
-def post_process(d: Spark, x: str) -> str:
-    y = d.sub(x, r"\s+", " ")
-    plain = chain(d, y, ((r"([0-9]+)\s*/\s*([0-9a-z]+)", r"\\frac{\1}{\2}"), (r"([a-z])\^([0-9a-z])", r"\1^{\2}")))
-    return f"CASE WHEN {d.match(x, r'\\[a-zA-Z]{2,}')} THEN trim({y}) ELSE concat('$', trim({plain}), '$') END"
-
-
-def heuristic(d: Spark, x: str) -> str:
-    y = chain(d, x, ((r"(^|[^A-Za-z0-9/])1\s*/\s*n" + END, r"\1\\frac{1}{n}\2"), (r"(^|[^\\A-Za-z])sum_", r"\1\\sum_"), (r"\s+", " ")))
-    return f"concat('$', trim({close_braces(d, y)}), '$')"
-
-
 #: Sets, and what shows that their letters stand for them.
 SETS = (("R", "ℝ", "mathbb{R}"), ("Z", "ℤ", "mathbb{Z}"))
 #: Fixed value: how far back a letter looks for a variant that has been set.
@@ -341,7 +342,7 @@ def numeric_entities(d: Spark, x: str) -> str:
 CHAINS = {
     "repair_classic_clean": classic_clean, "repair_classic_structure": classic_structure, "repair_classic_normalize": classic_normalize,
     "repair_classic_chain": lambda d, x: classic_normalize(d, classic_structure(d, classic_clean(d, x))),
-    "repair_safe": safe, "repair_heuristic": heuristic, "repair_post_process": post_process, "repair_ocr_errors": ocr_errors, "repair_conservative": conservative,
+    "repair_safe": safe, "repair_ocr_errors": ocr_errors, "repair_conservative": conservative,
     "repair_spelled_to_command": apply(SPELLED_COMMANDS), "repair_letter_commands": apply(LETTER_COMMANDS), "repair_pre_balance": pre_balance, "repair_auto_balance": auto_balance,
     "repair_collapse_subscripts": collapse_subscripts, "repair_shred_table": shred_table, "repair_shred_forced": lambda d, x: chain(d, collapse_subscripts(d, x), FORCED_TABLE),
     "repair_symbols": apply(SYMBOLS), "repair_extract_payload": extract_payload, "repair_xml_text": apply(XML_TEXT), "repair_sanitize": apply(SANITIZE), "repair_fixer_primitives": lambda d, x: close_braces(d, chain(d, x, BROKEN_COMMANDS)),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ..functions.dialect import chain, count_of
 from ..functions.normal import strip_marks
-from ..operators import classify, gates, lines, repair
+from ..operators import classify, gates, lines, reconstruct, repair
 from .fixer import PROMPT
 
 #: Distinct expressions are judged once; the counts of their fragments come along.
@@ -150,6 +150,6 @@ TEMPLATES = {
     "gate_xml_issues": (("fragments",), _xml_issues), "repair_noise_nodes": _repair(_noise_nodes),
     "limit_labels": (("fragments",), _labelled_limits),
     "repair_shred": ((), lambda d: f"SELECT doc_id, {d.sub('text', r'([A-Za-z])_?([0-9]+|[A-Za-z])', chr(92) + '1_{' + chr(92) + '2}')} AS shredded FROM documents"),
-    **{name: _repair(chain) for name, chain in (repair.CHAINS | lines.CHAINS).items()},
+    **{name: _repair(chain) for name, chain in (repair.CHAINS | lines.CHAINS | reconstruct.CHAINS).items()},
 }
 
