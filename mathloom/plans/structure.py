@@ -32,10 +32,38 @@ def tokens(d) -> str:
     """(expr_id, pos, kind, token): tokens of MathML in page order, else commands, numbers and characters."""
     parts = d.extract_all("payload", r"<m(?:i|o|n|text)>[^<]*</m(?:i|o|n|text)>|\\?[A-Za-z]+|[0-9]+|\\?[^\sA-Za-z0-9]", 0)
     own = f"CASE WHEN contains(payload, '<math') THEN {d.extract_all('payload', '<m(?:i|o|n|text)>[^<]*</m(?:i|o|n|text)>', 0)} ELSE {parts} END"
-    return f"""(SELECT expr_id, pos, CASE WHEN part LIKE '<m%' THEN {d.extract('part', '<(m[a-z]+)>', 1)} WHEN substr(part, 1, 1) = {d.lit(chr(92))} THEN 'command' WHEN {d.match('part', '^[0-9]')} THEN 'mn' WHEN {d.match('part', '^[A-Za-z]')} THEN 'mi' ELSE 'mo' END AS kind,
+    if d.name == "spark":
+        digit, letter = "substr(part, 1, 1) BETWEEN '0' AND '9'", "(substr(part, 1, 1) BETWEEN 'A' AND 'Z' OR substr(part, 1, 1) BETWEEN 'a' AND 'z')"
+    else:
+        digit, letter = d.match("part", "^[0-9]"), d.match("part", "^[A-Za-z]")
+    return f"""(SELECT expr_id, pos, CASE WHEN part LIKE '<m%' THEN {d.extract('part', '<(m[a-z]+)>', 1)} WHEN substr(part, 1, 1) = {d.lit(chr(92))} THEN 'command' WHEN {digit} THEN 'mn' WHEN {letter} THEN 'mi' ELSE 'mo' END AS kind,
             CASE WHEN part LIKE '<m%' THEN {d.sub('part', '<[^>]*>', '')} ELSE part END AS token FROM {EXPRESSIONS} {d.explode(own, 'part', 'pos')})"""
 
 
+def _first(d, low: str, high: str) -> str:
+    return f"substr(part, 1, 1) BETWEEN '{low}' AND '{high}'"
+
+
+def token_arrays(d) -> str:
+    """(expr_id, kinds, toks): the tokens of tokens() as two arrays, a row an expression that has any.
+
+    What a token's neighbours decide is read from these, so that tokens are neither shuffled nor sorted.
+    """
+    parts = d.extract_all("payload", r"<m(?:i|o|n|text)>[^<]*</m(?:i|o|n|text)>|\\?[A-Za-z]+|[0-9]+|\\?[^\sA-Za-z0-9]", 0)
+    own = f"CASE WHEN contains(payload, '<math') THEN {d.extract_all('payload', '<m(?:i|o|n|text)>[^<]*</m(?:i|o|n|text)>', 0)} ELSE {parts} END"
+    kind = f"CASE WHEN part LIKE '<m%' THEN {d.extract('part', '<(m[a-z]+)>', 1)} WHEN startswith(part, {d.lit(chr(92))}) THEN 'command' WHEN {_first(d, '0', '9')} THEN 'mn' WHEN {_first(d, 'A', 'Z')} OR {_first(d, 'a', 'z')} THEN 'mi' ELSE 'mo' END"
+    token = f"CASE WHEN part LIKE '<m%' THEN {d.sub('part', '<[^>]*>', '')} ELSE part END"
+    return f"(SELECT expr_id, transform(parts, part -> {kind}) AS kinds, transform(parts, part -> {token}) AS toks FROM (SELECT expr_id, {own} AS parts FROM {EXPRESSIONS}) p WHERE size(parts) > 0)"
+
+
+def run_arrays(d) -> str:
+    """(expr_id, kinds, toks, found): with the runs of runs() in order, each (first, from 1; n; kind; word)."""
+    goes_on = "i > 1 AND kinds[i - 1] = 'mi' AND length(toks[i - 1]) = 1 AND kinds[i - 2] = 'mi'"
+    begun = f"(SELECT *, filter(sequence(1, size(toks)), i -> NOT ({goes_on})) AS begins FROM {token_arrays(d)} t)"
+    sized = f"(SELECT expr_id, kinds, toks, transform(begins, (b, j) -> named_struct('first', b, 'n', coalesce(get(begins, j + 1), size(toks) + 1) - b)) AS spans FROM {begun} b)"
+    return f"(SELECT expr_id, kinds, toks, transform(spans, s -> named_struct('first', s.first, 'n', CAST(s.n AS BIGINT), 'kind', kinds[s.first - 1], 'word', CASE WHEN s.n = 1 THEN toks[s.first - 1] ELSE array_join(slice(toks, s.first, s.n), '') END)) AS found FROM {sized} s)"
+
+
 def letters(d) -> str:
     """(expr_id, pos, letter): the letters of the identifiers of MathML, and whether each goes on from the one before."""
     return f"""(SELECT expr_id, pos, token, kind, CASE WHEN kind = 'mi' AND length(token) = 1 AND lag(kind) OVER (PARTITION BY expr_id ORDER BY pos) = 'mi' THEN 0 ELSE 1 END AS starts FROM {tokens(d)} t)"""
@@ -64,6 +92,12 @@ def _neighbours(d):
 
 
 def _depth(d):
+    if d.name == "spark":
+        # between brackets the depth stays, and before the first one it is 0
+        turns = "transform(filter(toks, t -> t IN ('(', ')')), t -> CASE WHEN t = '(' THEN 1L ELSE -1L END)"
+        first = "CASE WHEN toks[0] IN ('(', ')') THEN CAST(NULL AS BIGINT) ELSE 0L END"
+        folded = f"aggregate({turns}, named_struct('depth', 0L, 'deepest', {first}, 'lowest', {first}), (a, t) -> named_struct('depth', a.depth + t, 'deepest', greatest(a.deepest, a.depth + t), 'lowest', least(a.lowest, a.depth + t)))"
+        return f"SELECT expr_id, s.deepest, s.lowest, greatest(-s.lowest, 0L) AS unmatched_closers, s.depth - least(s.lowest, 0L) AS missing_closers FROM (SELECT expr_id, {folded} AS s FROM {token_arrays(d)} a) f"
     return f"""SELECT expr_id, max(depth) AS deepest, min(depth) AS lowest, greatest(-min(depth), 0) AS unmatched_closers, max(CASE WHEN last = 1 THEN depth END) - least(min(depth), 0) AS missing_closers
         FROM (SELECT expr_id, sum(CASE token WHEN '(' THEN 1 WHEN ')' THEN -1 ELSE 0 END) OVER (PARTITION BY expr_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS depth, row_number() OVER (PARTITION BY expr_id ORDER BY pos DESC) AS last FROM {tokens(d)} t) s GROUP BY expr_id"""
 
@@ -170,6 +204,10 @@ def _categories(d):
 def _recover_tokens(d):
     """Tokens of an expression strung together again, letter runs as commands, with a confidence."""
     names = ", ".join(d.lit(c) for c in COMMANDS)
+    if d.name == "spark":
+        command = f"r.kind = 'mi' AND r.n >= 3 AND lower(r.word) IN ({names})"
+        joined = f"array_join(transform(found, r -> CASE WHEN {command} THEN concat({d.lit(chr(92))}, lower(r.word)) ELSE r.word END), ' ')"
+        return f"""SELECT expr_id, {joined} AS latex, CASE WHEN exists(found, r -> {command}) THEN 0.9 WHEN size(found) > 1 THEN 0.5 ELSE 0.25 END AS confidence FROM {run_arrays(d)} f"""
     words = f"""SELECT expr_id, run, min(pos) AS pos, max(kind) AS kind, {d.join(d.ordered('token', 'pos'), '')} AS word, count(*) AS n FROM {runs(d)} r GROUP BY expr_id, run"""
     piece = f"CASE WHEN kind = 'mi' AND n >= 3 AND lower(word) IN ({names}) THEN concat({d.lit(chr(92))}, lower(word)) ELSE word END"
     return f"""SELECT expr_id, latex, CASE WHEN n_commands > 0 THEN 0.9 WHEN n_tokens > 1 THEN 0.5 ELSE 0.25 END AS confidence
