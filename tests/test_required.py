@@ -60,3 +60,12 @@ def test_rules_are_guarded():
     """Every rule of the table of split commands is looked up before it is run."""
     assert all(any(required(p)) for p, _ in (*repair.SHRED_TABLE, *repair.SPELLED_COMMANDS, *repair.LETTER_COMMANDS, *repair.OCR_PATTERNS))
     assert not re.search(r"regexp_replace\(regexp_replace", chain(SPARK, "x", repair.SHRED_TABLE))
+
+
+def test_reconstruction_is_guarded(texts):
+    from mathloom.operators import reconstruct
+
+    rules = [(reconstruct.edged(SPARK, p), by) for p, by in reconstruct.CLEAN]
+    sql = reconstruct.rewritten(SPARK, "x", *reconstruct.CLEAN)
+    assert "regexp_replace(regexp_replace" not in sql
+    assert column(texts, sql) == column(texts, plain("x", rules))
