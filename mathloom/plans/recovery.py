@@ -31,6 +31,8 @@ SECOND_PASS = ((r"\\\s*([a-zA-Z])\s*([a-zA-Z])\s*([a-zA-Z])\s*([a-zA-Z])", r"\\\
 THIRD_PASS = ((r"\\\s+([a-zA-Z]+)", r"\\\1"),)
 #: Letters apart, of which three or more make a word.
 LETTERS = r"[A-Za-z](?:\s+[A-Za-z]){2,}"
+#: Fixed value: what such a run holds, two letters with nothing but blanks around them.
+TWO_APART = r"\s[A-Za-z]\s+[A-Za-z](?:[^A-Za-z0-9_]|\z)"
 #: What each step adds.
 FORCED, DELIMITED, COMMANDS, LOOSE, CONVERTED, WRAPPED = 0.1, 0.05, 0.15, 0.05, 0.9, 0.05
 
@@ -45,7 +47,9 @@ def joined_letters(d: Spark, x: str) -> str:
     apart = rf"(?:^|[^A-Za-z0-9_])({LETTERS})(?:[^A-Za-z0-9_]|\z)"
     whole = d.extract_all(x, apart, 0)
     by = d.each(whole, f"replace(y, {d.extract('y', LETTERS, 0)}, {d.sub(d.extract('y', LETTERS, 0), chr(92) + 's+', '')})")
-    return f"CASE WHEN {d.match(x, apart)} THEN {d.interleave(d.split(x, apart), by)} ELSE {x} END"
+    # the plainer pattern is tried first, as few texts hold that
+    first = f"{d.match(x, TWO_APART)} AND " if d.name == "spark" else ""
+    return f"CASE WHEN {first}{d.match(x, apart)} THEN {d.interleave(d.split(x, apart), by)} ELSE {x} END"
 
 
 def few_quads(d: Spark, x: str) -> str:

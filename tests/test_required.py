@@ -69,3 +69,27 @@ def test_reconstruction_is_guarded(texts):
     sql = reconstruct.rewritten(SPARK, "x", *reconstruct.CLEAN)
     assert "regexp_replace(regexp_replace" not in sql
     assert column(texts, sql) == column(texts, plain("x", rules))
+
+
+def test_turns_of_a_table_as_the_table_repeated(texts):
+    """A table in three turns stands in the plan once, and a turn begins only on texts that one of its rules may change."""
+    again = ((r"ab", "ca"), (r"cac", "abb"), (r"bb+", r"ab"))
+    more = texts.sparkSession.createDataFrame([(i, x) for i, x in enumerate(("cabb", "abab", "cacabb", "no", "", None))], "i INT, x STRING")
+    for table, rules in ((texts, repair.SHRED_TABLE), (more, again)):
+        assert column(table, chain(SPARK, "x", rules, 3)) == column(table, plain("x", rules * 3))
+    assert repair.shred_table(SPARK, "x").count("forall") == chain(SPARK, "x", repair.SHRED_TABLE).count("forall")
+
+
+def test_blanks_that_stay_are_no_match(texts):
+    odd = texts.sparkSession.createDataFrame([(i, x) for i, x in enumerate((" a  b\tc\n", "\x0b\x0c\r", " ", "a b", "", None))], "i INT, x STRING")
+    assert column(odd, SPARK.sub("x", r"\s+", " ")) == column(odd, "regexp_replace(x, '\\\\s+', ' ')")
+    assert column(odd, SPARK.sub("x", " +", " ")) == column(odd, "regexp_replace(x, ' +', ' ')")
+
+
+def test_letters_apart_are_found_by_their_neighbours(texts):
+    from mathloom.plans.recovery import TWO_APART, joined_letters
+
+    odd = texts.sparkSession.createDataFrame([(i, x) for i, x in enumerate(("a b c", "a b", "is a dog", "a\tb  c_", "x a b c_{d}", "w = m o d", "a b c d.", "1 a b c", "a1 b c d", "", None))], "i INT, x STRING")
+    first = f"{SPARK.match('x', TWO_APART)} AND "
+    assert first in joined_letters(SPARK, "x")
+    assert column(odd, joined_letters(SPARK, "x")) == column(odd, joined_letters(SPARK, "x").replace(first, ""))
