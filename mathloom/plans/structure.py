@@ -28,20 +28,49 @@ def symbols(d) -> str:
     return f"(VALUES {rows}) AS s(ch, command)"
 
 
+#: A token of MathML, and all tokens of a text.
+TAGGED = r"<m(?:i|o|n|text)>[^<]*</m(?:i|o|n|text)>"
+TOKEN = TAGGED + r"|\\?[A-Za-z]+|[0-9]+|\\?[^\sA-Za-z0-9]"
+#: Single letters that go on with a run, and a run as one match: an identifier and these, or any other token.
+GOES_ON = r"(?:\s*(?:<mi>[^<]</m(?:i|o|n|text)>|[A-Za-z](?![A-Za-z])))*"
+RUN = rf"<mi>[^<]*</m(?:i|o|n|text)>{GOES_ON}|{TAGGED}|[A-Za-z]+{GOES_ON}|\\[A-Za-z]+|[0-9]+|\\?[^\sA-Za-z0-9]"
+#: The tokens of a run that holds tags, without these, as group 1.
+IN_RUN = r"(?:<mi>)?((?<=<mi>)[^<]*|[A-Za-z]+)(?:</m(?:i|o|n|text)>)?"
+
+
+def _parts(d) -> str:
+    return f"CASE WHEN contains(payload, '<math') THEN {d.extract_all('payload', TAGGED, 0)} ELSE {d.extract_all('payload', TOKEN, 0)} END"
+
+
+def _kind(d, part: str) -> str:
+    """The kind of a token in Spark, by its first character; texts are compared by their bytes."""
+    return f"CASE WHEN startswith({part}, '<m') THEN {d.extract(part, '<(m[a-z]+)>', 1)} WHEN startswith({part}, {d.lit(chr(92))}) THEN 'command' WHEN {part} >= '0' AND {part} < ':' THEN 'mn' WHEN {part} >= 'A' AND {part} < '[' OR {part} >= 'a' AND {part} < '{{' THEN 'mi' ELSE 'mo' END"
+
+
+def _token(d, part: str) -> str:
+    return f"CASE WHEN startswith({part}, '<m') THEN {d.sub(part, '<[^>]*>', '')} ELSE {part} END"
+
+
 def tokens(d) -> str:
     """(expr_id, pos, kind, token): tokens of MathML in page order, else commands, numbers and characters."""
-    parts = d.extract_all("payload", r"<m(?:i|o|n|text)>[^<]*</m(?:i|o|n|text)>|\\?[A-Za-z]+|[0-9]+|\\?[^\sA-Za-z0-9]", 0)
-    own = f"CASE WHEN contains(payload, '<math') THEN {d.extract_all('payload', '<m(?:i|o|n|text)>[^<]*</m(?:i|o|n|text)>', 0)} ELSE {parts} END"
     if d.name == "spark":
         digit, letter = "substr(part, 1, 1) BETWEEN '0' AND '9'", "(substr(part, 1, 1) BETWEEN 'A' AND 'Z' OR substr(part, 1, 1) BETWEEN 'a' AND 'z')"
     else:
         digit, letter = d.match("part", "^[0-9]"), d.match("part", "^[A-Za-z]")
     return f"""(SELECT expr_id, pos, CASE WHEN part LIKE '<m%' THEN {d.extract('part', '<(m[a-z]+)>', 1)} WHEN substr(part, 1, 1) = {d.lit(chr(92))} THEN 'command' WHEN {digit} THEN 'mn' WHEN {letter} THEN 'mi' ELSE 'mo' END AS kind,
-            CASE WHEN part LIKE '<m%' THEN {d.sub('part', '<[^>]*>', '')} ELSE part END AS token FROM {EXPRESSIONS} {d.explode(own, 'part', 'pos')})"""
+            CASE WHEN part LIKE '<m%' THEN {d.sub('part', '<[^>]*>', '')} ELSE part END AS token FROM {EXPRESSIONS} {d.explode(_parts(d), 'part', 'pos')})"""
 
 
-def _first(d, low: str, high: str) -> str:
-    return f"substr(part, 1, 1) BETWEEN '{low}' AND '{high}'"
+def run_rows(d) -> str:
+    """(expr_id, nth, toks, word, n): runs of identifiers, numbered from 0 among all runs, each matched whole in the text, in Spark.
+
+    A run ends where the text does, so its number needs no count over tokens. `toks` are its tokens where it holds
+    tags; otherwise null, and `flat` has the tokens with a blank between them.
+    """
+    text = f"CASE WHEN contains(payload, '<math') THEN array_join({d.extract_all('payload', TAGGED, 0)}, '') ELSE payload END"
+    found = f"SELECT expr_id, nth, part FROM {EXPRESSIONS} LATERAL VIEW posexplode({d.extract_all(text, RUN, 0)}) t_part AS nth, part WHERE {_kind(d, 'part')} = 'mi'"
+    split = f"SELECT expr_id, nth, CASE WHEN contains(part, '<') THEN {d.extract_all('part', IN_RUN, 1)} END AS toks, {d.sub('part', chr(92) + 's+', ' ')} AS flat FROM ({found}) f"
+    return f"(SELECT expr_id, nth, toks, flat, CASE WHEN toks IS NULL THEN replace(flat, ' ', '') ELSE array_join(toks, '') END AS word, CAST(CASE WHEN toks IS NULL THEN 1 + length(flat) - length(replace(flat, ' ', '')) ELSE size(toks) END AS BIGINT) AS n FROM ({split}) s)"
 
 
 def token_arrays(d) -> str:
@@ -49,11 +78,7 @@ def token_arrays(d) -> str:
 
     What a token's neighbours decide is read from these, so that tokens are neither shuffled nor sorted.
     """
-    parts = d.extract_all("payload", r"<m(?:i|o|n|text)>[^<]*</m(?:i|o|n|text)>|\\?[A-Za-z]+|[0-9]+|\\?[^\sA-Za-z0-9]", 0)
-    own = f"CASE WHEN contains(payload, '<math') THEN {d.extract_all('payload', '<m(?:i|o|n|text)>[^<]*</m(?:i|o|n|text)>', 0)} ELSE {parts} END"
-    kind = f"CASE WHEN part LIKE '<m%' THEN {d.extract('part', '<(m[a-z]+)>', 1)} WHEN startswith(part, {d.lit(chr(92))}) THEN 'command' WHEN {_first(d, '0', '9')} THEN 'mn' WHEN {_first(d, 'A', 'Z')} OR {_first(d, 'a', 'z')} THEN 'mi' ELSE 'mo' END"
-    token = f"CASE WHEN part LIKE '<m%' THEN {d.sub('part', '<[^>]*>', '')} ELSE part END"
-    return f"(SELECT expr_id, transform(parts, part -> {kind}) AS kinds, transform(parts, part -> {token}) AS toks FROM (SELECT expr_id, {own} AS parts FROM {EXPRESSIONS}) p WHERE size(parts) > 0)"
+    return f"(SELECT expr_id, transform(parts, part -> {_kind(d, 'part')}) AS kinds, transform(parts, part -> {_token(d, 'part')}) AS toks FROM (SELECT expr_id, {_parts(d)} AS parts FROM {EXPRESSIONS}) p WHERE size(parts) > 0)"
 
 
 def run_arrays(d) -> str:
@@ -75,7 +100,10 @@ def runs(d) -> str:
 
 def _letter_runs(d):
     names = ", ".join(d.lit(c) for c in COMMANDS)
-    return f"""SELECT expr_id, run, word, n, CASE WHEN n >= 3 AND lower(word) IN ({names}) THEN concat({d.lit(chr(92))}, lower(word)) ELSE word END AS collapsed
+    collapsed = f"CASE WHEN n >= 3 AND lower(word) IN ({names}) THEN concat({d.lit(chr(92))}, lower(word)) ELSE word END AS collapsed"
+    if d.name == "spark":
+        return f"SELECT expr_id, CAST(nth + 1 AS BIGINT) AS run, word, n, {collapsed} FROM {run_rows(d)} r"
+    return f"""SELECT expr_id, run, word, n, {collapsed}
         FROM (SELECT expr_id, run, {d.join(d.ordered('token', 'pos'), '')} AS word, count(*) AS n FROM {runs(d)} r WHERE kind = 'mi' GROUP BY expr_id, run) g"""
 
 
@@ -86,9 +114,10 @@ def _pairs(d):
 
 
 def _neighbours(d):
+    beside = f"(SELECT t.*, lag(kind) OVER w AS b, lead(kind) OVER w AS a, lead(token) OVER w AS next FROM {tokens(d)} t WINDOW w AS (PARTITION BY expr_id ORDER BY pos))"
     return f"""SELECT expr_id, pos, token, CASE WHEN token = '.' AND NOT (coalesce(b, '') = 'mn' AND coalesce(a, '') = 'mn') THEN 'lone dot' WHEN token = 'l' AND next = ']' THEN 'l before bracket' WHEN kind = 'mn' AND b = 'mi' AND a = 'mi' THEN 'digit between letters'
             WHEN kind = 'mi' AND length(token) = 1 AND next IN (']', ')') THEN 'letter before closer' ELSE 'keep' END AS verdict
-        FROM (SELECT t.*, lag(kind) OVER w AS b, lead(kind) OVER w AS a, lead(token) OVER w AS next FROM {tokens(d)} t WINDOW w AS (PARTITION BY expr_id ORDER BY pos)) n"""
+        FROM {beside} n"""
 
 
 def _depth(d):

@@ -29,3 +29,32 @@ def test_odd_texts_as_by_windows(spark, body):
         assert sorted(by_arrays.collect()) == sorted(by_windows.collect())
     finally:
         spark.catalog.dropTempView("fragments")
+
+
+MIXED = (
+    "a b c", "abc d <mi>x</mi> e <mi>yz</mi>f g", "<mi>x</mi>d<mi>>" + "</mi> de", r"\<mi>x</mi> y", r"\alpha b c \\ d", "a\tb  c\n", "l . 2 ] ) 3 . 4", "<math><mi>a b</mi><mi>c</mi> x <mi></mi><mi>d</mi><mn>1</mn><mi>e</mo></math>", "il a dit", "w_{o}r_{d}s a b", " a   b", "  ", "𝐱 y z", "<mi>𝐱</mi><mi>y</mi>",
+    "x1 y 2z w", "l]", "a)b", "<math><mi>x</mi><mo>]</mo><mi>l</mi><mo>)</mo></math>", "1 a 2",
+)
+
+
+@pytest.mark.parametrize("body", [structure._letter_runs, structure._recover_tokens])
+def test_mixed_texts_as_by_windows(spark, body):
+    texts = spark.createDataFrame([(7 * i, t) for i, t in enumerate(TEXTS + MIXED)], "fragment_id BIGINT, payload STRING")
+    texts.createOrReplaceTempView("fragments")
+
+    class Windows(type(SPARK)):
+        name = "windows"
+
+    try:
+        here, by_windows = (spark.sql(body(d)) for d in (SPARK, Windows()))
+        assert here.dtypes == by_windows.dtypes
+        assert sorted(here.collect()) == sorted(by_windows.collect()) != []
+    finally:
+        spark.catalog.dropTempView("fragments")
+
+
+@pytest.mark.parametrize("name", ["win_letter_runs"])
+def test_tokens_are_not_shuffled(spark, name):
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    above = plan.split("Aggregate [")[0]
+    assert "Window" not in plan and "Generate posexplode" in above and "lambda" not in above
