@@ -61,6 +61,17 @@ def tokens(d) -> str:
             CASE WHEN part LIKE '<m%' THEN {d.sub('part', '<[^>]*>', '')} ELSE part END AS token FROM {EXPRESSIONS} {d.explode(_parts(d), 'part', 'pos')})"""
 
 
+def neighbours(d) -> str:
+    """(expr_id, pos, kind, token, b, a, next): tokens with the kinds before and after and the token after, in Spark.
+
+    The array of an expression's tokens is laid beside itself, one place on and one place back, before it is
+    exploded, so that tokens are neither shuffled nor sorted. Beyond the ends the kind is that of no identifier and no number.
+    """
+    beside = "arrays_zip(parts, concat(array(CAST(NULL AS STRING)), parts), slice(parts, 2, size(parts)))"
+    rows = f"(SELECT expr_id, pos, z.parts AS part, z.`1` AS part_before, z.`2` AS part_after FROM (SELECT expr_id, {_parts(d)} AS parts FROM {EXPRESSIONS}) p LATERAL VIEW posexplode({beside}) t_part AS pos, z WHERE z.parts IS NOT NULL)"
+    return f"(SELECT expr_id, pos, {_kind(d, 'part')} AS kind, {_token(d, 'part')} AS token, {_kind(d, 'part_before')} AS b, {_kind(d, 'part_after')} AS a, {_token(d, 'part_after')} AS next FROM {rows} z)"
+
+
 def run_rows(d) -> str:
     """(expr_id, nth, toks, word, n): runs of identifiers, numbered from 0 among all runs, each matched whole in the text, in Spark.
 
@@ -114,7 +125,7 @@ def _pairs(d):
 
 
 def _neighbours(d):
-    beside = f"(SELECT t.*, lag(kind) OVER w AS b, lead(kind) OVER w AS a, lead(token) OVER w AS next FROM {tokens(d)} t WINDOW w AS (PARTITION BY expr_id ORDER BY pos))"
+    beside = neighbours(d) if d.name == "spark" else f"(SELECT t.*, lag(kind) OVER w AS b, lead(kind) OVER w AS a, lead(token) OVER w AS next FROM {tokens(d)} t WINDOW w AS (PARTITION BY expr_id ORDER BY pos))"
     return f"""SELECT expr_id, pos, token, CASE WHEN token = '.' AND NOT (coalesce(b, '') = 'mn' AND coalesce(a, '') = 'mn') THEN 'lone dot' WHEN token = 'l' AND next = ']' THEN 'l before bracket' WHEN kind = 'mn' AND b = 'mi' AND a = 'mi' THEN 'digit between letters'
             WHEN kind = 'mi' AND length(token) = 1 AND next IN (']', ')') THEN 'letter before closer' ELSE 'keep' END AS verdict
         FROM {beside} n"""
