@@ -119,6 +119,12 @@ def _letter_runs(d):
 
 
 def _pairs(d):
+    if d.name == "spark":
+        # only runs of several tokens are sorted: they alone put the tokens after them further on than their number
+        before = "coalesce(sum(n - 1) OVER (PARTITION BY expr_id ORDER BY nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)"
+        several = f"SELECT expr_id, nth, n, coalesce(toks, split(flat, ' ')) AS toks FROM {run_rows(d)} r WHERE n > 1"
+        placed = f"SELECT expr_id, CAST(nth + {before} AS INT) AS first, toks FROM ({several}) s"
+        return f"SELECT expr_id, first + k AS pos, concat(tok, '_{{', get(toks, k + 1), '}}') AS paired FROM ({placed}) p LATERAL VIEW posexplode(slice(toks, 1, size(toks))) t_tok AS k, tok WHERE k % 2 = 0 AND k + 1 < size(toks)"
     return f"""SELECT expr_id, pos, concat(token, '_{{', after, '}}') AS paired
         FROM (SELECT expr_id, pos, token, run, row_number() OVER (PARTITION BY expr_id, run ORDER BY pos) AS k, lead(token) OVER (PARTITION BY expr_id, run ORDER BY pos) AS after FROM {runs(d)} r WHERE kind = 'mi') p
         WHERE k % 2 = 1 AND after IS NOT NULL"""

@@ -37,7 +37,7 @@ MIXED = (
 )
 
 
-@pytest.mark.parametrize("body", [structure._neighbours, structure._letter_runs, structure._recover_tokens])
+@pytest.mark.parametrize("body", [structure._neighbours, structure._letter_runs, structure._pairs, structure._recover_tokens])
 def test_mixed_texts_as_by_windows(spark, body):
     texts = spark.createDataFrame([(7 * i, t) for i, t in enumerate(TEXTS + MIXED)], "fragment_id BIGINT, payload STRING")
     texts.createOrReplaceTempView("fragments")
@@ -58,3 +58,8 @@ def test_tokens_are_not_shuffled(spark, name):
     plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     above = plan.split("Aggregate [")[0]
     assert "Window" not in plan and "Generate posexplode" in above and "lambda" not in above
+
+
+def test_only_runs_of_several_tokens_are_sorted(spark):
+    plan = QUERIES["win_pair_subscripts"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window [") == 1 and "> 1)" in plan.split("Window [")[1]
