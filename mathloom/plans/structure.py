@@ -54,9 +54,9 @@ def _token(d, part: str) -> str:
 def tokens(d) -> str:
     """(expr_id, pos, kind, token): tokens of MathML in page order, else commands, numbers and characters."""
     if d.name == "spark":
-        digit, letter = "substr(part, 1, 1) BETWEEN '0' AND '9'", "(substr(part, 1, 1) BETWEEN 'A' AND 'Z' OR substr(part, 1, 1) BETWEEN 'a' AND 'z')"
-    else:
-        digit, letter = d.match("part", "^[0-9]"), d.match("part", "^[A-Za-z]")
+        # not by explode(): an array that is no column is not computed below the grouping, and a lambda would keep the rest from being compiled
+        return f"(SELECT expr_id, pos, {_kind(d, 'part')} AS kind, {_token(d, 'part')} AS token FROM {EXPRESSIONS} LATERAL VIEW posexplode({_parts(d)}) t_part AS pos, part)"
+    digit, letter = d.match("part", "^[0-9]"), d.match("part", "^[A-Za-z]")
     return f"""(SELECT expr_id, pos, CASE WHEN part LIKE '<m%' THEN {d.extract('part', '<(m[a-z]+)>', 1)} WHEN substr(part, 1, 1) = {d.lit(chr(92))} THEN 'command' WHEN {digit} THEN 'mn' WHEN {letter} THEN 'mi' ELSE 'mo' END AS kind,
             CASE WHEN part LIKE '<m%' THEN {d.sub('part', '<[^>]*>', '')} ELSE part END AS token FROM {EXPRESSIONS} {d.explode(_parts(d), 'part', 'pos')})"""
 

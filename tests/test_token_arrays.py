@@ -37,7 +37,7 @@ MIXED = (
 )
 
 
-@pytest.mark.parametrize("body", [structure._neighbours, structure._letter_runs, structure._pairs, structure._recover_tokens])
+@pytest.mark.parametrize("body", [structure._neighbours, structure._letter_runs, structure._pairs, structure._repair_tokens, structure._recover_tokens])
 def test_mixed_texts_as_by_windows(spark, body):
     texts = spark.createDataFrame([(7 * i, t) for i, t in enumerate(TEXTS + MIXED)], "fragment_id BIGINT, payload STRING")
     texts.createOrReplaceTempView("fragments")
@@ -53,7 +53,7 @@ def test_mixed_texts_as_by_windows(spark, body):
         spark.catalog.dropTempView("fragments")
 
 
-@pytest.mark.parametrize("name", ["win_neighbor_noise", "win_letter_runs"])
+@pytest.mark.parametrize("name", ["win_neighbor_noise", "win_letter_runs", "repair_tokens"])
 def test_tokens_are_not_shuffled(spark, name):
     plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     above = plan.split("Aggregate [")[0]
