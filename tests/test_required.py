@@ -93,3 +93,17 @@ def test_letters_apart_are_found_by_their_neighbours(texts):
     first = f"{SPARK.match('x', TWO_APART)} AND "
     assert first in joined_letters(SPARK, "x")
     assert column(odd, joined_letters(SPARK, "x")) == column(odd, joined_letters(SPARK, "x").replace(first, ""))
+
+
+def test_safe_repair_as_all_its_rules(texts):
+    """The shorter way for plain texts gives what the rules give, and a large class of characters is not tried at ASCII."""
+    from mathloom.functions.normal import BEYOND_ASCII, strip_marks
+
+    class Rules(type(SPARK)):
+        name = "rules"
+
+    odd = ("  a  b ", "$x_1$", "$", "a__b _ c", "é ½ ﬁ 각 İ ∑", "a}}", "{{a", "{a}}} }", "x_) y^]", "\t$ a $\n", " ", "", "•a●", " ", "ab•", "• a", None)
+    table = texts.sparkSession.createDataFrame([(i, x) for i, x in enumerate(odd)], "i INT, x STRING")
+    for operator in (repair.safe, strip_marks):
+        assert column(table, operator(SPARK, "x")) == column(table, operator(Rules(), "x"))
+    assert strip_marks(SPARK, "x").count(SPARK.lit(BEYOND_ASCII)[1:-1]) >= 4
