@@ -107,3 +107,18 @@ def test_safe_repair_as_all_its_rules(texts):
     for operator in (repair.safe, strip_marks):
         assert column(table, operator(SPARK, "x")) == column(table, operator(Rules(), "x"))
     assert strip_marks(SPARK, "x").count(SPARK.lit(BEYOND_ASCII)[1:-1]) >= 4
+
+
+def test_split_commands_as_all_rules(texts):
+    """The table of split commands with its rules left out where they can't match, against all rules in their order."""
+
+    class Rules(type(SPARK)):
+        name = "rules"
+
+        def chain(self, x, rules, turns=1):
+            return plain(x, list(rules) * turns)
+
+    odd = ("L e F t (", r"\e_{N} D array", r"\\e_{n} d array x_{i} y_{j}", "a_{b} c_{d} e_{f} g_{h} i", r"\s u m l\te f t", "s_{u}m_{a} p_{r} i_{n}", r"\quad \quad \quad x_{i}", r"\left\left x", "le f t", "m_{a} t_{h} b_{b}Z", "n_{E}q", "a_{b}", "")
+    table = texts.sparkSession.createDataFrame([(i, x) for i, x in enumerate((*TEXTS, *odd))], "i INT, x STRING")
+    assert column(table, repair.shred_table(SPARK, "x")) == column(table, repair.shred_table(Rules(), "x"))
+    assert SPARK.lit(repair.SCRIPT_AND_BLANK) in repair.shred_table(SPARK, "x")
