@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import checkpoint, stage_table
+from .shared import checkpoint, private, stage_table
 
 #: A key with more than one in so many of all rows is frequent; there are fewer of these than this number, at any size.
 FREQUENT = 1000
 #: Rows of one key that a task takes, about, where pairs within keys are formed.
 SHARE_ROWS = 4096
+#: Slots of hashes that are broadcast in place of the values of a column, at most so many rows of a number at any size.
+SLOTS = 1 << 21
 
 
 def join_frequent(rows: DataFrame, keyed: DataFrame, key: str, weight: str, n_rows: int) -> DataFrame:
@@ -30,6 +32,17 @@ def join_frequent(rows: DataFrame, keyed: DataFrame, key: str, weight: str, n_ro
     return rows.where(frequent).join(F.broadcast(hot), key).unionByName(rest)
 
 
+def by_slots(rows: DataFrame, column: str, wanted: DataFrame, how: str) -> DataFrame:
+    """Rows whose value of `column` may be in that column of wanted ("left_semi"), or is surely not ("left_anti"), told without a shuffle of rows.
+
+    Values are put into SLOTS by a hash, and the slots that wanted uses are broadcast. Those
+    that may match include some that do not, more of them the more slots are used: an exact join follows.
+    """
+    slot = private(rows, "__slot")
+    place = F.pmod(F.xxhash64(column), F.lit(SLOTS)).cast("int").alias(slot)
+    return rows.select("*", place).join(F.broadcast(wanted.select(place).distinct()), slot, how).drop(slot)
+
+
 def pairs_across(members: DataFrame, test: str, n_rows: int) -> DataFrame:
     """members(key, node, root, own, p) -> (u, v): pairs of one key with different roots of which `test`, in u and v, holds.
 

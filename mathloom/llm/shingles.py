@@ -10,6 +10,12 @@ fixed size over all shingles of all texts; any order is right, a good one is fas
 
 Proposed pairs are compared by their sizes and by the parities of their shingles in
 512 slots, which bound how much they differ, and what remains by the whole sets.
+
+All who share a key first meet the least of them. Where that leaves several groups,
+as among many edited copies of a text, each text has to meet every text of the other
+groups: those pairs are never made as rows. A key's texts are dealt into tiles of bounded
+size, in which sizes and parities are compared in compiled code, and only pairs that
+pass leave the tile.
 """
 
 from __future__ import annotations
@@ -19,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import FREQUENT, connected_components, join_frequent, pairs_across
+from .components import FREQUENT, by_slots, connected_components, join_frequent
 from .shared import private, stage_table
 from .simhash import near_links
 from .substrings import Words
@@ -27,6 +33,14 @@ from .substrings import Words
 SHINGLE = 5
 #: Slots of the table of counts, as a power of two.
 COUNT_BITS = 18
+#: Bytes of the sketches that are compared in tiles.
+BRIEF = 64
+#: Texts of a key on one side of a tile, about.
+TILE_ROWS = 4096
+#: Pairs that a tile compares at once.
+PAIRS_AT_ONCE = 200_000
+
+
 def hashed_shingles(texts: list[bytes | None], shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """(text number, hash) of all word runs of some texts (ASCII letters in lower case), in text order; a shorter text is one run, a blank one has none."""
     words = Words([(t or b"").lower() for t in texts])
@@ -195,7 +209,7 @@ def near_pairs(pairs: DataFrame, sets: DataFrame, texts: DataFrame, shingle: int
     sized = ordered.join(marks.toDF("u", "a", "x"), "u").join(marks.toDF("v", "b", "y"), "v").where("5 * least(a, b) >= 4 * greatest(a, b)")
     likely = stage_table(sized.select("u", "v", "a", "b", "x", "y").mapInArrow(_admitted, "u bigint, v bigint"), "likely")
     wanted = likely.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    found = stage_table(texts.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "compared-texts")
+    found = stage_table(by_slots(texts, "node", wanted, "left_semi").join(wanted, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "compared-texts")
     left, right = found.toDF("u", "a"), found.toDF("v", "b")
     return stage_table(likely.join(right, "v").join(left, "u").select("u", "v", "a", "b").mapInArrow(_compared(shingle), "u bigint, v bigint"), "near-pairs")
 
@@ -210,35 +224,125 @@ def simhash_pairs(sets: DataFrame, most: int) -> DataFrame:
 
 
 def shared_keys(keys: DataFrame, counts: np.ndarray) -> DataFrame:
-    """keys(node, key) -> those rows whose key several nodes have, and the number p of these.
+    """keys(node, key) -> those rows whose key several nodes have, the number p of these, and the least of them.
 
     Keys in the slots that hold over one in FREQUENT of all shingles, fewer than
     FREQUENT slots, may be those of very many nodes and meet their counts by broadcast;
     all others are dealt by key once, for their counts and the join with these.
     """
+
+    def often(rows: DataFrame) -> DataFrame:  # reads all columns of rows, so that both sides of the join are one shuffle
+        return rows.groupBy("key").agg(F.count("*").alias("p"), F.min("node").alias("least")).where("p > 1")
+
     slots = np.flatnonzero(counts * FREQUENT > counts.sum()).tolist()
     heavy = F.shiftrightunsigned("key", 64 - COUNT_BITS).isin(slots) if slots else F.lit(False)
-    light = keys.where(~heavy).repartition("key")
-    found = light.join(light.groupBy("key").agg(F.count("*").alias("p")).where("p > 1"), "key").select("node", "key", "p")
+    light = keys.where(~heavy).select("node", "key").repartition("key")
+    found = light.join(often(light), "key").select("node", "key", "p", "least")
     if not slots:
         return found
     hot = keys.where(heavy)
-    often = hot.groupBy("key").agg(F.count("*").alias("p")).where("p > 1").withColumn("weight", F.col("p"))
-    return found.unionByName(join_frequent(hot, often, "key", "weight", int(counts.sum())).select("node", "key", "p"))
+    known = often(hot).withColumn("weight", F.col("p"))
+    return found.unionByName(join_frequent(hot, known, "key", "weight", int(counts.sum())).select("node", "key", "p", "least"))
+
+
+def _briefs(batches):
+    """node, size, sketch -> node, size, and the sketch folded to BRIEF bytes."""
+    for batch in batches:
+        folded = [np.bitwise_xor.reduce(np.frombuffer(x, np.uint8).reshape(-1, BRIEF), axis=0).tobytes() for x in batch.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(folded, pa.binary())], ["node", "size", "brief"])
+
+
+def _tile_pairs(tile: np.ndarray, side: np.ndarray, node: np.ndarray, root: np.ndarray, size: np.ndarray, brief: np.ndarray):
+    """Pairs of nodes of different roots that sizes and briefs admit, from rows in the order of their tiles, some at a time.
+
+    Rows of a tile with both sides meet the other side, those of a tile with one side each other.
+    """
+    first = np.flatnonzero(np.r_[True, tile[1:] != tile[:-1]])
+    ends = np.r_[first[1:], len(tile)]
+    rows = ends - first
+    crossed = np.repeat(np.minimum.reduceat(side, first) != np.maximum.reduceat(side, first), rows)
+    meets = np.repeat(ends, rows) - np.arange(len(tile)) - 1
+    before = np.cumsum(meets) - meets
+    at = 0
+    while at < len(tile):
+        upto = max(at + 1, int(np.searchsorted(before, before[at] + PAIRS_AT_ONCE)))
+        n = meets[at:upto]
+        i = np.repeat(np.arange(at, upto), n)
+        j = np.arange(len(i)) - np.repeat(before[at:upto] - before[at], n) + i + 1
+        at = upto
+        may = (root[i] != root[j]) & (node[i] != node[j]) & (~crossed[i] | (side[i] != side[j]))
+        i, j = i[may], j[may]
+        may = 5 * np.minimum(size[i], size[j]) >= 4 * np.maximum(size[i], size[j])
+        i, j = i[may], j[may]
+        odd = np.bitwise_count(brief[i] ^ brief[j]).sum(axis=1, dtype=np.int64)
+        may = 9 * odd <= size[i] + size[j]
+        yield node[i[may]], node[j[may]]
+
+
+def _tiles(batches):
+    """Rows of key, tile, side, node, root, size, brief in the order of key and tile -> the pairs that each tile admits."""
+
+    def admitted(table: pa.Table):
+        key, part, side, node, root, size = (table.column(k).to_numpy() for k in range(6))
+        tile = np.cumsum(np.r_[False, (key[1:] != key[:-1]) | (part[1:] != part[:-1])])
+        brief = np.frombuffer(b"".join(table.column(6).to_pylist()), np.uint64).reshape(len(node), -1)
+        for u, v in _tile_pairs(tile, side, node, root, size, brief):
+            if len(u):
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+
+    held: list[pa.RecordBatch] = []  # the rows of the tile that may go on
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key, part = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        if held and (key[0], part[0]) != (held[-1].column(0)[-1].as_py(), held[-1].column(1)[-1].as_py()):
+            yield from admitted(pa.Table.from_batches(held))
+            held = []
+        last = np.flatnonzero((key != key[-1]) | (part != part[-1]))
+        cut = int(last[-1]) + 1 if len(last) else 0
+        if cut:
+            yield from admitted(pa.Table.from_batches([*held, batch.slice(0, cut)]))
+            held = []
+        held.append(batch.slice(cut))
+    if held:
+        yield from admitted(pa.Table.from_batches(held))
+
+
+def pairs_in_tiles(members: DataFrame, sets: DataFrame, n_rows: int) -> DataFrame:
+    """members(key, node, root), sets(node, size, sketch) -> the pairs (u, v) of a key's nodes of different roots that sizes and sketches admit.
+
+    Of the most frequent root of a key no two rows are paired. Rows of other roots
+    and those of the main one are dealt into blocks of about TILE_ROWS; each two
+    blocks of others, and each block of others with each of the main root, make a
+    tile, which one task holds. Pairs may come more than once and in either order.
+    """
+    sizes = members.groupBy("key", "root").agg(F.count("*").alias("n"))
+    mixed = sizes.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.max("n").alias("mains"), F.sum("n").alias("p"), F.count("*").alias("roots"))
+    mixed = mixed.where("roots > 1").select("key", "main", "mains", "p", F.col("p").alias("weight"))
+    left = join_frequent(members, mixed, "key", "weight", n_rows)
+    blocks = left.withColumn("k", F.ceil((F.col("p") - F.col("mains")) / TILE_ROWS).cast("int")).withColumn("l", F.ceil(F.col("mains") / TILE_ROWS).cast("int"))
+    own = blocks.withColumn("other", F.col("root") != F.col("main")).withColumn("b", F.expr("CAST(pmod(xxhash64(node), IF(other, k, l)) AS INT)"))
+    tiles = F.expr(f"""CASE
+        WHEN p <= {int(TILE_ROWS)} THEN array(named_struct('tile', 0L, 'side', 0))
+        WHEN other THEN concat(
+            transform(sequence(0, k - 1), j -> named_struct('tile', CAST(least(b, j) AS BIGINT) * k + greatest(b, j), 'side', IF(j < b, 1, 0))),
+            transform(sequence(0, l - 1), j -> named_struct('tile', CAST(k AS BIGINT) * k + CAST(b AS BIGINT) * l + j, 'side', 0)))
+        ELSE transform(sequence(0, k - 1), j -> named_struct('tile', CAST(k AS BIGINT) * k + CAST(j AS BIGINT) * l + b, 'side', 1)) END""")
+    briefs = sets.select("node", "size", "sketch").mapInArrow(_briefs, "node bigint, size bigint, brief binary")
+    dealt = own.withColumn("tiles", tiles).select("key", "node", "root", "tiles").join(briefs, "node").select("key", F.explode("tiles").alias("at"), "node", "root", "size", "brief")
+    ordered = dealt.select("key", "at.tile", "at.side", "node", "root", "size", "brief").repartition("key", "tile").sortWithinPartitions("key", "tile")
+    return ordered.mapInArrow(_tiles, "u bigint, v bigint")
 
 
 def near_components(sets: DataFrame, texts: DataFrame, counts: np.ndarray, most: int = 4, shingle: int = SHINGLE) -> DataFrame:
     """sets(node, size, sketch, fp, keys), texts(node, text) -> (node, root) for every node that is linked to another, root the smallest it reaches."""
     shared = stage_table(shared_keys(sets.select("node", F.explode("keys").alias("key")), counts), "shared-keys")
-    least = shared.groupBy("key").agg(F.min("node").alias("u"), F.count("*").alias("n"))
-    stars = join_frequent(shared.select("key", F.col("node").alias("v")), least, "key", "n", shared.count()).select("u", "v")
+    stars = shared.where("node <> least").select(F.col("least").alias("u"), F.col("node").alias("v"))
     links = near_pairs(simhash_pairs(sets, most).unionByName(stars), sets, texts, shingle)
     roots = connected_components(links)
     several = shared.where("p > 2")  # of two nodes the pair has been compared
-    placed = stage_table(several.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"), F.lit(True).alias("own"), "p"), "placed-keys")
-    mixed = placed.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("n")).where("a <> b").select("key", "n")
-    left = stage_table(join_frequent(placed, mixed, "key", "n", placed.count()), "mixed-keys")
-    more = near_pairs(pairs_across(left, "TRUE", left.count()), sets, texts, shingle)
+    placed = stage_table(several.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")), "placed-keys")
+    more = near_pairs(pairs_in_tiles(placed, sets, placed.count()), sets, texts, shingle)
     return connected_components(links.unionByName(more))
 
 
@@ -268,8 +372,9 @@ def kept_rows(docs: DataFrame, most: int = 4, text: str = "text", doc_id: str =
     again = stage_table(each.where("n > 1").select(mark).join(gone, own, "left_anti"), "repeated-rows")
     named = docs.withColumn(own, F.concat(F.coalesce(F.concat(own_id.cast("string"), F.lit("+")), F.lit("-")), node.cast("string")))
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    gone = stage_table(gone, "dropped-rows")
-    kept = named.join(gone.unionByName(again), own, "left_anti").select(*columns)
+    gone = stage_table(gone, "dropped-rows").unionByName(again)
+    surely, perhaps = by_slots(named, own, gone, "left_anti"), by_slots(named, own, gone, "left_semi")
+    kept = surely.unionByName(perhaps.join(gone, own, "left_anti")).select(*columns)
     if again.isEmpty():
         return kept
-    return kept.unionByName(named.join(again, own, "left_semi").dropDuplicates([own]).select(*columns))
+    return kept.unionByName(by_slots(named, own, again, "left_semi").join(again, own, "left_semi").dropDuplicates([own]).select(*columns))

@@ -1,6 +1,7 @@
 """Near-duplicates of the pipeline against all pairs, with a similarity computed on the words themselves."""
 
 import random
+import re
 
 import numpy as np
 
@@ -77,3 +78,53 @@ def test_rows_are_told_apart_by_id_and_text(spark):
     docs = spark.createDataFrame([(k, t, "en", "s", len(t), None, None, None) for k, t in rows], SCHEMA)
     got = sorted(((r["doc_id"], r["text"]) for r in corpus_pipeline.near_dedup(spark, docs, SF).collect()), key=str)
     assert got == sorted([(1, first), (1, second), (None, "alone here without an id")], key=str)
+
+
+def edited_crowd(seed, n, edits):
+    """Copies of one text of 150 words, each with some words replaced, so that few are near each other."""
+    draw, texts = random.Random(seed), []
+    for _ in range(n):
+        words = [f"b{i}" for i in range(150)]
+        for at in draw.sample(range(150), edits):
+            words[at] = f"z{draw.randrange(10**6)}"
+        texts.append(" ".join(words))
+    return texts
+
+
+def test_edited_copies_are_not_paired_in_rows(spark, monkeypatch):
+    texts = edited_crowd(4, 160, 3)
+    runs = [word_runs(t) for t in texts]
+    links = [(a, b) for a in range(len(texts)) for b in range(a + 1, len(texts)) if similarity(runs[a], runs[b]) >= 0.8]
+    root = brute_components(list(range(len(texts))), links)
+    assert len(set(root.values())) > 80 and len(links) > 5
+    made, compare = [], shingles.near_pairs
+    monkeypatch.setattr(shingles, "near_pairs", lambda pairs, *more: made.append(pairs.distinct().count()) or compare(pairs, *more))
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t), None, None, None) for i, t in enumerate(texts)], SCHEMA)
+    got = {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, SF).collect()}
+    assert got == {i for i in root if root[i] == i}
+    assert len(made) == 2 and made[1] < 5 * len(texts)  # 160 * 159 / 2 pairs share a key
+
+
+def test_tiles_hold_every_pair_of_other_roots(spark, monkeypatch):
+    monkeypatch.setattr(shingles, "TILE_ROWS", 8)
+    texts = [t.encode() for t in edited_crowd(8, 90, 2)]
+    sets = shingles.ShingleSets(texts)
+    marks = list(zip(range(len(texts)), sets.sizes.tolist(), sets.sketches()))
+    table = spark.createDataFrame(marks, "node bigint, size bigint, sketch binary")
+    roots = [k if k % 3 else 0 for k in range(90)]
+    members = [(7, k, roots[k]) for k in range(90)] + [(8, k, roots[k]) for k in range(1, 6)] + [(9, k, 0) for k in range(0, 90, 3)]
+    got = shingles.pairs_in_tiles(spark.createDataFrame(members, "key bigint, node bigint, root bigint"), table, len(members)).collect()
+    expected = {(a, b) for a in range(90) for b in range(a + 1, 90) if roots[a] != roots[b] and shingles.may_be_near(*(marks[a][1], marks[b][1], marks[a][2], marks[b][2]))}
+    assert {(min(r), max(r)) for r in got} == expected and len(expected) > 100
+
+
+def test_kept_texts_are_not_shuffled(spark):
+    texts = edited_crowd(2, 12, 9) + edited_crowd(2, 3, 0)
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t), None, None, None) for i, t in enumerate(texts)], SCHEMA)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = corpus_pipeline.near_dedup(spark, docs, SF)
+        assert {r["doc_id"] for r in kept.collect()} == set(range(13))
+        assert re.search("BroadcastHashJoin.*LeftAnti", kept._jdf.queryExecution().executedPlan().toString())  # no shuffle for what is surely kept
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
