@@ -38,7 +38,7 @@ BRIEF = 64
 #: Texts of a key on one side of a tile, about.
 TILE_ROWS = 4096
 #: Pairs that a tile compares at once.
-PAIRS_AT_ONCE = 200_000
+PAIRS_AT_ONCE = 20_000
 
 
 def hashed_shingles(texts: list[bytes | None], shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
