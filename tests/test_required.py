@@ -6,8 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from mathloom.functions.dialect import SPARK, chain, fired
-from mathloom.functions.required import required
-from mathloom.operators import gates, repair
+from mathloom.functions.required import beyond_ascii, required
+from mathloom.operators import gates, reconstruct, repair
 
 TEXTS = (r"\S_{u} m x", "E _ { q }\tU_i\nv", r"\\m_{a}\t_{h}b_{b}Z i_{n} x", r"\l_{e}f_{t}( a \r_{i}g_{h}t)", "the sum of MAX", "", "İ _\u212a", "\\sum {i} \\  f r a c", "s_{u}m s_{u}m 1", None)
 RULES = {
@@ -122,3 +122,25 @@ def test_split_commands_as_all_rules(texts):
     table = texts.sparkSession.createDataFrame([(i, x) for i, x in enumerate((*TEXTS, *odd))], "i INT, x STRING")
     assert column(table, repair.shred_table(SPARK, "x")) == column(table, repair.shred_table(Rules(), "x"))
     assert SPARK.lit(repair.SCRIPT_AND_BLANK) in repair.shred_table(SPARK, "x")
+
+
+def test_small_classes_of_signs_are_strings():
+    assert required(r"\be\s*[-−]\s*1\b") == (("-", "−"), ())
+    assert required(r"\b1\s*/\s*n\b")[0] == ("/",)
+    assert required(r"(?i)x[\\{]y") == (("\\", "{"), ("xy",))
+    assert required(r"a[^-]b")[0] == ("a",)
+
+
+def test_classes_beyond_ascii():
+    assert beyond_ascii(reconstruct.INVALID) == ("'", "`") and beyond_ascii("a([é-ü]+)b") == () and required(reconstruct.INVALID) == ((), ())
+    for pattern in ("[aéü]", "[^éü]", "[éü]*", "[éü]|[ab]", r"\s", r"[\sé]"):
+        assert beyond_ascii(pattern) is None
+    assert "octet_length" in chain(SPARK, "x", reconstruct.CLEAN)
+
+
+@pytest.mark.parametrize("name", ("CLEAN", "SCRIPTS", "FRACTIONS", "STRUCTURE", "ARGUMENTS", "FENCES", "LIMITS", "OPERATORS", "COMMANDS"))
+def test_reconstruction_as_each_rule_on_each_text(spark, name):
+    more = (*TEXTS, "e − 1 n-1 αβ 1/n a/b", "Xi [t] x,y + [abcdef] |a| r( (", r"\left[r(y_0 s + e^{-1}) \right] _{ _{t} } ^{ t = 3 }", "é¥ 1 2 [ a ] −−", "it's", "—")
+    texts = spark.createDataFrame(list(enumerate(more)), "i INT, x STRING")
+    rules = [(reconstruct.edged(SPARK, p), by) for p, by in getattr(reconstruct, name)]
+    assert column(texts, chain(SPARK, "x", rules)) == column(texts, plain("x", rules))
