@@ -111,3 +111,17 @@ def test_the_end_to_end_gate_has_all_stages(spark):
         want[key] = want.get(key, 0) + 1
     assert got == want and sum(got.values()) == len(texts)
     assert got[(gatekeeper.AFTER_REPAIR, False, True)] >= 1 and (gatekeeper.SYNTAX, False, False) in got
+
+
+def test_the_audit_has_every_repair_and_rule(spark):
+    from mathloom.functions.dialect import SPARK
+    from mathloom.operators import lines, reconstruct, repair
+    from mathloom.plans import reports
+
+    spark.createDataFrame([("a <= b <= c",), ("a <= b <= c",), (r"\left(x",), ("1/n",)], "payload STRING").createOrReplaceTempView("audit_texts")
+    sql = f"WITH fragments AS (SELECT payload, 'latex' AS kind FROM audit_texts) {reports.TEMPLATES['audit_rule_hits'][1](SPARK)}"
+    got = {(r["rule_set"], r["rule"]): (r["n_changed"], r["n_hits"], r["n_expressions"]) for r in spark.sql(sql).collect()}
+    assert {*repair.CHAINS, *lines.CHAINS, *reconstruct.CHAINS, "repair_noise_nodes"} <= {name for name, _ in got}
+    assert got[("repair_symbols", 0)] == (2, 2, 3) and got[("repair.symbols", 3)] == (2, 4, 3)
+    assert got[("repair.letter_commands", 1)] == (0, 0, 3) and got[("repair_heuristic", 0)][0] > 0
+    assert sum(name == "repair.shred_table" for name, _ in got) == len({p for p, _ in repair.SHRED_TABLE})
